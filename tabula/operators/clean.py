@@ -149,13 +149,13 @@ def range_violations(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> D
 
 
 def range_violation_counts(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
-    """Long table ``(column, lo, hi, n_below, n_above, n_rows)`` in one pass."""
+    """Long table ``(feature, lo, hi, n_below, n_above, n_rows)`` in one pass."""
     aggs = []
     for c, (lo, hi) in bounds.items():
         aggs += [F.count_if(F.col(c) < F.lit(lo)).alias(f"{c}__below"),
                  F.count_if(F.col(c) > F.lit(hi)).alias(f"{c}__above")]
     wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"),
+    rows = [F.struct(F.lit(c).alias("feature"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"),
                      F.col(f"{c}__below").alias("n_below"), F.col(f"{c}__above").alias("n_above"))
             for c, (lo, hi) in bounds.items()]
     return (wide.select(F.col("n_rows"), F.explode(F.array(*rows)).alias("r"))
@@ -164,10 +164,10 @@ def range_violation_counts(df: DataFrame, bounds: dict[str, tuple[float, float]]
 
 # ── X23 / E10 ───────────────────────────────────────────────────────────────
 def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Long table ``(column, dtype, n_null, position)`` computed in one aggregate."""
+    """Long table ``(feature, dtype, n_null, position)`` computed in one aggregate."""
     cols = cols or df.columns
     wide = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(cols)])
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
+    rows = [F.struct(F.lit(c).alias("feature"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
                      F.col(f"n{i}").alias("n_null"), F.lit(i).alias("position"))
             for i, c in enumerate(cols)]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -6,11 +6,7 @@ SQL, an independent DuckDB query over the same tables.  Column names match.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from tabula.operators.clean import one_hot
 from tabula.operators.split import split_sizes, stratified_split
 from tabula.plans import sqltext as S
@@ -18,20 +14,7 @@ from tabula.plans.fixtures import (
     ORDERS_LABELLED_SQL, SEED, STATUS_LEVELS, orders_labelled, orders_split_sql,
 )
 
-QueryFn = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def wrap(fn: QueryFn) -> QueryFn:
-        if name in REGISTRY:
-            raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return wrap
+from tabula.plans.registry import ORACLE, REGISTRY, register  # noqa: F401
 
 
 # ── Minimum slice: R4 → X3 → X5 → X6 → X8 → S1 → E11 ──────────────────────
@@ -66,3 +49,7 @@ def q_orders_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_orders_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_split(orders_labelled(spark, sf_dir), "label", "o_orderkey", seed=SEED) \
         .select("o_orderkey", "label", "split")
+
+
+# Further query groups register themselves on import.
+from tabula.plans import profiling  # noqa: E402,F401
