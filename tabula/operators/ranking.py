@@ -92,14 +92,16 @@ def hashed_segments(df: DataFrame, group_cols: Sequence[str], key: str, seed: in
 
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
                    n_ranges: int = 256, relative_error: float = 1e-4,
-                   partition_cols: Sequence[str] = ()) -> DataFrame:
+                   partition_cols: Sequence[str] = (), with_next: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows at or before this one in ``order_col`` order.
 
     ``order_col`` values must be unique within ``partition_cols`` (aggregate
     ties first).  The order is cut into ``n_ranges`` ranges by approximate
     quantiles (a bounded list collected to the driver); each range's running
     sum is a window over that range only, shifted by the totals of the ranges
-    before it.
+    before it.  ``with_next`` adds ``next_<v>``: the value on the following row
+    (NULL on the last), taken across range borders through the small table of
+    each range's first row.
     """
     partition_cols = list(partition_cols)
     probs = [i / n_ranges for i in range(1, n_ranges)]
@@ -120,7 +122,18 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], des
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     iw = (Window.partitionBy(*partition_cols, "_rng").orderBy(order)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = ranged.select("*", *[F.sum(v).over(iw).alias(f"_c_{v}") for v in value_cols])
+    lw = Window.partitionBy(*partition_cols, "_rng").orderBy(order)
+    inner = ranged.select("*", *[F.sum(v).over(iw).alias(f"_c_{v}") for v in value_cols],
+                          *[F.lead(v).over(lw).alias(f"_l_{v}") for v in with_next],
+                          *([F.row_number().over(lw).alias("_rn")] if with_next else []))
+    if with_next:
+        firsts = inner.where(F.col("_rn") == 1).select(*partition_cols, F.col("_rng").alias("_nr"),
+                                                        *[F.col(v).alias(f"_f_{v}") for v in with_next])
+        nw = Window.partitionBy(*partition_cols).orderBy("_rng")
+        nxt = (offsets.select(*partition_cols, "_rng", F.lead("_rng").over(nw).alias("_nr"))
+               .join(firsts, on=[*partition_cols, "_nr"], how="left").drop("_nr"))
+        offsets = offsets.join(nxt, on=[*partition_cols, "_rng"], how="left")
     joined = join_small(inner, offsets, on=[*partition_cols, "_rng"])
     return joined.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_c_{v}")).alias(f"cum_{v}")
-                                         for v in value_cols])
+                                         for v in value_cols],
+                         *[F.coalesce(F.col(f"_l_{v}"), F.col(f"_f_{v}")).alias(f"next_{v}") for v in with_next])
