@@ -54,3 +54,4 @@ def q_orders_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Further query groups register themselves on import.
 from tabula.plans import profiling  # noqa: E402,F401
 from tabula.plans import evaluation  # noqa: E402,F401
+from tabula.plans import neighbours  # noqa: E402,F401

@@ -41,23 +41,27 @@ ORDERS_LABELLED_SQL = f"""
 """
 
 
-def orders_split_sql(seed: int = SEED) -> str:
-    """Oracle of S1 on the orders fixture: a plain window per class (fine for a check)."""
+def split_sql(base_sql: str, label: str, key: str, seed: int = SEED) -> str:
+    """Oracle of S1: a plain window per class (fine for a check), same cuts as the library."""
     return f"""
-    WITH ol AS ({ORDERS_LABELLED_SQL}),
-    hashed AS (SELECT *, {S.h32(seed, 'o_orderkey')} AS h FROM ol),
+    WITH base AS ({base_sql}),
+    hashed AS (SELECT *, {S.h32(seed, key)} AS _h FROM base),
     ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, o_orderkey) - 1 AS r,
-               count(*) OVER (PARTITION BY label) AS n
+        SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY _h, {key}) - 1 AS _r,
+               count(*) OVER (PARTITION BY {label}) AS _n
         FROM hashed),
-    cut AS (SELECT *, CAST(ceil({S.dbl(0.2)} * n) AS BIGINT) AS n_test FROM ranked),
-    cut2 AS (SELECT *, n_test + CAST(ceil({S.dbl(0.25)} * (n - n_test)) AS BIGINT) AS n_tv FROM cut)
-    SELECT * EXCLUDE (h, r, n, n_test, n_tv),
-           CASE WHEN r < n_test THEN 'test' WHEN r < n_tv THEN 'val' ELSE 'train' END AS split
+    cut AS (SELECT *, CAST(ceil({S.dbl(0.2)} * _n) AS BIGINT) AS _n_test FROM ranked),
+    cut2 AS (SELECT *, _n_test + CAST(ceil({S.dbl(0.25)} * (_n - _n_test)) AS BIGINT) AS _n_tv FROM cut)
+    SELECT * EXCLUDE (_h, _r, _n, _n_test, _n_tv),
+           CASE WHEN _r < _n_test THEN 'test' WHEN _r < _n_tv THEN 'val' ELSE 'train' END AS split
     FROM cut2
     """
 
 
+def orders_split_sql(seed: int = SEED) -> str:
+    return split_sql(ORDERS_LABELLED_SQL, "label", "o_orderkey", seed)
+
+
 def lineitem_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four numeric lineitem columns plus flags; no NULLs in the driver data."""
     return read_table(spark, sf_dir, "lineitem",
