@@ -55,3 +55,4 @@ def q_orders_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 from tabula.plans import profiling  # noqa: E402,F401
 from tabula.plans import evaluation  # noqa: E402,F401
 from tabula.plans import neighbours  # noqa: E402,F401
+from tabula.plans import preparation  # noqa: E402,F401
