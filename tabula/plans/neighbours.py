@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabula.operators.neighbors import knn
 from tabula.operators.profile import sig
 from tabula.plans.registry import register
+from tabula.session import cut_lineage
 from tabula.sources.readers import read_table
 
 K = 5
@@ -52,36 +53,63 @@ def q_knn_within_class(spark, sf_dir):
 
 
 # ── B1: SMOTE on the embeddings (every class up to the largest) ─────────────
+SEED = 42
+
+
 def _h(key: str, tag: str) -> str:
     from tabula.plans.sqltext import h32
     return h32(SEED, key, tag)
 
 
-SEED = 42
-
-SMOTE_SQL = f"""
-    WITH e AS ({EMB_SQL}),
-    cnt AS (SELECT label, count(*) AS n FROM e GROUP BY label),
-    mx AS (SELECT max(n) AS nmax FROM cnt),
-    need AS (SELECT label, n, nmax - n AS m FROM cnt, mx WHERE n < nmax),
-    mino AS (SELECT e.* FROM e JOIN need USING (label)),
-    ranked AS (SELECT mino.vec_id, mino.label, mino.v, need.n, need.m,
-                      row_number() OVER (PARTITION BY mino.label ORDER BY {_h('mino.vec_id', 'base')}, mino.vec_id) - 1 AS r
-               FROM mino JOIN need USING (label)),
-    quota AS (SELECT *, CAST(m // n AS BIGINT) + CASE WHEN r < m % n THEN 1 ELSE 0 END AS q FROM ranked),
-    slots AS (SELECT vec_id, label, v, n, unnest(range(0, q)) AS slot FROM quota WHERE q > 0),
-    keyed AS (SELECT *, CAST(vec_id AS VARCHAR) || ':' || CAST(slot AS VARCHAR) AS id FROM slots),
-    pick AS (SELECT *, CAST(({_h('id', 'nn')} % least({K}, n - 1)) + 1 AS INTEGER) AS nn_rank,
-                    CAST({_h('id', 'gap')} AS DOUBLE) / CAST(4294967296.0 AS DOUBLE) AS gap FROM keyed),
-    p AS (SELECT a.vec_id AS qid, b.vec_id AS nid, {D2_SQL} AS d2
-          FROM mino a JOIN mino b ON a.label = b.label AND a.vec_id <> b.vec_id),
-    nn AS (SELECT qid, nid, row_number() OVER (PARTITION BY qid ORDER BY d2, nid) AS rk FROM p),
-    syn AS (SELECT pk.label, pk.id, pk.vec_id AS base_id, CAST(pk.slot AS INTEGER) AS slot, nn.nid AS nn_id, pk.gap,
+def _d2(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}.v) + 1), lambda i: ({a}.v[i] - {b}.v[i]) * ({a}.v[i] - {b}.v[i])))"
+
+
+def smote_ctes(src: str, p: str = "") -> str:
+    """DuckDB CTEs of SMOTE over relation ``src(vec_id, label, v)``; result in ``{p}syn``."""
+    return f"""
+    {p}cnt AS (SELECT label, count(*) AS n FROM {src} GROUP BY label),
+    {p}mx AS (SELECT max(n) AS nmax FROM {p}cnt),
+    {p}need AS (SELECT label, n, nmax - n AS m FROM {p}cnt, {p}mx WHERE n < nmax),
+    {p}mino AS (SELECT x.* FROM {src} x JOIN {p}need USING (label)),
+    {p}ranked AS (SELECT mi.vec_id, mi.label, mi.v, nd.n, nd.m,
+                      row_number() OVER (PARTITION BY mi.label ORDER BY {_h('mi.vec_id', 'base')}, mi.vec_id) - 1 AS r
+               FROM {p}mino mi JOIN {p}need nd USING (label)),
+    {p}quota AS (SELECT *, CAST(m // n AS BIGINT) + CASE WHEN r < m % n THEN 1 ELSE 0 END AS q FROM {p}ranked),
+    {p}slots AS (SELECT vec_id, label, v, n, unnest(range(0, q)) AS slot FROM {p}quota WHERE q > 0),
+    {p}keyed AS (SELECT *, CAST(vec_id AS VARCHAR) || ':' || CAST(slot AS VARCHAR) AS id FROM {p}slots),
+    {p}pick AS (SELECT *, CAST(({_h('id', 'nn')} % least({K}, n - 1)) + 1 AS INTEGER) AS nn_rank,
+                    CAST({_h('id', 'gap')} AS DOUBLE) / CAST(4294967296.0 AS DOUBLE) AS gap FROM {p}keyed),
+    {p}p AS (SELECT a.vec_id AS qid, b.vec_id AS nid, {_d2('a', 'b')} AS d2
+          FROM {p}mino a JOIN {p}mino b ON a.label = b.label AND a.vec_id <> b.vec_id),
+    {p}nn AS (SELECT qid, nid, row_number() OVER (PARTITION BY qid ORDER BY d2, nid) AS rk FROM {p}p),
+    {p}syn AS (SELECT pk.label, pk.id, pk.vec_id AS base_id, CAST(pk.slot AS INTEGER) AS slot, nn.nid AS nn_id,
+                   pk.gap,
                    list_transform(range(1, len(pk.v) + 1), lambda i: pk.v[i] + pk.gap * (b.v[i] - pk.v[i])) AS nv
-            FROM pick pk JOIN nn ON nn.qid = pk.vec_id AND nn.rk = pk.nn_rank JOIN e b ON b.vec_id = nn.nid)
+            FROM {p}pick pk JOIN {p}nn nn ON nn.qid = pk.vec_id AND nn.rk = pk.nn_rank JOIN {src} b ON b.vec_id = nn.nid)
+"""
+
+
+def tomek_ctes(src: str, p: str = "") -> str:
+    """DuckDB CTEs of Tomek links over ``src(vec_id, label, v)``; links in ``{p}tl``, kept rows in ``{p}kept``."""
+    return f"""
+    {p}p AS (SELECT a.vec_id AS qid, b.vec_id AS nid, {_d2('a', 'b')} AS d2 FROM {src} a JOIN {src} b ON a.vec_id <> b.vec_id),
+    {p}r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, nid) AS rk FROM {p}p),
+    {p}nn1 AS (SELECT qid, nid FROM {p}r WHERE rk = 1),
+    {p}links AS (SELECT a.qid AS a_id, a.nid AS b_id FROM {p}nn1 a JOIN {p}nn1 b ON a.qid = b.nid AND a.nid = b.qid),
+    {p}tl AS (SELECT l.a_id, l.b_id, ea.label AS a_y, eb.label AS b_y
+           FROM {p}links l JOIN {src} ea ON ea.vec_id = l.a_id JOIN {src} eb ON eb.vec_id = l.b_id
+           WHERE ea.label <> eb.label),
+    {p}cnt AS (SELECT label, count(*) AS n FROM {src} GROUP BY label),
+    {p}minority AS (SELECT label FROM {p}cnt ORDER BY n, label LIMIT 1),
+    {p}kept AS (SELECT * FROM {src}
+               WHERE vec_id NOT IN (SELECT a_id FROM {p}tl WHERE a_y <> (SELECT label FROM {p}minority)))
 """
 
 
+SMOTE_SQL = f"WITH e AS ({EMB_SQL}), " + smote_ctes("e")
+
+
 @register("smote_synthetic", SMOTE_SQL + f"""
     SELECT label, id, base_id, slot, nn_id, gap, nv[1] AS v0, {_sig_sql('list_sum(nv)')} AS v_sum FROM syn
 """)
@@ -102,18 +130,7 @@ def q_smote_balance(spark, sf_dir):
 
 
 # ── J6 / B3: Tomek links ────────────────────────────────────────────────────
-TOMEK_SQL = f"""
-    WITH e AS ({EMB_SQL}),
-    p AS (SELECT a.vec_id AS qid, b.vec_id AS nid, {D2_SQL} AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, nid) AS rk FROM p),
-    nn1 AS (SELECT qid, nid FROM r WHERE rk = 1),
-    links AS (SELECT a.qid AS a_id, a.nid AS b_id FROM nn1 a JOIN nn1 b ON a.qid = b.nid AND a.nid = b.qid),
-    tl AS (SELECT l.a_id, l.b_id, ea.label AS a_y, eb.label AS b_y
-           FROM links l JOIN e ea ON ea.vec_id = l.a_id JOIN e eb ON eb.vec_id = l.b_id
-           WHERE ea.label <> eb.label),
-    cnt AS (SELECT label, count(*) AS n FROM e GROUP BY label),
-    minority AS (SELECT label FROM cnt ORDER BY n, label LIMIT 1)
-"""
+TOMEK_SQL = f"WITH e AS ({EMB_SQL}), " + tomek_ctes("e")
 
 
 @register("tomek_links", TOMEK_SQL + "SELECT a_id, b_id, a_y, b_y FROM tl")
@@ -122,10 +139,7 @@ def q_tomek_links(spark, sf_dir):
     return tomek_links(embeddings(spark, sf_dir), "label", "vec_id", "vec", seed=SEED)
 
 
-@register("tomek_resample", TOMEK_SQL + """
-    SELECT vec_id, label FROM e
-    WHERE vec_id NOT IN (SELECT a_id FROM tl WHERE a_y <> (SELECT label FROM minority))
-""")
+@register("tomek_resample", TOMEK_SQL + "SELECT vec_id, label FROM kept")
 def q_tomek_resample(spark, sf_dir):
     from tabula.operators.rebalance import tomek
     return tomek(embeddings(spark, sf_dir), "label", "vec_id", "vec", seed=SEED).select("vec_id", "label")
@@ -153,15 +167,10 @@ def q_knn_classifier(spark, sf_dir):
     from tabula.operators.neighbors import knn_vote
     from tabula.operators.split import stratified_split
     s = stratified_split(embeddings(spark, sf_dir), "label", "vec_id", seed=SEED)
-    s = cut_lineage_df(s)
+    s = cut_lineage(s)
     tr = s.where(F.col("split") == "train")
     qs = s.where(F.col("split") != "train")
     nn = knn(qs, tr, K, "vec_id", "vec_id", "vec")
     pred = knn_vote(nn, tr, "vec_id", "label")
     return (qs.select("vec_id", "split", F.col("label").alias("y_true"))
             .join(pred.withColumnRenamed("qid", "vec_id"), on="vec_id"))
-
-
-def cut_lineage_df(df):
-    from tabula.session import cut_lineage
-    return cut_lineage(df)

@@ -90,7 +90,7 @@ def count_and_head(df: DataFrame) -> tuple[int, list]:
 # ── R9 ──────────────────────────────────────────────────────────────────────
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """A JSON report ``{run: {metric: value}}`` as the long table ``(run, metric, value)``."""
-    raw = spark.read.option("multiLine", True).json(path)
+    raw = spark.read.option("multiLine", True).option("wholetext", False).json(path)
     runs = [F.struct(F.lit(r).alias("run"),
                      F.to_json(F.col(f"`{r}`")).alias("m")) for r in raw.columns]
     schema = T.MapType(T.StringType(), T.DoubleType())
