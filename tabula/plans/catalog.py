@@ -57,3 +57,4 @@ from tabula.plans import evaluation  # noqa: E402,F401
 from tabula.plans import neighbours  # noqa: E402,F401
 from tabula.plans import preparation  # noqa: E402,F401
 from tabula.plans import training  # noqa: E402,F401
+from tabula.plans import learners  # noqa: E402,F401
