@@ -59,3 +59,4 @@ from tabula.plans import preparation  # noqa: E402,F401
 from tabula.plans import training  # noqa: E402,F401
 from tabula.plans import learners  # noqa: E402,F401
 from tabula.plans import scoring  # noqa: E402,F401
+from tabula.plans import tables  # noqa: E402,F401
