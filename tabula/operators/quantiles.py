@@ -4,113 +4,138 @@ Spark's ``percentile`` keeps a value→count map per group in one task, which
 does not survive a high-cardinality column at scale; ``percentile_approx`` is
 bounded but inexact.  This operator is exact and bounded:
 
-1. one aggregate gives ``n``, ``min``, ``max`` per (group, column);
+1. one aggregate gives ``n``, ``min``, ``max`` per (group, column) — a small
+   table collected to the driver;
 2. the target ranks ``floor/ceil((n-1)·p)`` are located by a histogram of
-   ``n_bins`` equal-width bins over the current value range — counts per bin
-   are a small table, and running offsets over it find the bin holding each
-   rank;
+   ``n_bins`` equal-width bins over each open search range: one aggregate over
+   the data (ranges broadcast, partial aggregation), whose result — at most
+   ``ranges × n_bins`` rows — is collected and scanned on the driver;
 3. a bin whose values are all equal resolves its ranks; a bin with at most
-   ``exact_rows`` rows is ranked exactly by a window over that bin only;
-   otherwise the search repeats inside the bin's value range.
+   ``exact_rows`` rows is resolved by one job that ranks just those rows
+   (a window per range) and returns only the requested ranks; a larger bin
+   becomes the next search range (values spread over a narrower interval).
 
-Each round is one pass over the (filtered) long-form data.  Interpolation is
-``lo + (hi - lo) * frac`` — linear, like pandas ``quantile`` and DuckDB
-``quantile_cont``.
+Usually three jobs in total: stats, one histogram, one exact pick.
+Interpolation is ``lo + (hi - lo) * frac`` — linear, like pandas ``quantile``
+and DuckDB ``quantile_cont``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabula.operators.ranking import join_small
-from tabula.session import cut_lineage
 
 
 def to_long(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
-    """``(group..., column, x)`` with one row per non-null value."""
+    """``(group..., column, x)`` with one row per non-null, non-NaN value."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])
     return (df.select(*group_cols, F.explode(pairs).alias("_p"))
             .select(*group_cols, "_p.column", "_p.x").where(F.col("x").isNotNull() & ~F.isnan("x")))
 
 
+def _ranges_frame(spark, keys, key_types, ranges):
+    fields = [T.StructField(k, t, True) for k, t in zip(keys, key_types)]
+    fields += [T.StructField("rid", T.IntegerType()), T.StructField("lo", T.DoubleType()),
+               T.StructField("hi", T.DoubleType())]
+    return spark.createDataFrame([(*kv, i, lo, hi) for i, (kv, lo, hi) in enumerate(ranges)], T.StructType(fields))
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    group_cols: Sequence[str] = (), n_bins: int = 4096, exact_rows: int = 200_000,
-                    max_rounds: int = 8) -> DataFrame:
+                    group_cols: Sequence[str] = (), n_bins: int = 1024, exact_rows: int = 100_000,
+                    max_rounds: int = 16) -> DataFrame:
     """Long table ``(group..., column, prob, value)``; NULL value when a column has no values."""
+    spark = df.sparkSession
     g = list(group_cols)
-    long = to_long(df, cols, g)
     keys = [*g, "column"]
-    stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    stats = cut_lineage(stats)
-
-    prob_tab = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    targets = (stats.select(*keys, "n", "lo", "hi", prob_tab)
-               .withColumn("pos", (F.col("n") - 1).cast("double") * F.col("prob"))
-               .withColumn("k_lo", F.floor("pos").cast("bigint"))
-               .withColumn("k_hi", F.ceil("pos").cast("bigint")))
-    # Rank requests: (keys, k) with the current search range [lo, hi] and the
-    # number of values below lo ("start").
-    reqs = (targets.select(*keys, F.explode(F.array_distinct(F.array("k_lo", "k_hi"))).alias("k"), "lo", "hi")
-            .withColumn("start", F.lit(0).cast("bigint")).withColumn("n_in", F.lit(None).cast("bigint")))
-    resolved = []
+    long = to_long(df, cols, g)
+    key_types = [long.schema[k].dataType for k in keys]
+    stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
+                                    F.max("x").alias("hi")).collect()
+
+    # Requests: rank k of key kv, searched in [lo, hi] with `start` values below lo.
+    targets = []          # (kv, prob, pos, k_lo, k_hi)
+    pending = {}          # (kv, k) -> [lo, hi, start, n_in]
+    for r in stats:
+        kv = tuple(r[k] for k in keys)
+        for p in probs:
+            pos = (r["n"] - 1) * float(p)
+            k_lo, k_hi = math.floor(pos), math.ceil(pos)
+            targets.append((kv, float(p), pos, k_lo, k_hi))
+            for k in (k_lo, k_hi):
+                pending[(kv, k)] = [r["lo"], r["hi"], 0, r["n"]]
+    values: dict = {}
+
     for _ in range(max_rounds):
-        reqs = cut_lineage(reqs)
-        if reqs.isEmpty():
+        for key, (lo, hi, _, _) in list(pending.items()):
+            if lo == hi:
+                values[key] = lo
+                del pending[key]
+        if not pending:
             break
-        done_now = reqs.filter(F.col("lo") == F.col("hi")).select(*keys, "k", F.col("lo").alias("value"))
-        resolved.append(cut_lineage(done_now))
-        open_reqs = reqs.filter(F.col("lo") < F.col("hi"))
-        small = open_reqs.filter(F.col("n_in").isNotNull() & (F.col("n_in") <= exact_rows))
-        large = open_reqs.filter(F.col("n_in").isNull() | (F.col("n_in") > exact_rows))
-
-        # Exact ranking inside small ranges: one window per range.
-        ranges = small.select(*keys, "lo", "hi", "start").distinct()
-        inside = join_small(long, ranges.withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi"), on=keys)
-        inside = inside.where((F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi")))
-        rw = Window.partitionBy(*keys, "_lo").orderBy("x")
-        ranked = inside.withColumn("k", F.col("start") + F.row_number().over(rw) - 1)
-        picked = ranked.join(small.select(*keys, "k").distinct(), on=[*keys, "k"]).select(*keys, "k", F.col("x").alias("value"))
-        resolved.append(cut_lineage(picked))
-
-        # Histogram round for the large ranges.
-        lranges = large.select(*keys, "lo", "hi", "start").distinct()
-        lranges = lranges.withColumn("w", (F.col("hi") - F.col("lo")) / F.lit(float(n_bins)))
-        binned = join_small(long, lranges.withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi"), on=keys)
-        binned = binned.where((F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi")))
-        binned = binned.withColumn("bin", F.least(F.floor((F.col("x") - F.col("_lo")) / F.col("w")),
-                                                  F.lit(n_bins - 1)).cast("int"))
-        hist = binned.groupBy(*keys, "_lo", "start", "bin").agg(
-            F.count(F.lit(1)).alias("cnt"), F.min("x").alias("bmin"), F.max("x").alias("bmax"))
-        hw = Window.partitionBy(*keys, "_lo").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        hist = hist.withColumn("before", F.coalesce(F.sum("cnt").over(hw), F.lit(0)))
-        nxt = (large.withColumnRenamed("lo", "_lo").join(hist, on=[*keys, "_lo", "start"])
-               .where((F.col("k") >= F.col("start") + F.col("before"))
-                      & (F.col("k") < F.col("start") + F.col("before") + F.col("cnt")))
-               .select(*keys, "k", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-                       (F.col("start") + F.col("before")).alias("start"), F.col("cnt").alias("n_in")))
-        reqs = nxt
+        small = {key: v for key, v in pending.items() if v[3] <= exact_rows}
+        large = {key: v for key, v in pending.items() if v[3] > exact_rows}
+
+        if small:
+            ranges = sorted({(key[0], v[0], v[1]) for key, v in small.items()}, key=repr)
+            rid_of = {rg: i for i, rg in enumerate(ranges)}
+            rf = _ranges_frame(spark, keys, key_types, ranges)
+            starts = {rid_of[(key[0], v[0], v[1])]: v[2] for key, v in small.items()}
+            inside = join_small(long, rf, on=keys).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+            wanted = spark.createDataFrame(
+                [(rid_of[(key[0], v[0], v[1])], key[1] - v[2] + 1) for key, v in small.items()],
+                "rid int, rn bigint")
+            ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("rid").orderBy("x")))
+            picked = ranked.join(F.broadcast(wanted), on=["rid", "rn"]).select("rid", "rn", "x").collect()
+            got = {(r["rid"], r["rn"]): r["x"] for r in picked}
+            for key, v in small.items():
+                rid = rid_of[(key[0], v[0], v[1])]
+                values[key] = got[(rid, key[1] - starts[rid] + 1)]
+                del pending[key]
+
+        if large:
+            ranges = sorted({(key[0], v[0], v[1]) for key, v in large.items()}, key=repr)
+            rid_of = {rg: i for i, rg in enumerate(ranges)}
+            rf = _ranges_frame(spark, keys, key_types, ranges)
+            rf = rf.withColumn("w", (F.col("hi") - F.col("lo")) / F.lit(float(n_bins)))
+            binned = join_small(long, rf, on=keys).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+            binned = binned.withColumn("bin", F.least(F.floor((F.col("x") - F.col("lo")) / F.col("w")),
+                                                      F.lit(n_bins - 1)).cast("int"))
+            hist = binned.groupBy("rid", "bin").agg(F.count(F.lit(1)).alias("cnt"), F.min("x").alias("bmin"),
+                                                    F.max("x").alias("bmax")).collect()
+            per_range: dict = {}
+            for h in hist:
+                per_range.setdefault(h["rid"], []).append((h["bin"], h["cnt"], h["bmin"], h["bmax"]))
+            for rows in per_range.values():
+                rows.sort()
+            for key, v in large.items():
+                rid = rid_of[(key[0], v[0], v[1])]
+                before = v[2]
+                for _, cnt, bmin, bmax in per_range[rid]:
+                    if key[1] < before + cnt:
+                        pending[key] = [bmin, bmax, before, cnt]
+                        break
+                    before += cnt
     else:
         raise RuntimeError("quantile search did not converge")
 
-    values = resolved[0]
-    for part in resolved[1:]:
-        values = values.unionByName(part)
-    values = cut_lineage(values)
-    lo_v = values.select(*keys, F.col("k").alias("k_lo"), F.col("value").alias("v_lo"))
-    hi_v = values.select(*keys, F.col("k").alias("k_hi"), F.col("value").alias("v_hi"))
-    out = (targets.join(lo_v, on=[*keys, "k_lo"], how="left").join(hi_v, on=[*keys, "k_hi"], how="left")
-           .select(*keys, "prob",
-                   (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("k_lo"))).alias("value")))
-    # Columns with no values at all get a NULL row per prob.
-    all_keys = df.select(*g).distinct() if g else None
-    if all_keys is None:
-        names = F.explode(F.array(*[F.lit(c) for c in cols])).alias("column")
-        probs_e = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-        full = df.sparkSession.range(1).select(names).select("column", probs_e)
-        out = full.join(out, on=["column", "prob"], how="left")
+    rows = []
+    for kv, p, pos, k_lo, k_hi in targets:
+        v_lo, v_hi = values[(kv, k_lo)], values[(kv, k_hi)]
+        rows.append((*kv, p, v_lo + (v_hi - v_lo) * (pos - k_lo)))
+    fields = [T.StructField(k, t, True) for k, t in zip(keys, key_types)]
+    fields += [T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())]
+    out = spark.createDataFrame(rows, T.StructType(fields))
+    if not g:
+        present = {r["column"] for r in stats}
+        missing = [(c, float(p), None) for c in cols if c not in present for p in probs]
+        if missing:
+            out = out.unionByName(spark.createDataFrame(missing, out.schema))
     return out
 
 
