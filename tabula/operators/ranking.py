@@ -5,7 +5,8 @@ Two shapes recur in the library:
 * **Hashed rank cut** (S1 split, B1 quota): rows of each group are ordered by
   a keyed hash and cut at ranks that depend on the group size.  A window over
   the whole group would put a hot group (a third of all rows) in one task.
-  Instead: count rows per (group, hash bucket) — a small table — take running
+  Instead: count rows per (group, hash bucket) — a small table (about 256
+  rows per bucket, at most 2^20 buckets) — take running
   offsets over that table, and decide whole buckets at once.  Only the rows of
   the (at most one per cut) buckets that straddle a cut are ranked exactly, by
   a window over (group, bucket).
@@ -42,9 +43,15 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(side, on=on, how=how)
 
 
+def bucket_count(n_rows: int, rows_per_bucket: int = 256, max_buckets: int = 1 << 20) -> int:
+    """Power of two near ``n_rows / rows_per_bucket``, between 16 and ``max_buckets``."""
+    target = max(16, min(max_buckets, n_rows // rows_per_bucket))
+    return 1 << (target.bit_length() - 1)
+
+
 def hashed_segments(df: DataFrame, group_cols: Sequence[str], key: str, seed: int,
                     cuts: Callable[[Column], list[Column]], out: str = "segment",
-                    n_buckets: int = 1 << 16, tag: str | None = None) -> DataFrame:
+                    n_buckets: int | None = None, tag: str | None = None) -> DataFrame:
     """Label each row with the index of the rank interval it falls into.
 
     Rows of a group are ordered by ``(hash32(seed, key, tag), key)``; rank ``r``
@@ -53,6 +60,10 @@ def hashed_segments(df: DataFrame, group_cols: Sequence[str], key: str, seed: in
     the only windowed rows are those of buckets that straddle a cut.
     """
     group_cols = list(group_cols)
+    if n_buckets is None:
+        # ~256 rows per bucket: boundary windows stay small, the bucket table stays
+        # a small fraction of the input (at most 2^20 buckets per group).
+        n_buckets = bucket_count(df.count())
     shift = 32 - (n_buckets.bit_length() - 1)
     if 1 << (32 - shift) != n_buckets:
         raise ValueError("n_buckets must be a power of two")

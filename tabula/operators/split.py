@@ -29,7 +29,7 @@ def split_cuts(n: Column, test_size: float = 0.2, val_size: float = 0.25) -> lis
 
 
 def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, test_size: float = 0.2,
-                     val_size: float = 0.25, out: str = "split", n_buckets: int = 1 << 16) -> DataFrame:
+                     val_size: float = 0.25, out: str = "split", n_buckets: int | None = None) -> DataFrame:
     """Add ``out`` ∈ {train, val, test}, exact per-class sizes, no single-class window."""
     seg = hashed_segments(df, [label], key, seed, lambda n: split_cuts(n, test_size, val_size),
                           out="_segment", n_buckets=n_buckets)
