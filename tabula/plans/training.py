@@ -285,3 +285,16 @@ def champion_by_alias(table: DataFrame, alias: DataFrame) -> DataFrame:
     fallback = (M.champion(table, "val_f1", "run_order")
                 .select("run", "val_f1", F.lit("max").alias("source")).where(n_hit == 0))
     return hit.unionByName(fallback)
+
+
+# Fixed parameters: alert thresholds on validation metrics.
+ALERTS = {"val_f1": 0.9, "val_accuracy": 0.9}
+
+
+@register("metric_alerts", GRID_SQL + " UNION ALL ".join(
+    f" SELECT run, '{m}' AS metric, {m} AS value, {S.dbl(t)} AS threshold FROM mval WHERE {m} < {S.dbl(t)}"
+    for m, t in ALERTS.items()))
+def q_metric_alerts(spark, sf_dir):
+    from tabula.operators.drift import metric_alerts
+    _, val, _ = _grid(spark, sf_dir)
+    return metric_alerts(val, ALERTS)
