@@ -17,16 +17,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabula.operators.ranking import join_small, running_totals
+from tabula.session import cut_lineage
 
 
 def _div0(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den.cast("double"))
 
 
-def confusion_counts(df: DataFrame, label: str, pred: str, run_cols: Sequence[str] = ()) -> DataFrame:
-    """``(run..., y_true, y_pred, n)`` — the only pass over the scored rows."""
-    return (df.groupBy(*run_cols, F.col(label).alias("y_true"), F.col(pred).alias("y_pred"))
-            .agg(F.count(F.lit(1)).alias("n")))
+def confusion_counts(df: DataFrame, label: str, pred: str, run_cols: Sequence[str] = (),
+                     materialize: bool = True) -> DataFrame:
+    """``(run..., y_true, y_pred, n)`` — the only pass over the scored rows.
+
+    The result (at most runs × k² rows) is checkpointed by default: every
+    metric reads it several times, and the scored rows must be aggregated once.
+    """
+    cm = (df.groupBy(*run_cols, F.col(label).alias("y_true"), F.col(pred).alias("y_pred"))
+          .agg(F.count(F.lit(1)).alias("n")))
+    return cut_lineage(cm) if materialize else cm
 
 
 def per_class(cm: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
@@ -121,7 +128,8 @@ def roc_points(df: DataFrame, label: str, score: str, positive, group_cols: Sequ
     if not g:
         return roc_points(df.withColumn("_all", F.lit(0)), label, score, positive, ["_all"],
                           drop_intermediate).drop("_all")
-    sc = score_counts(df, label, score, positive, g).withColumn("one", F.lit(1))
+    # Distinct-score counts: read four times below, aggregated from the scored rows once.
+    sc = cut_lineage(score_counts(df, label, score, positive, g).withColumn("one", F.lit(1)))
     cum = running_totals(sc, "score", ["pos", "neg", "one"], descending=True, partition_cols=g,
                          with_next=["pos", "neg"])
     totals = sc.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("m"))
@@ -147,7 +155,7 @@ def roc_auc(df: DataFrame, label: str, score: str, positive, group_cols: Sequenc
     summation order.  The "neg below" count is a running total in two levels.
     """
     g = list(group_cols)
-    sc = score_counts(df, label, score, positive, g)
+    sc = cut_lineage(score_counts(df, label, score, positive, g))
     cum = running_totals(sc, "score", ["neg"], descending=False, partition_cols=g)
     # cum_neg includes this score's negatives; those strictly below are cum_neg - neg.
     part = cum.select(*g, (F.col("pos") * ((F.col("cum_neg") - F.col("neg")) + F.col("neg") * F.lit(0.5))).alias("u"),
