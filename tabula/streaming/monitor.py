@@ -14,8 +14,14 @@ def rolling_counts(scored: DataFrame, window: str = "1 hour", ts: str = "created
     ``'10 minutes'``) so state for closed windows is dropped and rows later
     than the watermark are ignored.
     """
-    src = scored.withWatermark(ts, watermark) if watermark else scored
+    ts_type = scored.schema[ts].dataType
+    src = scored
+    if watermark:
+        # Watermarks need an instant-typed event time; windows are cast back so the
+        # stream and the batch form share one schema.
+        src = scored.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     g = src.groupBy(F.window(F.col(ts), window).alias("w"), "predicted_quality").agg(
         F.count(F.lit(1)).alias("n_predictions"), F.avg("confidence").alias("mean_confidence"))
-    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+    return g.select(F.col("w.start").cast(ts_type).alias("window_start"),
+                    F.col("w.end").cast(ts_type).alias("window_end"),
                     "predicted_quality", "n_predictions", "mean_confidence")
