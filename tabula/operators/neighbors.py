@@ -89,23 +89,29 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
     tables = {g: (np.array([c for c, _, _ in rows]), np.array([n for _, n, _ in rows], dtype=np.int64),
                   np.array([rad for _, _, rad in rows])) for g, rows in by_group.items()}
 
+    def prune(d: np.ndarray, cells: np.ndarray, cnt: np.ndarray, rad: np.ndarray) -> list:
+        """Candidate cells for a block of queries of one group (vectorised)."""
+        d = d[:, cells]
+        upper = d + rad
+        order = np.argsort(upper, axis=1, kind="stable")
+        reach = np.cumsum(cnt[order], axis=1)
+        j = np.minimum((reach < need).sum(axis=1), len(cells) - 1)
+        ub = np.take_along_axis(upper, order, axis=1)[np.arange(len(d)), j]
+        ok = (d - rad) <= (ub * (1 + 1e-9) + 1e-12)[:, None]
+        return [cells[row].astype("int32").tolist() for row in ok]
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def candidate_cells(g: pd.Series, v: pd.Series) -> pd.Series:
         d_all = _pivot_distances(v, pivots)
-        out = []
-        for i, gv in enumerate(g.to_numpy()):
-            tab = tables.get(gv)
+        out = [[] for _ in range(len(v))]
+        gv = g.to_numpy()
+        for key in pd.unique(gv):
+            tab = tables.get(key)
             if tab is None:
-                out.append([])
                 continue
-            cells, cnt, rad = tab
-            d = d_all[i, cells]
-            order = np.argsort(d + rad, kind="stable")
-            reach = np.cumsum(cnt[order])
-            j = int(np.searchsorted(reach, need))
-            ub = (d + rad)[order[min(j, len(order) - 1)]]
-            ok = (d - rad) <= ub * (1 + 1e-9) + 1e-12
-            out.append(cells[ok].astype("int32").tolist())
+            rows = np.flatnonzero(gv == key)
+            for i, cand in zip(rows, prune(d_all[rows], *tab)):
+                out[i] = cand
         return pd.Series(out)
 
     Lx = L.withColumn("cell", F.explode(candidate_cells("g", "v")))
@@ -143,17 +149,25 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
         res_q, res_n, res_d = [], [], []
         step = max(1, (1 << 22) // max(1, X.shape[0] * X.shape[1]))
         for s in range(0, len(qid), step):
+            qs = qid[s:s + step]
             diff = Q[s:s + step, None, :] - X[None, :, :]
             d2 = (diff * diff).sum(axis=2)
-            for i in range(d2.shape[0]):
-                row = d2[i]
-                if exclude_self:
-                    row = np.where(rid == qid[s + i], np.inf, row)
-                order = np.lexsort((rank_of_id, row))[:kk]
-                order = order[np.isfinite(row[order])]
-                res_q.append(np.repeat(qid[s + i:s + i + 1], len(order)))
-                res_n.append(rid[order])
-                res_d.append(row[order])
+            if exclude_self:
+                d2 = np.where(rid[None, :] == qs[:, None], np.inf, d2)
+            # k smallest per row; ties at the k-th distance are settled by id below.
+            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+            tied = (d2 <= kth[:, None]).sum(axis=1) > kk
+            cand = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
+            rows = np.arange(len(qs))[:, None]
+            order = np.lexsort((rank_of_id[cand], d2[rows, cand]), axis=-1)
+            cand = np.take_along_axis(cand, order, axis=1)
+            for i in np.flatnonzero(tied):
+                cand[i] = np.lexsort((rank_of_id, d2[i]))[:kk]
+            dist = d2[rows, cand]
+            keep = np.isfinite(dist)
+            res_q.append(np.repeat(qs, keep.sum(axis=1)))
+            res_n.append(rid[cand][keep])
+            res_d.append(dist[keep])
         return pd.DataFrame({"qid": np.concatenate(res_q), "nid": np.concatenate(res_n),
                              "d2": np.concatenate(res_d)})
 
