@@ -30,7 +30,7 @@ def smote_plan(sizes: dict) -> dict:
 
 
 def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: int = 42,
-          keep_originals: bool = True) -> DataFrame:
+          keep_originals: bool = True, neighbours: DataFrame | None = None) -> DataFrame:
     """Over-sample every non-majority class to the majority size with synthetic rows.
 
     For class ``c`` with ``n`` rows and ``m`` rows to add, base row ``i`` gets
@@ -43,6 +43,7 @@ def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: in
     Output: ``(label, id, vec, base_id, slot, nn_id, gap)``; the originals
     (when kept) have NULL ``base_id``/``slot``/``nn_id``/``gap`` and their own id;
     synthetic ids are ``'<base>:<slot>'`` strings, originals their id as text.
+    ``neighbours`` may pass a precomputed same-class ``knn`` result ``(qid, rank, nid)``.
     """
     sizes = class_sizes(df, label)
     adds = smote_plan(sizes)
@@ -65,8 +66,9 @@ def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: in
     slots = (slots.withColumn("_key", slot_key)
              .withColumn("nn_rank", (F.pmod(hash32(seed, F.col("_key"), "nn"), k_eff) + 1).cast("int"))
              .withColumn("gap", hash32(seed, F.col("_key"), "gap") / F.lit(TWO_32)))
-    nn = knn(minority, minority, k, "base_id", "base_id", "_x", group="_y", exclude_self=True, seed=seed)
-    nn = cut_lineage(nn)
+    if neighbours is None:
+        neighbours = minority_neighbours(minority, "_y", "base_id", "_x", k, seed)
+    nn = neighbours
     picked = slots.join(nn.select(F.col("qid").alias("base_id"), F.col("rank").alias("nn_rank"),
                                   F.col("nid").alias("nn_id")), on=["base_id", "nn_rank"])
     partner = minority.select(F.col("base_id").alias("nn_id"), F.col("_x").alias("_n"))
@@ -84,6 +86,11 @@ def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: in
     return originals.unionByName(synth)
 
 
+def minority_neighbours(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Same-class k nearest neighbours of every row (materialised: read twice downstream)."""
+    return cut_lineage(knn(df, df, k, id_col, id_col, vec, group=label, exclude_self=True, seed=seed))
+
+
 def smote_nc(df: DataFrame, label: str, id_col: str, num_vec: str, cat_cols: list[str], k: int = 5,
              seed: int = 42) -> DataFrame:
     """SMOTE for mixed data (B2): continuous part interpolated as in :func:`smote`;
@@ -106,11 +113,13 @@ def smote_nc(df: DataFrame, label: str, id_col: str, num_vec: str, cat_cols: lis
                   for v in levels]
     enc = enc.withColumn("_mixed", F.concat(F.col(num_vec).cast("array<double>"), F.array(*flags)))
     enc = enc.withColumnRenamed("_y", label)
-    out = smote(enc, label, id_col, "_mixed", k=k, seed=seed)
+    adds = smote_plan(class_sizes(df, label))
+    minority = enc.where(F.col(label).isin(list(adds)))
+    # One neighbour search serves both the interpolation and the categorical vote.
+    nn = minority_neighbours(minority, label, id_col, "_mixed", k, seed)
+    out = smote(enc, label, id_col, "_mixed", k=k, seed=seed, neighbours=nn)
     d = len(df.select(num_vec).first()[0]) if not df.isEmpty() else 0
     out = out.withColumn(num_vec, F.slice("_mixed", 1, d)).drop("_mixed")
-    # Majority vote of categorical values among the base row's neighbours.
-    nn = knn(enc, enc, k, id_col, id_col, "_mixed", group=label, exclude_self=True, seed=seed)
     cats = df.select(F.col(id_col).alias("nid"), *cat_cols)
     votes = nn.join(cats, on="nid")
     for c in cat_cols:
