@@ -155,6 +155,8 @@ def roc_auc(df: DataFrame, label: str, score: str, positive, group_cols: Sequenc
     summation order.  The "neg below" count is a running total in two levels.
     """
     g = list(group_cols)
+    if not g:
+        return roc_auc(df.withColumn("_all", F.lit(0)), label, score, positive, ["_all"]).drop("_all")
     sc = cut_lineage(score_counts(df, label, score, positive, g))
     cum = running_totals(sc, "score", ["neg"], descending=False, partition_cols=g)
     # cum_neg includes this score's negatives; those strictly below are cum_neg - neg.

@@ -106,3 +106,39 @@ def test_tomek_drops_only_majority_side_of_mutual_pairs(spark):
     minority = int(pd.Series(y).value_counts().idxmin())
     dropped = set(range(len(X))) - kept
     assert dropped and all(y[i] != minority for i in dropped)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _windows_without_keys(df) -> list:
+    """Window nodes of the optimised logical plan whose partition spec is empty."""
+    import json
+    nodes = json.loads(df._jdf.queryExecution().optimizedPlan().toJSON())
+    return [n for n in nodes if n.get("class", "").endswith("logical.Window") and not n.get("partitionSpec")]
+
+
+def test_operator_plans_have_keyed_windows_and_no_pair_joins(spark):
+    from tabula.operators import metrics as M
+    from tabula.operators.split import stratified_split
+
+    df, _, _ = _vectors(spark, n=120)
+    scored = df.select("id", "y", F.col("vec")[0].alias("s"))
+    frames = {
+        "split": stratified_split(df, "y", "id"),
+        "roc": M.roc_points(scored, "y", "s", 1),
+        "auc": M.roc_auc(scored, "y", "s", 1),
+        "knn": knn(df, df, 3, "id", "id", "vec", exclude_self=True),
+    }
+    for name, frame in frames.items():
+        plan = _plan(frame)
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        assert _windows_without_keys(frame) == [], name
+
+
+def test_window_detector_flags_an_unkeyed_window(spark):
+    from pyspark.sql import Window
+    df = spark.range(10)
+    assert _windows_without_keys(df.withColumn("r", F.row_number().over(Window.orderBy("id"))))
+    assert not _windows_without_keys(df.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("id"))))
