@@ -48,15 +48,22 @@ def _ranges_frame(spark, keys, key_types, ranges):
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     group_cols: Sequence[str] = (), n_bins: int = 1024, exact_rows: int = 100_000,
-                    max_rounds: int = 16) -> DataFrame:
-    """Long table ``(group..., column, prob, value)``; NULL value when a column has no values."""
+                    max_rounds: int = 16, max_keys: int = 100_000) -> DataFrame:
+    """Long table ``(group..., column, prob, value)``; NULL value when a column has no values.
+
+    The search state lives on the driver, one entry per (group, column, rank):
+    ``max_keys`` bounds the (group, column) pairs; beyond it use
+    ``percentile_approx`` in a grouped aggregate instead.
+    """
     spark = df.sparkSession
     g = list(group_cols)
     keys = [*g, "column"]
     long = to_long(df, cols, g)
     key_types = [long.schema[k].dataType for k in keys]
     stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                                    F.max("x").alias("hi")).collect()
+                                    F.max("x").alias("hi")).limit(max_keys + 1).collect()
+    if len(stats) > max_keys:
+        raise ValueError(f"more than {max_keys} (group, column) pairs: use percentile_approx per group")
 
     # Requests: rank k of key kv, searched in [lo, hi] with `start` values below lo.
     targets = []          # (kv, prob, pos, k_lo, k_hi)

@@ -88,7 +88,13 @@ def hashed_segments(df: DataFrame, group_cols: Sequence[str], key: str, seed: in
     # The bucket table is small (groups x n_buckets); materialise it once so the
     # size check and the join reuse it instead of re-reading the input.
     buckets = cut_lineage(buckets)
-    tagged = join_small(keyed, buckets, on=[*group_cols, "_b"])
+    # Null-safe on the group keys: a NULL class is a class of its own, not dropped.
+    small = buckets.select(*[F.col(c).alias(f"_k_{c}") for c in group_cols],
+                           *[c for c in buckets.columns if c not in group_cols])
+    cond = [keyed[c].eqNullSafe(small[f"_k_{c}"]) for c in group_cols] + [keyed["_b"] == small["_b"]]
+    n_small = small.count()
+    side = F.broadcast(small) if n_small <= BROADCAST_ROWS else small
+    tagged = keyed.join(side, on=cond).drop(small["_b"]).drop(*[f"_k_{c}" for c in group_cols])
 
     decided = tagged.filter(F.col("_seg").isNotNull()).withColumn(out, F.col("_seg"))
     boundary = tagged.filter(F.col("_seg").isNull())

@@ -152,3 +152,12 @@ def test_labels_and_names(spark):
     assert (r[0]["l"], r[0]["s"], r[0]["a"], r[0]["n"], r[0]["d"], r[0]["conf"]) == \
         ("Not Good", "SMOTE", "random_forest", "Tomek_knn", 0.0, 0.7)
     assert (r[1]["l"], r[1]["s"], r[1]["a"]) == ("5", "single", "Unknown")
+
+
+def test_split_keeps_rows_with_null_class(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    out = stratified_split(df, "y", "id", n_buckets=16).collect()
+    assert len(out) == 60
+    nulls = [r["split"] for r in out if r["y"] is None]
+    assert nulls.count("test") == math.ceil(0.2 * 20)
