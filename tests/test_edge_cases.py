@@ -161,3 +161,23 @@ def test_split_keeps_rows_with_null_class(spark):
     assert len(out) == 60
     nulls = [r["split"] for r in out if r["y"] is None]
     assert nulls.count("test") == math.ceil(0.2 * 20)
+
+
+def test_original_layouts_unify_and_score_inputs_validate(spark):
+    from tabula.functions.schema import INPUT_BOUNDS, INPUT_DEFAULTS, SCORING_FEATURE_ORDER, processed_projection
+    from tabula.operators.clean import range_violation_counts
+    raw = spark.createDataFrame([tuple([7.0] * 11) + (6.7,), tuple([7.0] * 11) + (None,)],
+                                ", ".join(f"`{c}` double" for c in [
+                                    "fixed acidity", "volatile acidity", "citric acid", "residual sugar", "chlorides",
+                                    "free sulfur dioxide", "total sulfur dioxide", "density", "pH", "sulphates",
+                                    "alcohol", "quality"]))
+    aliases, optional, label = processed_projection()
+    out = unify_schema(raw, aliases, optional).where(F.col("quality").isNotNull()).withColumn("quality", label("quality"))
+    r = out.collect()
+    assert len(r) == 1 and r[0]["quality"] == 1 and r[0]["type"] is None
+    enc = one_hot(out, "type", levels=["red", "white"])
+    assert align_features(enc, SCORING_FEATURE_ORDER).columns == SCORING_FEATURE_ORDER
+    defaults = spark.createDataFrame([tuple(INPUT_DEFAULTS[c] for c in INPUT_BOUNDS)],
+                                     ", ".join(f"{c} double" for c in INPUT_BOUNDS))
+    v = range_violation_counts(defaults, INPUT_BOUNDS).collect()
+    assert all(x["n_below"] == 0 and x["n_above"] == 0 for x in v)
