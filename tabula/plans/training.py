@@ -91,7 +91,6 @@ def _grid(spark, sf_dir):
 # ── DuckDB side ─────────────────────────────────────────────────────────────
 def _metrics_ctes(src: str, keys: list[str], p: str) -> str:
     k = ", ".join(keys)
-    on = " AND ".join(f"x.{c} = y.{c}" for c in keys)
     return f"""
     {p}cm AS (SELECT {k}, y_true, y_pred, count(*) AS n FROM {src} GROUP BY {k}, y_true, y_pred),
     {p}truth AS (SELECT {k}, y_true AS cls, sum(n) AS support FROM {p}cm GROUP BY {k}, y_true),
