@@ -52,7 +52,8 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
     """``(qid, rank, nid, dist)`` — the ``k`` nearest reference rows of every query row.
 
     ``group`` restricts neighbours to rows with the same group value (e.g. the
-    same class).  ``dist`` is the Euclidean distance.
+    same class).  ``dist`` is the Euclidean distance.  Ids must be unique on
+    each side.
     """
     spark = left.sparkSession
     gcol = [group] if group else []
@@ -114,8 +115,9 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
                 out[i] = cand
         return pd.Series(out)
 
-    Lx = L.withColumn("cell", F.explode(candidate_cells("g", "v")))
-    Lx = cut_lineage(Lx)
+    # Only (query, cell) pairs are materialised; vectors are joined back by id when
+    # the blocks are built, so weak pruning does not write a vector per cell.
+    Lx = cut_lineage(L.select("qid", "g", F.explode(candidate_cells("g", "v")).alias("cell")))
     q_counts = Lx.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("nq"))
     r_counts = Rc.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("nr"))
     plan = (q_counts.join(r_counts, on=["g", "cell"])
@@ -127,7 +129,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
           .withColumn("sub", F.pmod(hash32(seed, "rid", "sub"), F.col("n_sub")).cast("int"))
           .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunk") - 1)))
           .select("g", "cell", "sub", "chunk", "rid", "v"))
-    Lb = (join_small(Lx, plan, on=["g", "cell"])
+    Lb = (join_small(Lx, plan, on=["g", "cell"]).join(L.select("qid", "v"), on="qid")
           .withColumn("chunk", F.pmod(hash32(seed, "qid", "chunk"), F.col("n_chunk")).cast("int"))
           .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
           .select("g", "cell", "sub", "chunk", "qid", "v"))
