@@ -212,3 +212,17 @@ def q_derived_features(spark, sf_dir):
     out = derive_features(lineitem_gaps(spark, sf_dir), DERIVED)
     return out.select("l_orderkey", "l_linenumber", P.sig(F.col("log_price"), 10).alias("log_price"),
                       "tax_per_discount", "mean_rate", "bulk")
+
+
+@register("range_flags", f"""
+    SELECT l_orderkey, l_linenumber,
+           {', '.join(f"coalesce({c} < {S.dbl(lo)} OR {c} > {S.dbl(hi)}, false) AS {c}_out" for c, (lo, hi) in LINEITEM_BOUNDS.items())},
+           {' + '.join(f"CAST(coalesce({c} < {S.dbl(lo)} OR {c} > {S.dbl(hi)}, false) AS INTEGER)" for c, (lo, hi) in LINEITEM_BOUNDS.items())}
+             AS n_violations
+    FROM ({LI_GAPS_SQL})
+""")
+def q_range_flags(spark, sf_dir):
+    """X22 per row: which inputs fall outside their bounds (NULL is not a violation)."""
+    from tabula.operators.clean import range_violations
+    out = range_violations(lineitem_gaps(spark, sf_dir), LINEITEM_BOUNDS)
+    return out.select("l_orderkey", "l_linenumber", *[f"{c}_out" for c in LINEITEM_BOUNDS], "n_violations")
