@@ -61,6 +61,8 @@ def split_sizes(df: DataFrame, split: str = "split", label: str | None = None) -
 def split_class_shares(df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
     """Per split and class: rows, share of the split (%) and share of the class (%)."""
     counts = df.groupBy(split, label).agg(F.count(F.lit(1)).alias("n_rows"))
-    return (counts
-            .withColumn("pct_of_split", F.round(F.col("n_rows") * 100.0 / F.sum("n_rows").over(Window.partitionBy(split)), 2))
-            .withColumn("pct_of_class", F.round(F.col("n_rows") * 100.0 / F.sum("n_rows").over(Window.partitionBy(label)), 2)))
+    def share(over: str):
+        total = F.sum("n_rows").over(Window.partitionBy(over)).cast("double")
+        return F.round(F.col("n_rows").cast("double") * F.lit(100.0) / total, 2)
+
+    return counts.withColumn("pct_of_split", share(split)).withColumn("pct_of_class", share(label))

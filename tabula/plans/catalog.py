@@ -60,3 +60,18 @@ from tabula.plans import training  # noqa: E402,F401
 from tabula.plans import learners  # noqa: E402,F401
 from tabula.plans import scoring  # noqa: E402,F401
 from tabula.plans import tables  # noqa: E402,F401
+
+
+@register("split_class_shares", f"""
+    WITH s AS ({orders_split_sql(SEED)}),
+    c AS (SELECT split, label, count(*) AS n_rows FROM s GROUP BY split, label)
+    SELECT split, label, n_rows,
+           {S.rnd('CAST(n_rows AS DOUBLE) * 100.0 / CAST(sum(n_rows) OVER (PARTITION BY split) AS DOUBLE)', 2)} AS pct_of_split,
+           {S.rnd('CAST(n_rows AS DOUBLE) * 100.0 / CAST(sum(n_rows) OVER (PARTITION BY label) AS DOUBLE)', 2)} AS pct_of_class
+    FROM c
+""")
+def q_split_class_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E11 per class: the stratification check (each class's share in each split)."""
+    from tabula.operators.split import split_class_shares
+    df = stratified_split(orders_labelled(spark, sf_dir), "label", "o_orderkey", seed=SEED)
+    return split_class_shares(df, "split", "label")
