@@ -82,3 +82,24 @@ SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesc
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
 FROM d LEFT JOIN g USING (rid)
 """
+
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+    f AS (SELECT digest, min(page_id) AS least FROM p GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+    CASE WHEN n >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to
+FROM p JOIN f USING (digest)
+"""
+
+_ESCAPED = "replace(replace({c}, chr(92), chr(92) || chr(92)), '<|', chr(92) || 'l')"
+_ROLE = f"replace({_ESCAPED.format(c='role')}, chr(10), chr(92) || 'n')"
+CHAT = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(length({_ROLE}) + length({_ESCAPED.format(c='text')}) + length('<|im_start|>' || '<|im_end|>') + 2)::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
