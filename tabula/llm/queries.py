@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import archive, chat, decontamination, hosts, mixing, oracle, quality, secrets, simhash
+from tabula.llm import archive, chat, decontamination, hosts, mixing, oracle, quality, secrets, simhash, substrings
 from tabula.session import ensure_checkpoint_dir
 from tabula.sources.readers import read_table
 
@@ -73,3 +73,8 @@ def op10(spark, sf_dir):
         ("conv_id", F.lit(-1)), ("turn", F.col("id")), ("role", F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))),
         ("text", F.lit(CONTROL_TEXT)))])
     return chat.report(rows.unionByName(more))
+
+
+@_register("op7_substrings")
+def op7(spark, sf_dir):
+    return substrings.report(read_table(spark, sf_dir, "documents"))
