@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import archive, chat, decontamination, hosts, mixing, oracle, quality, secrets, simhash, substrings
+from tabula.llm import archive, chat, decontamination, hosts, mixing, oracle, quality, secrets, simhash, substrings, toxicity
 from tabula.session import ensure_checkpoint_dir
 from tabula.sources.readers import read_table
 
@@ -27,6 +27,11 @@ def _register(name: str, sql: str | None = None):
     return wrap
 
 
+@_register("op1_toxicity")
+def op1(spark, sf_dir):
+    return toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @_register("op2_decontamination", oracle.DECONTAMINATION)
 def op2(spark, sf_dir):
     return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
