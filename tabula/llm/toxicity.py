@@ -50,7 +50,7 @@ STEM_WORDS = 3         # different toxic words that make their common beginning
 MIN_PURITY = 0.95
 CHANCE = 0.01          # of any term by luck
 CONTEXT = 6            # words on either side
-_WORD = re.compile(r"[\w@$]+")
+_WORD = re.compile(r"[@$]?\w+(?:[@$]+\w+)*")  # look-alike signs inside or before a word, not a run of them after it
 _QUOTES = '"“”„«»'
 #: Fixed word list: verbs and nouns that announce a quotation.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quoting word words term sagte schrieb nannte wort dijo "
