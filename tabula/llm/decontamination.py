@@ -36,8 +36,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(text), GAPS, -1), ""), F.array().cast("array<string>"))
 
 
-def _anchor(size: Column | int, part: Column) -> Column:
-    return F.xxhash64(F.lit(size) if isinstance(size, int) else size, part)
+def _anchor(size: Column, words: list[Column]) -> Column:
+    """Hash of the first words (a null, for a word that isn't there, adds nothing to the hash)."""
+    return F.xxhash64(size, *words)
 
 
 def benchmark_windows(bench: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -51,7 +52,7 @@ def benchmark_windows(bench: DataFrame, width: int = WIDTH) -> DataFrame:
         F.sort_array(F.collect_set("item")).alias("items"))
     a = F.least(F.size("win"), F.lit(ANCHOR))
     return wins.select("win", "items", F.size("win").alias("n"), a.alias("a"),
-                       _anchor(a, F.slice("win", 1, a)).alias("anchor"))
+                       _anchor(a, [F.get("win", F.lit(k)) for k in range(ANCHOR)]).alias("anchor"))
 
 
 def hits(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -68,7 +69,8 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def probes(w: Column, marked: bool) -> Column:
         def of(a: int) -> Column:
-            return F.transform(w, lambda _, i: F.struct(i.alias("pos"), _anchor(a, F.slice(w, i + 1, a)).alias("anchor")))
+            return F.transform(w, lambda x, i: F.struct(
+                i.alias("pos"), _anchor(F.lit(a), [x, *[F.get(w, i + k) for k in range(1, a)]]).alias("anchor")))
 
         kinds = [of(a) for a in lens]
         if marked:
@@ -82,7 +84,10 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
         part = wins.where(F.pmod(F.xxhash64("win"), F.lit(slices)) == k) if slices > 1 else wins
         part = part.unionByName(mark) if k == 0 else part
         first = k == 0
-        at = base.select("doc_id", "h", "w", F.explode(let(F.col("w"), lambda w: probes(w, first))).alias("e"))
+        # As a column of their own the probes leave explode in generated code, where w is not copied for every word.
+        # The outer form keeps the optimizer from computing them twice more for a filter on empty arrays.
+        at = base.select("doc_id", "h", "w", let(F.col("w"), lambda w: probes(w, first)).alias("probes")) \
+            .select("doc_id", "h", "w", F.explode_outer("probes").alias("e"))
         found = at.join(F.broadcast(part), F.col("e.anchor") == F.col("anchor")).where(
             F.when(F.col("n") == 0, F.col("e.pos") < 0).otherwise(
                 (F.col("e.pos") >= 0) & (F.slice(F.col("w"), F.greatest(F.col("e.pos") + 1, F.lit(1)), F.greatest(F.col("n"), F.lit(1))) == F.col("win"))))
