@@ -8,9 +8,10 @@ gone to the siblings of an ancestor, because every subtree's supply bounds its
 allotment from the top.  Each leaf then takes whole epochs and, of the last
 one, the token-prefix in the seeded order of that epoch.
 
-The prefix is found without ordering a leaf in one place: tokens per (leaf,
-65,536 hash ranges), running totals over those ranges, and then only the one
-range that the cut falls into.  All arithmetic is on integers and decimals, so
+The prefix is found without ordering a leaf in one place: tokens per leaf and
+hash range, running totals over 256 ranges, then the same inside the one range
+that the cut falls into, ``DEPTH`` times; only the rows of the last range (a
+16-millionth of the leaf) are put in order.  All arithmetic is on integers and decimals, so
 results do not depend on the order of addition.
 
 Edge cases: null levels become ``(none)``; a null or empty text has no tokens
@@ -38,7 +39,7 @@ BUDGET = (3, 5)  # part of all tokens of the input
 MAX_EPOCHS = 2
 SEED = 17
 NONE = "(none)"
-_RANGE = 4  # hex digits of the hash ranges
+DEPTH = 3  # rounds of 256 hash ranges
 _DEC = "decimal(38,0)"
 
 
@@ -104,14 +105,21 @@ def plan(narrow: DataFrame, seed: int = SEED, **how) -> DataFrame:
         *levels, F.expr("if(total > 0, alloc div greatest(total, 1), 0)").alias("whole"),
         F.expr("if(total > 0, alloc % greatest(total, 1), 0)").alias("part")), "mix_alloc")
     rows = narrow.join(hinted(alloc.where("part > 0")), levels).withColumn("hash", _hash(F.col("whole"), F.col("doc_id"), seed))
-    rows = rows.withColumn("range", F.substring("hash", 1, _RANGE))
     by_leaf = Window.partitionBy(*levels)
-    ranges = rows.groupBy(*levels, "part", "range").agg(F.sum("tokens").alias("t"))
-    running = ranges.withColumn("upto", F.sum("t").over(by_leaf.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = stored(running.where("upto > part").groupBy(*levels).agg(F.min("range").alias("range"), F.min_by(F.col("part") - F.col("upto") + F.col("t"), "range").alias("room")), "mix_cut")
-    inside = rows.join(hinted(cut), [*levels, "range"]).groupBy(*levels, "room", "hash").agg(F.sum("tokens").alias("t"))
-    taken = inside.withColumn("upto", F.sum("t").over(by_leaf.orderBy("hash").rowsBetween(Window.unboundedPreceding, 0))) \
-        .where("upto <= room").groupBy(*levels).agg(F.max("hash").alias("hash"))
+
+    def upto(parts: DataFrame, by: str) -> DataFrame:
+        return parts.withColumn("upto", F.sum("t").over(by_leaf.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+
+    cut = alloc.where("part > 0").select(*levels, F.lit("").alias("range"), F.col("part").alias("room"))
+    for depth in range(1, DEPTH + 1):
+        above = F.substring("hash", 1, 2 * depth - 2)
+        inside = rows.withColumn("range", above).join(hinted(cut), [*levels, "range"])
+        ranges = inside.withColumn("range", F.substring("hash", 1, 2 * depth)).groupBy(*levels, "room", "range").agg(F.sum("tokens").alias("t"))
+        cut = stored(upto(ranges, "range").where("upto > room").groupBy(*levels).agg(
+            F.min("range").alias("range"), F.min_by(F.col("room") - F.col("upto") + F.col("t"), "range").alias("room")), "mix_cut")
+    inside = rows.withColumn("range", F.substring("hash", 1, 2 * DEPTH)).join(hinted(cut), [*levels, "range"])
+    hashes = inside.groupBy(*levels, "room", "hash").agg(F.sum("tokens").alias("t"))
+    taken = upto(hashes, "hash").where("upto <= room").groupBy(*levels).agg(F.max("hash").alias("hash"))
     last = cut.join(taken, levels, "left").select(*levels, F.coalesce("hash", "range").alias("cut"))
     return alloc.select(*levels, "whole").join(last, levels, "left")
 
