@@ -83,7 +83,8 @@ def _measure(texts: pd.Series) -> pd.DataFrame:
 
 def measured(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
     """``docs`` plus a struct column ``out``: the measures and one flag per rule."""
-    m = F.pandas_udf(_measure, MEASURES)(F.col(text).cast("binary"))
+    # declared nondeterministic only so that the optimizer neither repeats it nor pushes it below a join
+    m = F.pandas_udf(_measure, MEASURES).asNondeterministic()(F.col(text).cast("binary"))
     tmp, = fresh(docs, f"{out}_m")
     d = docs.withColumn(tmp, m)
     c = {n.split()[0]: F.col(f"{tmp}.{n.split()[0]}") for n in MEASURES.split(", ")}
