@@ -58,7 +58,7 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """(src, dst, w): links between different hosts that have pages, and edges between a host and its parent domain."""
-    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("to"))
+    links = pages.select(F.col("host").alias("src"), F.explode_outer(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("to"))
     links = links.select("src", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).otherwise(F.col("to"))).alias("dst"))
     links = links.where("dst <> '' and src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     known = hosts.select(F.col("host").alias("dst"))
