@@ -28,15 +28,19 @@ def class_label(c, labels: dict[int, str] | None = None) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), c.cast("int")), c.cast("string"))
 
 
-def _first_present(cleaned: Column, keys: list[str]) -> Column:
-    """Value of the first alias present as a key (present-with-null counts as present)."""
+def _first_present(cleaned: Column, keys) -> Column:
+    """Value of the first of ``keys`` that occurs; of equal cleaned keys the last entry wins."""
     expr = F.lit(None).cast("double")
-    for key in reversed(keys):
-        expr = F.when(F.array_contains(F.map_keys(cleaned), F.lit(key)),
-                      cleaned[F.lit(key)]).otherwise(expr)
+    for key in reversed(list(keys)):
+        own = _own(cleaned, key)
+        expr = F.when(F.size(own) > 0, F.element_at(own, -1)["value"]).otherwise(expr)
     return expr
 
 
+def _own(cleaned: Column, key: str) -> Column:
+    return F.filter(cleaned, lambda e: e["key"] == F.lit(key))
+
+
 def extract_probabilities(prob_map) -> tuple[Column, Column]:
     """(prob_not_good, prob_good) from a ``map<string, any>``.
 
@@ -44,11 +48,11 @@ def extract_probabilities(prob_map) -> tuple[Column, Column]:
     One side missing is the complement of the other; both missing gives (0, 0).
     """
     m = as_col(prob_map)
-    cleaned = F.map_from_entries(F.transform(
+    cleaned = F.transform(
         F.map_entries(m),
         lambda e: F.struct(clean_label(e["key"]).alias("key"),
                            F.coalesce(e["value"].cast("string").try_cast("double"),
-                                      F.lit(0.0)).alias("value"))))
+                                      F.lit(0.0)).alias("value")))
     neg = _first_present(cleaned, NEGATIVE_KEYS)
     pos = _first_present(cleaned, POSITIVE_KEYS)
     both_missing = neg.isNull() & pos.isNull()

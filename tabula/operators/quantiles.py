@@ -7,7 +7,8 @@ bounded but inexact.  This operator is exact and bounded:
 1. one aggregate gives ``n``, ``min``, ``max`` per (group, column) — a small
    table collected to the driver;
 2. the target ranks ``floor/ceil((n-1)·p)`` are located by a histogram of
-   ``n_bins`` equal-width bins over each open search range: one aggregate over
+   ``n_bins`` equal-width bins over each open search range, on a logarithmic
+   scale where the range spans many powers of two: one aggregate over
    the data (ranges broadcast, partial aggregation), whose result — at most
    ``ranges × n_bins`` rows — is collected and scanned on the driver;
 3. a bin whose values are all equal resolves its ranks; a bin with at most
@@ -15,7 +16,9 @@ bounded but inexact.  This operator is exact and bounded:
    (a window per range) and returns only the requested ranks; a larger bin
    becomes the next search range (values spread over a narrower interval).
 
-Usually three jobs in total: stats, one histogram, one exact pick.
+Usually three jobs in total: stats, one histogram, one exact pick.  A round on the
+logarithmic scale leaves a few powers of two, and every linear round a 1024th
+of the range, so the search ends after a handful of rounds for any doubles.
 Interpolation is ``lo + (hi - lo) * frac`` — linear, like pandas ``quantile``
 and DuckDB ``quantile_cont``.
 """
@@ -24,12 +27,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabula.operators.ranking import join_small
+from tabula.operators.ranking import small_side
 
 
 def to_long(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -42,18 +46,38 @@ def to_long(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ())
 def _ranges_frame(spark, keys, key_types, ranges):
     fields = [T.StructField(k, t, True) for k, t in zip(keys, key_types)]
     fields += [T.StructField("rid", T.IntegerType()), T.StructField("lo", T.DoubleType()),
-               T.StructField("hi", T.DoubleType())]
-    return spark.createDataFrame([(*kv, i, lo, hi) for i, (kv, lo, hi) in enumerate(ranges)], T.StructType(fields))
+               T.StructField("hi", T.DoubleType()), T.StructField("log", T.BooleanType())]
+    return spark.createDataFrame([(*kv, i, lo, hi, _spans_scales(lo, hi)) for i, (kv, lo, hi) in enumerate(ranges)], T.StructType(fields))
+
+
+def _spans_scales(lo: float, hi: float) -> bool:
+    """Whether equal-width bins would put most scales of [lo, hi] into one bin."""
+    least, most = sorted((abs(lo), abs(hi)))
+    return math.isinf(most) or lo < 0 < hi or most / 2.0 ** 20 > least
+
+
+def _scale(x):
+    """Monotone image of a double: its power of two with its sign, zero in the middle, the infinities at the ends."""
+    size = F.least(F.log2(F.abs(x)), F.lit(1025.0)) + F.lit(1100.0)
+    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0.0))
+
+
+def _inside(long: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``long`` within the ranges of their key (a null group is a group of its own)."""
+    r = small_side(ranges).withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    match = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return long.join(r, match)
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     group_cols: Sequence[str] = (), n_bins: int = 1024, exact_rows: int = 100_000,
-                    max_rounds: int = 16, max_keys: int = 100_000) -> DataFrame:
+                    max_keys: int = 100_000) -> DataFrame:
     """Long table ``(group..., column, prob, value)``; NULL value when a column has no values.
 
-    The search state lives on the driver, one entry per (group, column, rank):
-    ``max_keys`` bounds the (group, column) pairs; beyond it use
-    ``percentile_approx`` in a grouped aggregate instead.
+    The search state lives on the driver, one entry per (group, column, rank); where there
+    are more than ``max_keys`` (group, column) pairs, the groups are searched a part at a time.
     """
     spark = df.sparkSession
     g = list(group_cols)
@@ -63,7 +87,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
                                     F.max("x").alias("hi")).limit(max_keys + 1).collect()
     if len(stats) > max_keys:
-        raise ValueError(f"more than {max_keys} (group, column) pairs: use percentile_approx per group")
+        groups = df.select(*g).distinct().count()
+        parts = max(2, -(-groups * len(cols) * 2 // max_keys))
+        part = F.pmod(F.xxhash64(*g), F.lit(parts))
+        done = [exact_quantiles(df.where(part == i), cols, probs, g, n_bins, exact_rows, max_keys) for i in range(parts)]
+        return reduce(DataFrame.unionByName, done)
 
     # Requests: rank k of key kv, searched in [lo, hi] with `start` values below lo.
     targets = []          # (kv, prob, pos, k_lo, k_hi)
@@ -78,7 +106,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 pending[(kv, k)] = [r["lo"], r["hi"], 0, r["n"]]
     values: dict = {}
 
-    for _ in range(max_rounds):
+    while pending:
         for key, (lo, hi, _, _) in list(pending.items()):
             if lo == hi:
                 values[key] = lo
@@ -93,7 +121,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             rid_of = {rg: i for i, rg in enumerate(ranges)}
             rf = _ranges_frame(spark, keys, key_types, ranges)
             starts = {rid_of[(key[0], v[0], v[1])]: v[2] for key, v in small.items()}
-            inside = join_small(long, rf, on=keys).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+            inside = _inside(long, rf, keys)
             wanted = spark.createDataFrame(
                 [(rid_of[(key[0], v[0], v[1])], key[1] - v[2] + 1) for key, v in small.items()],
                 "rid int, rn bigint")
@@ -109,10 +137,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             ranges = sorted({(key[0], v[0], v[1]) for key, v in large.items()}, key=repr)
             rid_of = {rg: i for i, rg in enumerate(ranges)}
             rf = _ranges_frame(spark, keys, key_types, ranges)
-            rf = rf.withColumn("w", (F.col("hi") - F.col("lo")) / F.lit(float(n_bins)))
-            binned = join_small(long, rf, on=keys).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-            binned = binned.withColumn("bin", F.least(F.floor((F.col("x") - F.col("lo")) / F.col("w")),
-                                                      F.lit(n_bins - 1)).cast("int"))
+            at = lambda c: F.when(F.col("log"), _scale(F.col(c))).otherwise(F.col(c))
+            width = at("hi") - at("lo")
+            # halves where the width of a range of the largest doubles overflows
+            share = F.when(width == float("inf"), (at("x") / 2 - at("lo") / 2) / (at("hi") / 2 - at("lo") / 2)) \
+                .otherwise((at("x") - at("lo")) / width)
+            binned = _inside(long, rf, keys).withColumn("bin", F.greatest(F.lit(0), F.least(
+                F.floor(share * n_bins), F.lit(n_bins - 1))).cast("int"))
             hist = binned.groupBy("rid", "bin").agg(F.count(F.lit(1)).alias("cnt"), F.min("x").alias("bmin"),
                                                     F.max("x").alias("bmax")).collect()
             per_range: dict = {}
@@ -128,13 +159,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                         pending[key] = [bmin, bmax, before, cnt]
                         break
                     before += cnt
-    else:
-        raise RuntimeError("quantile search did not converge")
 
     rows = []
     for kv, p, pos, k_lo, k_hi in targets:
         v_lo, v_hi = values[(kv, k_lo)], values[(kv, k_hi)]
-        rows.append((*kv, p, v_lo + (v_hi - v_lo) * (pos - k_lo)))
+        rows.append((*kv, p, v_lo if v_lo == v_hi else v_lo + (v_hi - v_lo) * (pos - k_lo)))
     fields = [T.StructField(k, t, True) for k, t in zip(keys, key_types)]
     fields += [T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())]
     out = spark.createDataFrame(rows, T.StructType(fields))

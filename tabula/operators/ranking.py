@@ -23,24 +23,30 @@ from collections.abc import Callable, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabula.functions.hashing import hash32
 from tabula.session import cut_lineage
 
-# Rows of a table that may be broadcast once its row count is known.
-BROADCAST_ROWS = 2_000_000
+# Bytes of a table that may be broadcast once its rows and widest values are known.
+BROADCAST_BYTES = 32 << 20
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only when its measured row count is within ``max_rows``.
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows times their greatest width fit ``BROADCAST_BYTES``."""
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))]
+    row = df.agg(F.count(F.lit(1)), *[F.max(F.octet_length(F.col(c).cast("string"))) for c in wide]).first()
+    width = 16 * len(df.columns) + sum(x or 0 for x in row[1:])
+    return F.broadcast(df) if row[0] * width <= BROADCAST_BYTES else df
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with ``small`` broadcast only when its measured size allows it.
 
     Above the bound the join is left to the planner (sort-merge / AQE).
-    The caller passes tables that are already aggregates, so the count is cheap.
+    The caller passes tables that are already aggregates, so the measurement is cheap.
     """
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on=on, how=how)
+    return big.join(small_side(small), on=on, how=how)
 
 
 def bucket_count(n_rows: int, rows_per_bucket: int = 256, max_buckets: int = 1 << 20) -> int:
@@ -92,8 +98,7 @@ def hashed_segments(df: DataFrame, group_cols: Sequence[str], key: str, seed: in
     small = buckets.select(*[F.col(c).alias(f"_k_{c}") for c in group_cols],
                            *[c for c in buckets.columns if c not in group_cols])
     cond = [keyed[c].eqNullSafe(small[f"_k_{c}"]) for c in group_cols] + [keyed["_b"] == small["_b"]]
-    n_small = small.count()
-    side = F.broadcast(small) if n_small <= BROADCAST_ROWS else small
+    side = small_side(small)
     tagged = keyed.join(side, on=cond).drop(small["_b"]).drop(*[f"_k_{c}" for c in group_cols])
 
     decided = tagged.filter(F.col("_seg").isNotNull()).withColumn(out, F.col("_seg"))

@@ -15,11 +15,9 @@ from tabula.operators.ranking import hashed_segments, join_small
 from tabula.session import cut_lineage
 
 
-def class_sizes(df: DataFrame, label: str, max_classes: int = 10_000) -> dict:
-    """Class → rows (a bounded collect: one row per class)."""
-    rows = df.groupBy(label).count().limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError("too many classes for rebalancing")
+def class_sizes(df: DataFrame, label: str) -> dict:
+    """Class → rows (one collected row per class)."""
+    rows = df.groupBy(label).count().collect()
     return {r[label]: r["count"] for r in rows}
 
 
@@ -106,9 +104,7 @@ def smote_nc(df: DataFrame, label: str, id_col: str, num_vec: str, cat_cols: lis
     enc = join_small(df.withColumnRenamed(label, "_y"), med, on="_y")
     flags = []
     for c in cat_cols:
-        levels = [r[0] for r in df.select(c).distinct().orderBy(c).limit(1001).collect()]
-        if len(levels) > 1000:
-            raise ValueError(f"{c} has too many levels for SMOTE-NC")
+        levels = [r[0] for r in df.select(c).distinct().orderBy(c).collect()]
         flags += [F.when(F.col(c) == F.lit(v), F.col("_med") / F.lit(2.0)).otherwise(F.lit(0.0))
                   for v in levels]
     enc = enc.withColumn("_mixed", F.concat(F.col(num_vec).cast("array<double>"), F.array(*flags)))

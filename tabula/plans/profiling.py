@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabula.operators import profile as P
@@ -146,12 +147,13 @@ def q_correlation_matrix(spark, sf_dir):
     return P.correlation_matrix(lineitem_gaps(spark, sf_dir), NUM)
 
 
-@register("target_correlation", " UNION ALL ".join(
+@register("target_correlation", "SELECT *, row_number() OVER (ORDER BY abs(corr) DESC, feature)::INT AS rank FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {_sig(f'corr({c}, CAST(l_linestatus = ' + chr(39) + 'F' + chr(39) + ' AS INTEGER))', 9)}"
-    f" AS corr FROM ({LI_GAPS_SQL})" for c in NUM))
+    f" AS corr FROM ({LI_GAPS_SQL})" for c in NUM) + ")")
 def q_target_correlation(spark, sf_dir):
     li = lineitem_gaps(spark, sf_dir).withColumn("target", (F.col("l_linestatus") == "F").cast("int"))
-    return P.target_correlation(li, NUM, "target")
+    ranked = Window.orderBy(F.abs("corr").desc(), "feature")  # one row per feature
+    return P.target_correlation(li, NUM, "target").withColumn("rank", F.row_number().over(ranked))
 
 
 _GAP_COLS = [("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"),
@@ -174,9 +176,9 @@ def q_drop_incomplete(spark, sf_dir):
     return drop_incomplete(lineitem_gaps(spark, sf_dir), NUM).select("l_orderkey", "l_linenumber", *NUM)
 
 
-@register("shape_orders", f"SELECT count(*) AS n_rows, 9 AS n_cols FROM ({ORDERS_LABELLED_SQL})")
+@register("shape_orders", f"SELECT count(*) AS n_rows, (SELECT count(*)::INT FROM (DESCRIBE {ORDERS_LABELLED_SQL})) AS n_cols FROM ({ORDERS_LABELLED_SQL})")
 def q_shape(spark, sf_dir):
-    return P.shape(orders_labelled(spark, sf_dir)).withColumn("n_cols", F.lit(9))
+    return P.shape(orders_labelled(spark, sf_dir))
 
 
 # Fixed parameters of the range check on lineitem (stand-ins for slider bounds).

@@ -49,16 +49,25 @@ def preprocess_stage(spark: SparkSession, raw_csv: str, out_path: str) -> DataFr
     return spark.read.parquet(out_path)
 
 
+def numbered_copies(df: DataFrame, out: str, chunk: int = 4096) -> DataFrame:
+    """``df`` with equal rows numbered from 1.  Copies are counted (so a row that fills a third of the
+    table is one row per task) and spread out again in bounded chunks; no window over equal rows."""
+    n = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))))
+    return n.withColumn(out, F.explode(F.sequence(F.col("_from") + 1, F.least(F.col("_from") + chunk, F.col("_n"))))).drop("_n", "_from")
+
+
 def prepare_stage(spark: SparkSession, processed: str, out_path: str, key: str = "row_key",
                   seed: int = 42) -> DataFrame:
     """One-hot ``type`` and the 60/20/20 split, written partitioned by ``split``.
 
-    The row key is a hash of the row's content (the source has no id), so split
-    membership is reproducible from the data alone, whatever order it is read in.
+    The row key is a hash of the row's content (the source has no id) and, as equal rows
+    need keys of their own, the number of the copy.  So split membership is reproducible
+    from the data alone, whatever order it is read in.
     """
-    df = spark.read.parquet(processed)
+    df = numbered_copies(spark.read.parquet(processed), "_copy")
     content = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
-    df = df.withColumn(key, F.sha2(content, 256))
+    df = df.withColumn(key, F.sha2(content, 256)).drop("_copy")
     df = one_hot(df, "type", levels=TYPE_LEVELS)
     out = stratified_split(df, "quality", key, seed=seed)
     write_parquet(out, out_path, partition_by=["split"])
@@ -98,7 +107,7 @@ def score_stage(spark: SparkSession, requests: DataFrame, model_path: str, log_p
     """Score request rows (11 measures + ``type``) and append them to the prediction log."""
     req = normalize_columns(requests)
     enc = one_hot(req, "type", levels=TYPE_LEVELS, drop_source=False)
-    enc = align_features(enc, FEATURES, keep=[id_col, ts_col, "type"])
+    enc = align_features(enc, FEATURES, strict=True, keep=[id_col, ts_col, "type"])
     model = load_model(model_path)
     out = scored(model.transform(enc.withColumn("quality", F.lit(0))), "quality")
     probs = F.create_map(F.lit("Not Good"), F.coalesce(F.lit(1.0) - F.col("p1"), F.lit(None).cast("double")),

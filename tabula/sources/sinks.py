@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,11 +46,14 @@ def append_table(spark: SparkSession, batch: DataFrame, path: str, key: list[str
     try:
         target = spark.read.format(fmt).load(path)
         exists = True
-    except Exception:  # absent table: created by this write
-        exists = False
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        exists = False  # created by this write
     rows = new_rows(batch, target, key) if (exists and key) else batch
-    if key:
-        rows = rows.dropDuplicates(key)
+    if key:  # of different rows with one key, always the same one
+        whole = F.struct(*rows.columns)
+        rows = rows.groupBy(*key).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
     rows = rows.cache()
     n = rows.count()
     if n or not exists:
@@ -116,8 +120,7 @@ def write_report(long: DataFrame, path: str) -> str:
     per_run = long.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
     doc = {r["run"]: dict(sorted(r["m"].items())) for r in per_run.orderBy("run").collect()}
     text = json.dumps(doc, indent=2)
-    sc = long.sparkSession.sparkContext
-    sc.parallelize([text], 1).saveAsTextFile(path)
+    long.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
