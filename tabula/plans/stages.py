@@ -24,8 +24,8 @@ from tabula.functions.labels import class_label, extract_probabilities
 from tabula.functions.scalars import clean_label
 from tabula.functions.schema import INPUT_BOUNDS, TYPE_LEVELS, processed_projection
 from tabula.operators.clean import align_features, clean_non_finite, normalize_columns, one_hot, unify_schema
-from tabula.operators.metrics import champion, metrics_long
-from tabula.operators.models import evaluate_saved, grid_metrics, load_model, run_grid, scored
+from tabula.operators.metrics import champion, classification_report, confusion_counts, confusion_matrix, metrics_long, roc_points
+from tabula.operators.models import grid_metrics, load_model, run_grid, saved_models, score_saved, scored
 from tabula.operators.split import stratified_split
 from tabula.session import cut_lineage
 from tabula.sources.readers import read_csv_auto
@@ -89,22 +89,56 @@ def train_stage(spark: SparkSession, splits: str, model_dir: str, report_path: s
     write_report(metrics_long(metrics, "run", ["val_accuracy", "val_precision", "val_recall", "val_f1"]),
                  report_path)
     table = runs.join(metrics, on="run", how="left")
-    return table, champion(table.where(F.col("error").isNull()), "val_f1", "run_order")
+    best = cut_lineage(champion(table.where(F.col("error").isNull()), "val_f1", "run_order"))
+    best.select(F.lit("champion").alias("alias"), "run").write.mode("overwrite").parquet(_alias_path(model_dir))
+    return table, best
 
 
-def evaluate_stage(spark: SparkSession, splits: str, model_dir: str, runs: list[str], report_path: str):
-    """Test metrics of every saved model (sorted by name); returns ``(metrics, errors)``."""
+def _alias_path(model_dir: str) -> str:
+    return f"{model_dir.rstrip('/')}/_aliases"
+
+
+def aliased_model(spark: SparkSession, model_dir: str, alias: str = "champion") -> str:
+    """Path of the model that ``alias`` names in the folder's alias table."""
+    row = spark.read.parquet(_alias_path(model_dir)).where(F.col("alias") == alias).first()
+    if row is None:
+        raise ValueError(f"no model has the alias {alias!r}")
+    return f"{model_dir.rstrip('/')}/{row['run']}"
+
+
+def evaluate_stage(spark: SparkSession, splits: str, model_dir: str, runs: list[str] | None, report_path: str):
+    """Test metrics of the named runs, or of every model in the folder; returns ``(metrics, errors)``.
+
+    Beside the report, writes a table each of the per-class reports, the confusion
+    matrices and the ROC points (of the runs that give probabilities) of all models."""
     test = spark.read.parquet(splits).where(F.col("split") == "test")
-    metrics, errors = evaluate_saved({r: f"{model_dir.rstrip('/')}/{r}" for r in runs}, test, "quality", "test_")
-    if metrics is not None:
-        write_report(metrics_long(metrics, "run", ["test_accuracy", "test_precision", "test_recall", "test_f1"]),
-                     report_path)
+    paths = saved_models(spark, model_dir) if runs is None else {r: f"{model_dir.rstrip('/')}/{r}" for r in runs}
+    rows, errors = score_saved(paths, test, "quality")
+    if rows is None:
+        return None, errors
+    rows = cut_lineage(rows)
+    metrics = grid_metrics(rows, "test_")
+    write_report(metrics_long(metrics, "run", ["test_accuracy", "test_precision", "test_recall", "test_f1"]),
+                 report_path)
+    counts = confusion_counts(rows, "y_true", "y_pred", ["run"])
+    tables = {"per_class": classification_report(counts, ["run"]), "confusion": confusion_matrix(counts, ["run"]),
+              "roc": roc_points(rows.where(F.col("p1").isNotNull()), "y_true", "p1", 1, ["run"])}
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{report_path.rstrip('/')}_{name}")
     return metrics, errors
 
 
 def score_stage(spark: SparkSession, requests: DataFrame, model_path: str, log_path: str, id_col: str = "id",
                 ts_col: str = "created_at") -> DataFrame:
-    """Score request rows (11 measures + ``type``) and append them to the prediction log."""
+    """Score request rows (11 measures + ``type``) and append them to the prediction log.
+
+    ``model_path``: a saved model, for instance ``aliased_model(spark, model_dir)``."""
+    append_table(spark, scored_rows(requests, model_path, id_col, ts_col), log_path, key=["id"])
+    return spark.read.parquet(log_path)
+
+
+def scored_rows(requests: DataFrame, model_path: str, id_col: str = "id", ts_col: str = "created_at") -> DataFrame:
+    """Requests scored by a saved model, as rows of the prediction log; a missing feature column is an error."""
     req = normalize_columns(requests)
     enc = one_hot(req, "type", levels=TYPE_LEVELS, drop_source=False)
     enc = align_features(enc, FEATURES, strict=True, keep=[id_col, ts_col, "type"])
@@ -113,10 +147,8 @@ def score_stage(spark: SparkSession, requests: DataFrame, model_path: str, log_p
     probs = F.create_map(F.lit("Not Good"), F.coalesce(F.lit(1.0) - F.col("p1"), F.lit(None).cast("double")),
                          F.lit("Good"), F.col("p1"))
     p_neg, p_pos = extract_probabilities(F.map_filter(probs, lambda k, v: v.isNotNull()))
-    rows = out.select(F.col(id_col).cast("string").alias("id"), F.col(ts_col).alias("created_at"), *MEASURES,
+    return out.select(F.col(id_col).cast("string").alias("id"), F.col(ts_col).alias("created_at"), *MEASURES,
                       F.col("type").alias("wine_type"), F.col("y_pred").cast("smallint").alias("predicted_quality"),
                       clean_label(class_label(F.col("y_pred"))).alias("quality_label"),
                       p_neg.alias("prob_not_good"), p_pos.alias("prob_good"),
                       F.lit(None).cast("double").alias("elapsed_ms"))
-    append_table(spark, rows, log_path, key=["id"])
-    return spark.read.parquet(log_path)

@@ -6,6 +6,8 @@ reach the Parquet / JDBC scan through Catalyst.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +83,19 @@ def read_range(df: DataFrame, key: str, after=None, n: int = 1000) -> DataFrame:
     return page.orderBy(F.col(key).asc()).limit(n)
 
 
+def read_pages(df: DataFrame, key: str, n: int = 1000) -> Iterator[DataFrame]:
+    """All pages of a keyset scan, in key order, until a short one (keys must be unique)."""
+    after = None
+    while True:
+        page = read_range(df, key, after, n)
+        size, last = page.agg(F.count(F.lit(1)), F.max(key)).first()
+        if size:
+            yield page
+        if size < n:
+            return
+        after = last
+
+
 # ── R7 ──────────────────────────────────────────────────────────────────────
 def count_and_head(df: DataFrame) -> tuple[int, list]:
     """Exact row count and the first row (empty table → (0, []))."""

@@ -7,12 +7,39 @@ the checkpoint makes Spark re-run the last epoch) does not duplicate rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tabula.session import scratch_path
 from tabula.sources.sinks import append_table, conform, prediction_log_schema
 
 
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def run_model_stream(spark: SparkSession, source_dir: str, schema: T.StructType, model_path: str, log_path: str,
+                     checkpoint: str, features: list[str] | None = None) -> str:
+    """Score every request file of the folder ``source_dir`` that was not scored yet with a saved model.
+
+    Run again with the same ``checkpoint``, it takes only the files that came since."""
+    from tabula.plans.stages import scored_rows
+
+    requests = spark.readStream.schema(schema).parquet(source_dir)
+    return _append_scored(requests, lambda batch: scored_rows(batch, model_path), prediction_log_schema(features), log_path, checkpoint)
+
+
+def _append_scored(requests: DataFrame, scorer: Scorer, schema: T.StructType, log_path: str, checkpoint: str) -> str:
+    def sink(batch: DataFrame, epoch: int) -> None:
+        append_table(batch.sparkSession, conform(scorer(batch), schema), log_path, key=["id"])
+
+    q = (requests.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return log_path
+
+
 def scoring_stream(spark: SparkSession, source_dir: str, table: str, columns: list[str]) -> DataFrame:
     """Streaming read of ``<source_dir>/<table>.parquet`` with the batch schema (no inference)."""
     schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{table}.parquet").select(*columns).schema
@@ -27,13 +54,5 @@ def run_scoring_stream(spark: SparkSession, source_dir: str, table: str, columns
 
     log_path = log_path or scratch_path(spark, "stream_prediction_log")
     checkpoint = scratch_path(spark, "stream_checkpoint")
-    schema = prediction_log_schema(features)
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        append_table(batch.sparkSession, conform(batch, schema), log_path, key=["id"])
-
-    scored = score_requests(scoring_stream(spark, source_dir, table, columns))
-    q = (scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return log_path
+    requests = scoring_stream(spark, source_dir, table, columns)
+    return _append_scored(requests, score_requests, prediction_log_schema(features), log_path, checkpoint)

@@ -14,9 +14,10 @@ from tabula.operators.models import KnnClassifier, load_model, run_grid, save_mo
 from tabula.operators.preprocess import LevelEncoder
 from tabula.operators.quantiles import exact_quantiles
 from tabula.operators.rebalance import class_sizes
-from tabula.plans.stages import numbered_copies
-from tabula.sources.readers import run_history
+from tabula.plans.stages import FEATURES, MEASURES, aliased_model, evaluate_stage, numbered_copies, scored_rows, train_stage
+from tabula.sources.readers import read_pages, run_history
 from tabula.sources.sinks import append_table, write_report
+from tabula.streaming.scoring import run_model_stream
 
 
 def _by_key(df):
@@ -108,3 +109,40 @@ def test_append_takes_only_a_missing_path_for_a_new_table(spark, tmp_path):
     (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not a table at all")
     with pytest.raises(Exception):
         append_table(spark, df, f"{tmp_path}/bad", key=["id"])
+
+
+def test_all_pages_until_a_short_one(spark):
+    df = spark.range(10)
+    assert [[r.id for r in p.collect()] for p in read_pages(df, "id", 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    assert [p.count() for p in read_pages(df, "id", 5)] == [5, 5] and list(read_pages(df.limit(0), "id", 5)) == []
+
+
+def test_models_of_a_folder_champion_and_stream(spark, tmp_path):
+    """Folder scan, alias, per-model tables; a model scores new files of a stream as it scores a batch, once each."""
+    base = str(tmp_path)
+    rng = np.random.default_rng(3)
+    rows = [(str(i), int(x[10] > 5), *map(float, x), float(i % 2), float(1 - i % 2), ("train", "train", "val", "test")[i % 4])
+            for i, x in enumerate(rng.normal(5, 1, (160, 11)))]
+    splits = spark.createDataFrame(rows, ["row_key", "quality", *FEATURES, "split"]).withColumn("quality", F.col("quality").cast("int"))
+    splits.write.parquet(f"{base}/splits")
+    table, best = train_stage(spark, f"{base}/splits", f"{base}/models", f"{base}/train", algorithms=["logistic_regression", "knn"], strategies=["Tomek"])
+    name = best.first().run
+    assert aliased_model(spark, f"{base}/models") == f"{base}/models/{name}"
+    metrics, errors = evaluate_stage(spark, f"{base}/splits", f"{base}/models", None, f"{base}/test")
+    assert {r.run for r in metrics.collect()} == {"Tomek_logistic_regression", "Tomek_knn"} and errors.count() == 0
+    for part in ("per_class", "confusion", "roc"):
+        assert {r.run for r in spark.read.parquet(f"{base}/test_{part}").select("run").distinct().collect()} == {"Tomek_logistic_regression", "Tomek_knn"}
+    requests = splits.where("split = 'test'").select(F.col("row_key").alias("id"), F.lit(None).cast("timestamp_ntz").alias("created_at"), *MEASURES,
+                                                     F.when(F.col("type_red") == 1, "red").otherwise("white").alias("type"))
+    requests = requests.withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    with pytest.raises(ValueError, match="alcohol"):
+        scored_rows(requests.drop("alcohol"), f"{base}/models/{name}")
+    for model in ("Tomek_logistic_regression", "Tomek_knn"):
+        path, log = f"{base}/models/{model}", f"{base}/log_{model}"
+        for part in (0, 1):  # the second file comes later
+            requests.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(f"{base}/in_{model}")
+            run_model_stream(spark, f"{base}/in_{model}", requests.schema, path, log, f"{base}/cp_{model}")
+        run_model_stream(spark, f"{base}/in_{model}", requests.schema, path, log, f"{base}/cp_{model}_again")  # all files replayed
+        want = {r.id: (r.predicted_quality, r.prob_good) for r in scored_rows(requests, path).collect()}
+        got = [(r.id, (r.predicted_quality, r.prob_good)) for r in spark.read.parquet(log).collect()]
+        assert len(got) == len(want) and dict(got) == want
