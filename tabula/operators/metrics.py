@@ -128,7 +128,7 @@ def roc_points(df: DataFrame, label: str, score: str, positive, group_cols: Sequ
     if not g:
         return roc_points(df.withColumn("_all", F.lit(0)), label, score, positive, ["_all"],
                           drop_intermediate).drop("_all")
-    # Distinct-score counts: read four times below, aggregated from the scored rows once.
+    # Distinct-score counts: read twice below, aggregated from the scored rows once.
     sc = cut_lineage(score_counts(df, label, score, positive, g).withColumn("one", F.lit(1)))
     cum = running_totals(sc, "score", ["pos", "neg", "one"], descending=True, partition_cols=g,
                          with_next=["pos", "neg"])
@@ -157,7 +157,7 @@ def roc_auc(df: DataFrame, label: str, score: str, positive, group_cols: Sequenc
     g = list(group_cols)
     if not g:
         return roc_auc(df.withColumn("_all", F.lit(0)), label, score, positive, ["_all"]).drop("_all")
-    sc = cut_lineage(score_counts(df, label, score, positive, g))
+    sc = score_counts(df, label, score, positive, g)
     cum = running_totals(sc, "score", ["neg"], descending=False, partition_cols=g)
     # cum_neg includes this score's negatives; those strictly below are cum_neg - neg.
     part = cum.select(*g, (F.col("pos") * ((F.col("cum_neg") - F.col("neg")) + F.col("neg") * F.lit(0.5))).alias("u"),

@@ -11,11 +11,13 @@ Plan, for query rows ``L`` and reference rows ``R`` (vectors as ``array<double>`
    (enough points lie within it).  A cell can hold a neighbour only if
    ``D - radius <= ub`` (triangle inequality), so only those cells are
    candidates.  The result stays exact.
-3. **Bounded blocks.** A cell's reference rows are split into blocks of at
-   most ``block`` rows and its candidate queries into chunks of at most
+3. **Bounded blocks.** A cell's reference rows are split by hash into blocks of
+   about ``block`` rows and its candidate queries into chunks of about
    ``block`` rows; each (cell, block, chunk) group is one cogroup task that
-   ranks distances with numpy and emits only its top-k per query.  No pair
-   rows are written, and no task holds more than ``block × block`` distances.
+   ranks distances by numpy tiles of ``TILE`` numbers and emits only its top-k
+   per query.  No pair rows are written.  Where pruning finds little (high
+   dimension) the search stays quadratic: a vector is copied once per block of
+   the other side, so larger blocks copy less and take more memory.
 4. **Merge.** Per query, the top-k over its candidate blocks (``row_number``
    over ``(dist, id)``): a window over at most ``k × blocks`` rows.
 
@@ -29,7 +31,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,22 +40,35 @@ from tabula.operators.ranking import join_small
 from tabula.session import cut_lineage
 
 MAX_PIVOTS = 512
+# Numbers in one temporary array of a task (32 MB of doubles).
+TILE = 1 << 22
 
 
 def _pivot_distances(vecs: pd.Series, pivots: np.ndarray) -> np.ndarray:
-    m = np.stack(vecs.to_numpy()) if len(vecs) else np.zeros((0, pivots.shape[1]))
-    diff = m[:, None, :] - pivots[None, :, :]
-    return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    """Distances rows × pivots, computed by slices of rows so that no slice exceeds ``TILE`` numbers."""
+    out = np.empty((len(vecs), len(pivots)))
+    m = np.stack(vecs.to_numpy()) if len(vecs) else out
+    step = max(1, TILE // pivots.size)
+    for s in range(0, len(vecs), step):
+        diff = m[s:s + step, None, :] - pivots[None, :, :]
+        out[s:s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return out
+
+
+def _finite(v: Column) -> Column:
+    """True if every element of the vector is a finite number (the sum of ``x - x`` is zero only then)."""
+    return F.forall(v, lambda x: F.coalesce((x - x) == F.lit(0.0), F.lit(False)))
 
 
 def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, vec: str = "vec",
         group: str | None = None, exclude_self: bool = False, n_pivots: int | None = None,
-        block: int = 2048, seed: int = 42) -> DataFrame:
+        block: int = 16384, seed: int = 42) -> DataFrame:
     """``(qid, rank, nid, dist)`` — the ``k`` nearest reference rows of every query row.
 
     ``group`` restricts neighbours to rows with the same group value (e.g. the
     same class).  ``dist`` is the Euclidean distance.  Ids must be unique on
-    each side.
+    each side.  A vector with a NULL, NaN or infinite element has no distance:
+    such a row has no neighbours and is nobody's.
     """
     spark = left.sparkSession
     gcol = [group] if group else []
@@ -63,6 +78,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
         L, R = L.withColumnRenamed(group, "g"), R.withColumnRenamed(group, "g")
     else:
         L, R = L.withColumn("g", F.lit(0)), R.withColumn("g", F.lit(0))
+    L, R = L.where(_finite(F.col("v"))), R.where(_finite(F.col("v")))
     need = k + (1 if exclude_self else 0)
 
     n_r = R.count()
@@ -149,27 +165,33 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
         qid = q["qid"].to_numpy()
         kk = min(need, len(rid))
         res_q, res_n, res_d = [], [], []
-        step = max(1, (1 << 22) // max(1, X.shape[0] * X.shape[1]))
+        # Screen with |q|^2 + |x|^2 - 2qx (one matrix product) and a bound on its rounding error;
+        # only rows that may be among the k nearest get their exact distance.
+        with np.errstate(over="ignore"):
+            x2, q2 = (X * X).sum(axis=1), (Q * Q).sum(axis=1)
+        slack = 8 * (X.shape[1] + 4) * np.finfo(np.float64).eps * (q2 + x2.max())
+        step = max(1, TILE // len(rid))
         for s in range(0, len(qid), step):
             qs = qid[s:s + step]
-            diff = Q[s:s + step, None, :] - X[None, :, :]
-            d2 = (diff * diff).sum(axis=2)
-            if exclude_self:
-                d2 = np.where(rid[None, :] == qs[:, None], np.inf, d2)
-            # k smallest per row; ties at the k-th distance are settled by id below.
-            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-            tied = (d2 <= kth[:, None]).sum(axis=1) > kk
-            cand = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-            rows = np.arange(len(qs))[:, None]
-            order = np.lexsort((rank_of_id[cand], d2[rows, cand]), axis=-1)
-            cand = np.take_along_axis(cand, order, axis=1)
-            for i in np.flatnonzero(tied):
-                cand[i] = np.lexsort((rank_of_id, d2[i]))[:kk]
-            dist = d2[rows, cand]
-            keep = np.isfinite(dist)
-            res_q.append(np.repeat(qs, keep.sum(axis=1)))
-            res_n.append(rid[cand][keep])
-            res_d.append(dist[keep])
+            with np.errstate(over="ignore", invalid="ignore"):
+                near = q2[s:s + step, None] + x2[None, :] - 2.0 * (Q[s:s + step] @ X.T)
+            own = (rid[None, :] == qs[:, None]) if exclude_self else np.zeros(near.shape, bool)
+            near[own] = np.inf
+            kth = np.partition(near, kk - 1, axis=1)[:, kk - 1]
+            # squares beyond the range of doubles screen nothing
+            limit = np.where(np.isfinite(slack[s:s + step]), kth + 2 * slack[s:s + step], np.inf)
+            row, col = np.nonzero(~(near > limit[:, None]) & ~own)
+            d2 = np.empty(len(row))
+            part = max(1, TILE // X.shape[1])
+            for t in range(0, len(row), part):
+                diff = Q[s + row[t:t + part]] - X[col[t:t + part]]
+                d2[t:t + part] = (diff * diff).sum(axis=1)
+            order = np.lexsort((rank_of_id[col], d2, row))
+            row, col, d2 = row[order], col[order], d2[order]
+            keep = (np.arange(len(row)) - np.searchsorted(row, row) < kk) & np.isfinite(d2)
+            res_q.append(qs[row[keep]])
+            res_n.append(rid[col[keep]])
+            res_d.append(d2[keep])
         return pd.DataFrame({"qid": np.concatenate(res_q), "nid": np.concatenate(res_n),
                              "d2": np.concatenate(res_d)})
 

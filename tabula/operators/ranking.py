@@ -11,16 +11,15 @@ Two shapes recur in the library:
   the (at most one per cut) buckets that straddle a cut are ranked exactly, by
   a window over (group, bucket).
 
-* **Running totals over a global order** (M4 ROC): the ordered values are
-  range-bucketed by approximate quantiles, per-bucket totals give offsets, and
-  the running sum inside a bucket is a window over that bucket only.
+* **Running totals over a global order** (M4 ROC): the rows are range-partitioned
+  by group and value, per-range totals give offsets, and the running sum inside
+  a range is a window over that range only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,35 +112,27 @@ def hashed_segments(df: DataFrame, group_cols: Sequence[str], key: str, seed: in
 
 
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
-                   n_ranges: int = 256, relative_error: float = 1e-4,
                    partition_cols: Sequence[str] = (), with_next: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows at or before this one in ``order_col`` order.
 
     ``order_col`` values must be unique within ``partition_cols`` (aggregate
-    ties first).  The order is cut into ``n_ranges`` ranges by approximate
-    quantiles (a bounded list collected to the driver); each range's running
-    sum is a window over that range only, shifted by the totals of the ranges
-    before it.  ``with_next`` adds ``next_<v>``: the value on the following row
-    (NULL on the last), taken across range borders through the small table of
-    each range's first row.
+    ties first).  The rows are range-partitioned by group and order, so the
+    ranges follow each group's own values and their number is the session's
+    shuffle partitions; the range of every row is written down once
+    (checkpoint).  Each range's running sum is a window over that range only,
+    shifted by the totals of the ranges before it.  ``with_next`` adds
+    ``next_<v>``: the value on the following row (NULL on the last), taken
+    across range borders through the small table of each range's first row.
     """
     partition_cols = list(partition_cols)
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = df.select(F.percentile_approx(order_col, probs, int(1 / relative_error)).alias("q")).first()["q"]
-    splits = sorted(set(float(x) for x in (cuts or []) if x is not None))
-    splits = [float("-inf"), *splits, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_ord", outputCol="_rng", handleInvalid="keep").transform(
-        df.withColumn("_ord", F.col(order_col).cast("double")))
-    ranged = ranged.withColumn("_rng", F.col("_rng").cast("int")).drop("_ord")
-    if descending:
-        ranged = ranged.withColumn("_rng", F.lit(len(splits)) - F.col("_rng"))
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    ranged = cut_lineage(df.repartitionByRange(*partition_cols, order).withColumn("_rng", F.spark_partition_id()))
 
     totals = ranged.groupBy(*partition_cols, "_rng").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     tw = Window.partitionBy(*partition_cols).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*partition_cols, "_rng",
                             *[F.coalesce(F.sum(f"_t_{v}").over(tw), F.lit(0)).alias(f"_o_{v}")
                               for v in value_cols])
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     iw = (Window.partitionBy(*partition_cols, "_rng").orderBy(order)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     lw = Window.partitionBy(*partition_cols, "_rng").orderBy(order)

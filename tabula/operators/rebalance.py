@@ -14,6 +14,9 @@ from tabula.operators.neighbors import knn, mutual_pairs
 from tabula.operators.ranking import hashed_segments, join_small
 from tabula.session import cut_lineage
 
+# Synthetic rows that one row is multiplied into at a time.
+SLOT_CHUNK = 1 << 16
+
 
 def class_sizes(df: DataFrame, label: str) -> dict:
     """Class → rows (one collected row per class)."""
@@ -35,7 +38,7 @@ def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: in
     ``m // n`` slots, plus one more if its keyed-hash rank is below ``m % n``
     (exact total, no window over the class).  Slot ``j`` of base ``i`` takes
     neighbour number ``1 + hash(i:j,'nn') mod min(k, n-1)`` among its k nearest
-    same-class rows and the gap ``u = hash(i:j,'gap') / 2³²``; the new vector
+    same-class rows (rows whose vector is not finite have none and are no base) and the gap ``u = hash(i:j,'gap') / 2³²``; the new vector
     is ``x + u·(neighbour − x)``.
 
     Output: ``(label, id, vec, base_id, slot, nn_id, gap)``; the originals
@@ -57,23 +60,29 @@ def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: in
                           lambda n: [F.pmod(F.element_at(m_map, F.col("_y")), n)], out="_extra", tag="base")
     quota = (F.floor(F.element_at(m_map, F.col("_y")) / F.element_at(n_map, F.col("_y")))
              + F.when(F.col("_extra") == 0, 1).otherwise(0))
-    slots = (seg.withColumn("_q", quota.cast("int")).where(F.col("_q") > 0)
-             .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("_q") - 1))))
+    if neighbours is None:
+        neighbours = minority_neighbours(minority, "_y", "base_id", "_x", k, seed)
+    # The k neighbours with their vectors go to the base row before it is multiplied, so no
+    # join sees the synthetic rows and a base row of very many slots is no hot key.
+    near = (neighbours.join(minority.select(F.col("base_id").alias("nid"), F.col("_x").alias("x")), on="nid")
+            .groupBy(F.col("qid").alias("base_id"))
+            .agg(F.array_sort(F.collect_list(F.struct("rank", "nid", "x"))).alias("_near")))
+    based = seg.withColumn("_q", quota.cast("long")).where(F.col("_q") > 0).join(near, on="base_id")
+    # Slots in chunks spread over the tasks: no row holds more than SLOT_CHUNK of them.
+    chunks = (based.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_q") - 1) / SLOT_CHUNK))))
+              .repartition("base_id", "_chunk"))
+    first = F.col("_chunk") * SLOT_CHUNK
+    slots = chunks.withColumn("slot", F.explode(
+        F.transform(F.sequence(first, F.least(first + SLOT_CHUNK, F.col("_q")) - 1), lambda i: i.cast("int"))))
     slot_key = F.concat(F.col("base_id").cast("string"), F.lit(":"), F.col("slot").cast("string"))
-    k_eff = F.least(F.lit(k), F.element_at(n_map, F.col("_y")) - 1)
+    k_eff = F.least(F.lit(k), F.size("_near"))
     slots = (slots.withColumn("_key", slot_key)
-             .withColumn("nn_rank", (F.pmod(hash32(seed, F.col("_key"), "nn"), k_eff) + 1).cast("int"))
+             .withColumn("_nn", F.element_at("_near", (F.pmod(hash32(seed, F.col("_key"), "nn"), k_eff) + 1).cast("int")))
              .withColumn("gap", hash32(seed, F.col("_key"), "gap") / F.lit(TWO_32)))
-    if neighbours is None:
-        neighbours = minority_neighbours(minority, "_y", "base_id", "_x", k, seed)
-    nn = neighbours
-    picked = slots.join(nn.select(F.col("qid").alias("base_id"), F.col("rank").alias("nn_rank"),
-                                  F.col("nid").alias("nn_id")), on=["base_id", "nn_rank"])
-    partner = minority.select(F.col("base_id").alias("nn_id"), F.col("_x").alias("_n"))
-    synth = picked.join(partner, on="nn_id").select(
+    synth = slots.select(
         F.col("_y").alias(label), F.col("_key").alias("id"),
-        F.zip_with("_x", "_n", lambda a, b: a + F.col("gap") * (b - a)).alias(vec),
-        "base_id", "slot", "nn_id", "gap")
+        F.zip_with("_x", "_nn.x", lambda a, b: a + F.col("gap") * (b - a)).alias(vec),
+        "base_id", "slot", F.col("_nn.nid").alias("nn_id"), "gap")
     if not keep_originals:
         return synth
     originals = base.select(F.col("_y").alias(label), F.col("base_id").cast("string").alias("id"),

@@ -34,7 +34,7 @@ def _brute(X, k, exclude_self=True):
     return out
 
 
-@pytest.mark.parametrize("n_pivots,block", [(None, 2048), (12, 16)])
+@pytest.mark.parametrize("n_pivots,block", [(None, 2048), (12, 16), (1, 100000)])
 def test_knn_exact_against_brute_force(spark, n_pivots, block):
     df, X, _ = _vectors(spark, dup=5)
     nn = knn(df, df, 4, "id", "id", "vec", exclude_self=True, n_pivots=n_pivots, block=block).collect()
@@ -62,18 +62,45 @@ def test_exact_quantiles_multi_round_matches_pandas(spark):
         assert got[p] == pytest.approx(s.quantile(p), rel=1e-12, abs=1e-12)
 
 
-def test_running_totals_match_cumsum(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_running_totals_match_cumsum(spark, coalesce):
+    """Per group, also where all scores of one group lie in a narrow band of the other's."""
     rng = np.random.default_rng(5)
-    vals = rng.permutation(2000).astype(float)
-    w = rng.integers(0, 5, size=2000)
-    df = spark.createDataFrame([(float(v), int(c)) for v, c in zip(vals, w)], "s double, c long")
-    out = running_totals(df, "s", ["c"], descending=True, n_ranges=7, with_next=["c"]).collect()
-    order = np.argsort(-vals)
-    cum = np.cumsum(w[order])
-    expected = {vals[i]: int(cum[j]) for j, i in enumerate(order)}
-    nxt = {vals[order[j]]: (int(w[order[j + 1]]) if j + 1 < len(order) else None) for j in range(len(order))}
-    assert {r["s"]: r["cum_c"] for r in out} == expected
-    assert {r["s"]: r["next_c"] for r in out} == nxt
+    vals = {"wide": rng.permutation(2000).astype(float), "narrow": 1000 + rng.permutation(3000) / 1e6}
+    w = {g: rng.integers(0, 5, size=len(v)) for g, v in vals.items()}
+    df = spark.createDataFrame([(g, float(v), int(c)) for g in vals for v, c in zip(vals[g], w[g])], "g string, s double, c long")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, coalesce)
+    try:
+        out = running_totals(df, "s", ["c"], descending=True, partition_cols=["g"], with_next=["c"]).collect()
+    finally:
+        spark.conf.set(key, before)
+    for g in vals:
+        order = np.argsort(-vals[g])
+        cum = np.cumsum(w[g][order])
+        expected = {vals[g][i]: int(cum[j]) for j, i in enumerate(order)}
+        nxt = {vals[g][order[j]]: (int(w[g][order[j + 1]]) if j + 1 < len(order) else None) for j in range(len(order))}
+        assert {r["s"]: r["cum_c"] for r in out if r["g"] == g} == expected
+        assert {r["s"]: r["next_c"] for r in out if r["g"] == g} == nxt
+
+
+def test_smote_of_a_tiny_class_spreads_its_slots(spark):
+    """Two rows become 200,000: more slots per row than one chunk holds, all of them different."""
+    big = spark.range(200_000).select("id", F.lit(0).alias("y"), F.array(F.col("id").cast("double"), F.lit(0.0)).alias("vec"))
+    two = spark.createDataFrame([(-1, 1, [0.0, 0.0]), (-2, 1, [1.0, 2.0])], "id long, y int, vec array<double>")
+    out = smote(big.union(two), "y", "id", "vec", keep_originals=False)
+    r = out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.max("slot").alias("top"),
+                F.max(F.abs(F.col("vec")[1] - 2 * F.col("vec")[0])).alias("off")).first()
+    assert (r["n"], r["ids"], r["top"]) == (199_998, 199_998, 99_998) and r["off"] < 1e-12
+
+
+def test_knn_of_vectors_that_are_not_finite(spark):
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [float("nan"), 0.0]), (3, [0.0, float("inf")]), (4, None),
+            (5, [3.0, 0.0]), (6, [None, 1.0]), (7, [1e200, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = {(r["qid"], r["rank"]): r["nid"] for r in knn(df, df, 2, "id", "id", "vec", exclude_self=True).collect()}
+    assert got == {(0, 1): 1, (0, 2): 5, (1, 1): 0, (1, 2): 5, (5, 1): 1, (5, 2): 0}
 
 
 def test_smote_balances_and_stays_on_segments(spark):
