@@ -1,9 +1,10 @@
 """Toxicity scores from a learned lexicon, matched with a Levenshtein automaton.
 
 Fit (labels of the training fold only).  Of the labelled documents, near copies
-are counted once (one per label and min-hash of the words) and at most
-``FIT_ROWS`` of each label, by least hash, are the sample; that bound is the
-only one.  Words, and word beginnings that many toxic words share, become terms
+are counted once and at most ``FIT_ROWS`` of each label, by least hash, are the
+sample; that bound is the only one.  Near copies have a label and one of
+``SIGNATURES`` whole signatures in common, each of ``HASHES`` min-hashes over the
+shingles of ``SHINGLE`` words; a common word or line alone joins no documents.  Words, and word beginnings that many toxic words share, become terms
 if toxic documents hold them significantly more often (Chernoff bound of the
 binomial tail, corrected for the number of terms looked at).  A short list of common
 insults seeds the lexicon; a seed that clean documents use too is dropped.  A
@@ -45,6 +46,8 @@ from tabula.llm.lexicon import LOOKALIKES, Lexicon
 
 FOLDS = 5
 FIT_ROWS = 20_000      # documents of each label in the sample
+SHINGLE = 3            # words
+SIGNATURES, HASHES = 3, 8
 STEM_LENGTHS = (4, 5, 6, 7)
 STEM_WORDS = 3         # different toxic words that make their common beginning a stem
 MIN_PURITY = 0.95
@@ -136,20 +139,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
+_RNG = np.random.default_rng(42)
+_MIX = _RNG.integers(1, 1 << 63, size=(2, SIGNATURES * HASHES, 1), dtype=np.uint64) | np.uint64(1)
+_PLACE = _RNG.integers(1, 1 << 63, size=max(SHINGLE, HASHES), dtype=np.uint64) | np.uint64(1)
+_SHIFT = np.uint64(32)
+
+
+def signatures(hashes: list[int]) -> list[int]:
+    """SIGNATURES numbers of a text, given the hashes of its words in order; each stands for HASHES min-hashes of the shingles."""
+    h = np.array(hashes, np.uint64)
+    least = np.full(SIGNATURES * HASHES, np.iinfo(np.uint64).max, np.uint64)
+    size = min(SHINGLE, len(h))
+    for lo in range(0, len(h) - size + 1 if size else 0, 1 << 14):
+        part = h[lo:lo + (1 << 14) + size - 1]
+        x = sum((part[i:len(part) - size + 1 + i] * _PLACE[i] for i in range(size)), np.zeros(len(part) - size + 1, np.uint64))
+        x = (x ^ (x >> _SHIFT)) * _PLACE[-1]
+        least = np.minimum(least, ((x ^ (x >> _SHIFT)) * _MIX[0] + _MIX[1]).min(1))
+    least ^= least >> _SHIFT
+    return (least.reshape(SIGNATURES, HASHES) * _PLACE[:HASHES]).sum(1, dtype=np.uint64).view(np.int64).tolist()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
     for batch in batches:
-        sig = [min((zlib.crc32(w.encode()) for w in set(words_of(t or ""))), default=0) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sig, pa.int64())], ["doc_id", "sig"])
+        sig = []
+        for t in batch.column("text").to_pylist():
+            words = words_of(t or "")
+            for w in set(words):
+                if w not in known:
+                    known[w] = zlib.crc32(w.encode())
+            sig.append(signatures([known[w] for w in words]))
+            if len(known) >= _MAX_KNOWN:
+                known.clear()
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([s[i] for s in sig], pa.int64()) for i in range(SIGNATURES))],
+                                         ["doc_id", *(f"s{i}" for i in range(SIGNATURES))])
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> DataFrame:
     """(doc_id, y): at most FIT_ROWS training documents of each label, one of each set of near copies."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     y = labels.where(F.col(target).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
-    sigs = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").mapInArrow(_signatures, f"doc_id {kind}, sig long")
-    one = sigs.join(y, "doc_id").groupBy("y", "sig").agg(F.min(F.struct(F.xxhash64("doc_id").alias("order"), "doc_id")).alias("d"))
-    part = [one.where(F.col("y") == v).orderBy("d.order", "d.doc_id").limit(FIT_ROWS) for v in (0, 1)]
-    return stored(part[0].union(part[1]).select("d.doc_id", "y"), "fit_sample")
+    names = [f"s{i}" for i in range(SIGNATURES)]
+    sigs = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").mapInArrow(
+        _signatures, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    one = sigs.join(y, "doc_id").withColumn("order", F.xxhash64("doc_id"))
+    # A near copy that one signature misses agrees in the next with what the first left.
+    for i, n in enumerate(names):
+        one = one.groupBy("y", n).agg(F.min(F.struct("order", "doc_id", *names[i + 1:])).alias("d")).select("y", "d.*")
+    one = stored(one.distinct(), "fit_documents")
+    part = [one.where(F.col("y") == v).orderBy("order", "doc_id").limit(FIT_ROWS) for v in (0, 1)]
+    return stored(part[0].union(part[1]).select("doc_id", "y"), "fit_sample")
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -288,6 +289,20 @@ def test_toxicity_held_out(spark):
     assert out.where("score < 0 or score > 1 or held_out <> (crc32(cast(doc_id as string)) % 5 = 0)").count() == 0
 
 
+def test_toxicity_fit_sample(spark):
+    """Only near copies count once: documents that share common words or a line are all used."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("w%d" % rng.randrange(3000) for _ in range(n))
+    base, shared = prose(120).split(), prose(10)
+    own = [f"anly of {shared} the {prose(40)}" for _ in range(200)]
+    copies = [" ".join(w if i != at else "typo" for i, w in enumerate(base)) for at in range(1, 119)] + [" ".join(base)] * 20
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % toxicity.FOLDS]
+    rows = [(i, t, n % 2 if n < 200 else 0) for n, (i, t) in enumerate(zip(ids, own + copies))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id for r in toxicity.fit_sample(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    assert set(ids[:200]) <= got and len(got) <= 205
+
+
 def test_toxicity_edges(spark, frame, docs):
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 0, 0), (2, 0, 1), (3, 1, None), (None, 1, 1), (4, 0, 7)], "doc_id long, quality int, toxic int")
     for lab in (labels, labels.limit(0)):
