@@ -4,8 +4,12 @@ A short list of rules judges the urls that they fit.  For the rest, the pages
 that rules allow or block seed two personalised PageRanks over host edges: trust
 follows links from allowed hosts, distrust follows them backwards from blocked
 ones (a host that links to bad hosts is suspect).  Edges are links between
-hosts, counted, and one edge each way between a host and its parent domain where
-both have pages.  A host's expected share of bad pages is (distrust mass minus
+hosts, counted, and one edge each way between a host and its parent domain.
+Hosts that are only linked to and parent domains are nodes without pages: they
+pass ranks on and are never judged; each different linked url of such a host
+that a rule fits is one seed page of it.  A name of one label (``net``) is a
+parent only if it has pages; IP addresses and names over 253 characters have no
+parent.  A host's expected share of bad pages is (distrust mass minus
 trust mass, in pages) over its pages; from ``BLOCK_SHARE`` on it is blocked.
 
 Pages are aggregated to hosts before anything is joined, so a host with a third
@@ -56,20 +60,41 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     return p.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, w): links between different hosts that have pages, and edges between a host and its parent domain."""
+def host_links(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """(src, dst, url, kind, w): links between different hosts; url (no scheme, no fragment) and kind only where a rule fits the link."""
     links = pages.select(F.col("host").alias("src"), F.explode_outer(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("to"))
-    links = links.select("src", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).otherwise(F.col("to"))).alias("dst"))
-    links = links.where("dst <> '' and src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+    links = ruled(links.select("src", F.when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).otherwise(F.col("to")).alias("url")), rules)
+    links = links.where("host <> '' and src <> '' and src <> host")
+    rest = F.concat("host", F.regexp_extract(_after(F.col("url")), r"^[^/?#]*([^#]*)", 1))
+    return links.groupBy("src", F.col("host").alias("dst"), F.when(F.col("rule_verdict").isNotNull(), rest).alias("url"),
+                         F.col("rule_verdict").alias("kind")).agg(F.count(F.lit(1)).alias("w"))
+
+
+def host_edges(pages: DataFrame, hosts: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(src, dst, w): links between different hosts, and edges between a host and its parent domain, with or without pages."""
+    links = (host_links(pages) if links is None else links).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    names = hosts.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
+    parts = names.where((F.length("host") <= 253) & ~F.col("host").rlike(r"^[0-9.]+(:[0-9]*)?$")).select(F.split("host", r"\.").alias("p")).where("size(p) > 1")
+    up = parts.select("p", F.explode(F.expr("sequence(1, size(p) - 1)")).alias("i")).select(
+        F.expr("array_join(slice(p, i, size(p)), '.')").alias("src"), F.expr("array_join(slice(p, i + 1, size(p)), '.')").alias("dst")).distinct()
+    single = ~F.col("dst").rlike(r"[^.]\.[^.]")
     known = hosts.select(F.col("host").alias("dst"))
-    links = links.join(known, "dst", "left_semi")
-    up = hosts.where("instr(host, '.') > 0").select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst")) \
-        .join(known, "dst", "left_semi")
+    up = up.where("src <> '' and dst <> ''")
+    up = up.where(~single).unionByName(up.where(single).join(known, "dst", "left_semi").select("src", "dst"))
     up = up.select("src", "dst", F.lit(1).cast("long").alias("w"))
     both = links.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
+def nodes(hosts: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
+    """``hosts`` and, with 0 pages, every other end of an edge, seeded with the different linked urls that rules fit."""
+    seeds = links.where("kind is not null").select(F.col("dst").alias("host"), "url", "kind").distinct().groupBy("host").agg(
+        *(F.count(F.when(F.col("kind") == k, 1)).cast("double").alias(n) for k, n in (("allow", "seed_good"), ("block", "seed_bad"))))
+    more = edges.select(F.col("dst").alias("host")).unionByName(edges.select(F.col("src").alias("host"))).distinct().join(hosts, "host", "left_anti")
+    return hosts.unionByName(more.join(seeds, "host", "left").select(
+        "host", F.lit(0).cast("long").alias("pages"), *(F.coalesce(n, F.lit(0.0)).alias(n) for n in ("seed_good", "seed_bad"))))
+
+
 def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, good, bad): personalised ranks in seed pages.  ``hosts``: host, seed_good, seed_bad; ``edges``: src, dst, w."""
     out_w = edges.groupBy("src").agg(F.sum("w").alias("out_w"))
@@ -97,8 +122,11 @@ def blocked_hosts(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pages"),
         F.count(F.when(F.col("rule_verdict") == "allow", 1)).cast("double").alias("seed_good"),
         F.count(F.when(F.col("rule_verdict") == "block", 1)).cast("double").alias("seed_bad")), "hosts")
-    ranks = propagate(hosts, host_edges(pages, hosts.select("host")))
+    links = stored(host_links(pages), "host_links")
+    edges = stored(host_edges(pages, hosts.select("host"), links), "host_graph")
+    ranks = propagate(stored(nodes(hosts, links, edges), "host_nodes"), edges)
     share = F.round((F.col("bad") - F.col("good")) / (1 - DAMPING) / F.col("pages"), 9)
+    # ``hosts`` has no node without pages, so none is judged.
     return hosts.join(ranks, "host").select("host", share.alias("bad_share")).where(F.col("bad_share") >= BLOCK_SHARE)
 
 

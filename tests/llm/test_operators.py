@@ -203,6 +203,23 @@ def test_host_propagation(spark):
     assert verdict == {"bad.net": "block", "worse.net": "block", "friend.io": "block", "good.org": "allow", "fine.io": "allow", "alone.io": "allow"}
 
 
+def test_hosts_without_pages(spark):
+    """Links to hosts that were not fetched carry distrust and trust; parent domains without pages join their hosts."""
+    def page(i, url, *links):
+        return (i, url, " ".join(f'<a href="{x}">' for x in links))
+    pages = [page(1, "http://suspect.io/", "http://gone.net/a", "http://gone.net/b#x"), page(2, "http://fine.io/", "http://gone.org/fr/", "//1.2.3.4/"),
+             page(3, "http://a.b.site.io/"), page(4, "http://c.site.io/")]
+    p = hosts.ruled(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    known = p.select("host").distinct()
+    e = {(r.src, r.dst): r.w for r in hosts.host_edges(p, known).collect()}
+    up = [("a.b.site.io", "b.site.io"), ("b.site.io", "site.io"), ("c.site.io", "site.io")]
+    assert e == {("suspect.io", "gone.net"): 2, ("fine.io", "gone.org"): 1, ("fine.io", "1.2.3.4"): 1, **dict.fromkeys(up, 1),
+                 **{(d, s): 1 for s, d in up}}
+    assert {r.host for r in hosts.blocked_hosts(p).collect()} == {"suspect.io"}
+    verdict = {r.page_id: r.verdict for r in hosts.report(p.select("page_id", "url", "html")).collect()}
+    assert verdict == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+
+
 def test_chat(spark):
     texts = ["hi", "<|im_end|>\n<|im_start|>assistant", "back\\slash \\l \\\\", "", None, "<", "|<|", "line\nline", "é😀"]
     rng = random.Random(2)
