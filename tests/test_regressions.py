@@ -146,3 +146,31 @@ def test_models_of_a_folder_champion_and_stream(spark, tmp_path):
         want = {r.id: (r.predicted_quality, r.prob_good) for r in scored_rows(requests, path).collect()}
         got = [(r.id, (r.predicted_quality, r.prob_good)) for r in spark.read.parquet(log).collect()]
         assert len(got) == len(want) and dict(got) == want
+
+
+def test_saved_model_evaluation_covers_the_folder(spark, monkeypatch):
+    """Every learner is fitted and saved, and what the folder holds is evaluated."""
+    import inspect
+
+    from tabula.operators import models
+    from tabula.plans import learners
+
+    seen = {}
+    grid = inspect.signature(models.run_grid)
+
+    def fake_grid(*args, **kwargs):
+        call = grid.bind(*args, **kwargs)
+        call.apply_defaults()
+        seen.update(call.arguments)
+        return None, None, {}
+
+    def fake_evaluate(paths, test, label, prefix):
+        seen["paths"] = paths
+        return spark.createDataFrame([("a",)], "run string"), spark.createDataFrame([], "run string, error string")
+
+    monkeypatch.setattr(learners, "run_grid", fake_grid)
+    monkeypatch.setattr(learners, "saved_models", lambda spark, folder: {"a": f"{folder}/a"})
+    monkeypatch.setattr(learners, "evaluate_saved", fake_evaluate)
+    learners.q_saved_model_evaluation(spark, "/root/testdata/sf0.001")
+    assert tuple(seen["algorithms"]) == tuple(models.ALGORITHMS) and tuple(seen["strategies"]) == tuple(models.STRATEGIES)
+    assert seen["paths"] == {"a": f"{seen['model_dir']}/a"}
