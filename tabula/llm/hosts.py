@@ -34,7 +34,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 DAMPING = 0.85
 ROUNDS, PER_WRITE = 12, 4
 BLOCK_SHARE = 0.5
-_HREF = r"""(?i)\shref\s*=\s*["']([^"']*)["']"""
+_HREF = r"""(?i)\shref\s*=\s*["']?((?<=["'])[^"']*(?=["'])|(?<!["'])[^\s>"'][^\s>]*)"""
 
 
 def _after(url: Column) -> Column:

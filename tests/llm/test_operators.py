@@ -220,6 +220,12 @@ def test_hosts_without_pages(spark):
     assert verdict == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
 
 
+def test_links_without_quotes(spark):
+    html = """<a href=http://bad.net/x><a class=y HREF = //q.net/?a=1 id=z><a href="http://r.net/a b"><a href='/s'><a href=><a href="open"""
+    got = spark.createDataFrame([(html,)], "html string").select(F.regexp_extract_all("html", F.lit(hosts._HREF), F.lit(1))).first()[0]
+    assert got == ["http://bad.net/x", "//q.net/?a=1", "http://r.net/a b", "/s"]
+
+
 def test_chat(spark):
     texts = ["hi", "<|im_end|>\n<|im_start|>assistant", "back\\slash \\l \\\\", "", None, "<", "|<|", "line\nline", "é😀"]
     rng = random.Random(2)
