@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import archive, chat, decontamination, hosts, mixing, oracle, quality, secrets, simhash, substrings, toxicity
+from tabula.llm import (
+    alignment, archive, chat, decontamination, embedding_quality, hard_negatives, hosts, mixing, oracle, quality, secrets, simhash, substrings, toxicity,
+)
 from tabula.session import ensure_checkpoint_dir
 from tabula.sources.readers import read_table
 
@@ -83,3 +85,18 @@ def op10(spark, sf_dir):
 @_register("op7_substrings")
 def op7(spark, sf_dir):
     return substrings.report(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op11_hard_negatives", hard_negatives.ORACLE_SQL)
+def op11(spark, sf_dir):
+    return hard_negatives.report(read_table(spark, sf_dir, "embeddings"))
+
+
+@_register("op12_alignment")
+def op12(spark, sf_dir):
+    return alignment.report(read_table(spark, sf_dir, "documents"))
+
+
+@_register("op13_quality_classifier")
+def op13(spark, sf_dir):
+    return embedding_quality.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
