@@ -24,6 +24,7 @@ their own; very long texts are tokenized and merged whole; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,8 +40,10 @@ from tabula.operators.ranking import small_side
 #: Folder of the vocabulary files, the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text that a task tokenizes and merges at once, and A tokens of a lane.
-BATCH_BYTES, LANE = 1 << 20, 1024
+#: How byte-level BPE cuts words (a fixed value of that kind of file).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of text that a task merges at once, texts that it tokenizes at once, and A tokens of a lane.
+BATCH_CHARS, BATCH_TEXTS, LANE = 1 << 20, 64, 1024
 _SHIFT = 32  # a pair is one long: A id above, B id below
 
 
@@ -62,20 +65,42 @@ def piece_bytes(piece: str, is_byte: bool) -> bytes:
 
 
 class ByteTokens:
-    """A: byte-level BPE over space + text."""
+    """A: byte-level BPE over space + text, read from the vocabulary file.
+
+    Where the file's merges make the ids 256, 257, ... in order and its words are cut by the usual
+    pattern, ids are merge ranks, and the merging is done by the engine for ranks, which is some
+    times faster; any other file is handed to the library that it is made for."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-        from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        alphabet, vocab = byte_alphabet(), self.model.get_vocab()
-        self.bytes = [b""] * (max(vocab.values()) + 1)
-        for entry, i in vocab.items():
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet = byte_alphabet()
+        vocab = spec["model"]["vocab"]
+        self.bytes = [b""] * (max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1)
+        for entry, i in [*vocab.items(), *((t["content"], t["id"]) for t in spec.get("added_tokens", []))]:
             self.bytes[i] = entry_bytes(entry, alphabet)
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        ranks = self._ranks(spec, vocab)
+        if ranks is None:
+            from tokenizers import Tokenizer
+            model = Tokenizer.from_file(path)
+            model.encode_special_tokens = True
+            self.ids = lambda texts: [e.ids for e in model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        else:
+            import tiktoken
+            model = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            self.ids = lambda texts: [model.encode_ordinary(f" {t}") for t in texts]
+
+    def _ranks(self, spec: dict, vocab: dict[str, int]) -> dict[bytes, int] | None:
+        cut, kind = spec.get("pre_tokenizer") or {}, spec["model"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in kind["merges"]]
+        plain = (cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer")
+                 and kind["type"] == "BPE" and not kind.get("dropout") and not kind.get("continuing_subword_prefix")
+                 and not kind.get("end_of_word_suffix") and not kind.get("ignore_merges"))
+        if not plain or any(vocab.get(x + y) != 256 + i for i, (x, y) in enumerate(pairs)) \
+                or {i for e, i in vocab.items() if len(e) == 1 and e in byte_alphabet()} != set(range(256)):
+            return None
+        return {self.bytes[i]: i for i in range(256 + len(pairs))}
 
 
 class PieceTokens:
@@ -146,27 +171,31 @@ class Aligner:
         self.a, self.b = a, b
         self.a_size, self.b_size = (np.array([len(x) for x in t.bytes], np.int64) for t in (a, b))
         # Text of an id and what follows it: "," inside a group's side, "|" after its A ids, ";" after its B ids.
-        self.text = np.array([f"{i}{mark}" for t, marks in ((a, ",|"), (b, ",;")) for i in range(len(t.bytes)) for mark in marks], dtype=object)
+        self.text = pa.array([f"{i}{mark}" for t, marks in ((a, ",|"), (b, ",;")) for i in range(len(t.bytes)) for mark in marks], pa.large_binary())
+        self.text_size = np.diff(np.frombuffer(self.text.buffers()[1], np.int64, len(self.text) + 1))
+        self.bits = [max(1, (len(t.bytes) - 1).bit_length()) for t in (a, b)]
 
     def tokens(self, texts: list[str | None]):
         """(A ids, A offsets, B ids, B offsets) of the texts, nothing for those without tokens."""
         some = [i for i, t in enumerate(texts) if t]
         ids: list[list] = [[], []]
         counts = np.zeros((2, len(texts)), np.int64)
-        have = [texts[i] for i in some]
-        for i, t, x, y in zip(some, have, self.a.ids(have), self.b.ids(have)):
-            raw = b" " + t.encode()
-            if b"".join(map(self.a.bytes.__getitem__, x)) == raw == b"".join(map(self.b.bytes.__getitem__, y)):
-                ids[0].append(np.array(x, np.int32))
-                ids[1].append(np.array(y, np.int32))
-                counts[:, i] = len(x), len(y)
+        for s in range(0, len(some), BATCH_TEXTS):
+            part = some[s:s + BATCH_TEXTS]
+            have = [texts[i] for i in part]
+            for i, t, x, y in zip(part, have, self.a.ids(have), self.b.ids(have)):
+                raw = b" " + t.encode()
+                if b"".join(map(self.a.bytes.__getitem__, x)) == raw == b"".join(map(self.b.bytes.__getitem__, y)):
+                    ids[0].append(np.array(x, np.int32))
+                    ids[1].append(np.array(y, np.int32))
+                    counts[:, i] = len(x), len(y)
         off = np.zeros((2, len(texts) + 1), np.int64)
         np.cumsum(counts, axis=1, out=off[:, 1:])
         none = np.empty(0, np.int32)
         return np.concatenate([none, *ids[0]]), off[0], np.concatenate([none, *ids[1]]), off[1]
 
     def align(self, texts: list[str | None]) -> dict:
-        """Per text: n_a, n_b, n_groups, n_links, groups (text), pairs and their links (arrays).
+        """Per text: n_a, n_b, n_groups, n_links, groups (ASCII bytes), pairs and their number of links (arrays).
         ``links`` has (A place, B place) of every link and ``link_off`` its offsets by text."""
         a, a_off, b, b_off = self.tokens(texts)
         # ends count on over the batch, so lanes of different texts never meet; empty tokens can't occur in equal bytes but at an end
@@ -184,18 +213,21 @@ class Aligner:
         codes = np.empty(len(a) + len(b), np.int64)
         codes[np.arange(len(a)) + b_until[a_group]] = 2 * a.astype(np.int64) + a_last
         codes[np.arange(len(b)) + a_until[b_group + 1] if len(b) else []] = 2 * (b.astype(np.int64) + len(self.a.bytes)) + b_last
-        marks = self.text[codes].tolist()
-        both = a_off + b_off
-        groups = ["".join(marks[s:e])[:-1] for s, e in zip(both[:-1], both[1:])]
+        whole = self.text.take(pa.array(codes)).buffers()  # the texts of all ids one behind the other
+        ends = np.concatenate([[0], np.cumsum(self.text_size[codes])])[a_off + b_off]
+        joined = memoryview(whole[2]) if len(codes) else b""
+        groups = [joined[s:e - 1] if e > s else b"" for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-        # distinct pairs of each text
+        # distinct pairs of each text: sorted as one number of text, A id and B id
         doc = np.repeat(np.arange(len(texts)), np.diff(order))
-        pair = (a[la].astype(np.int64) << _SHIFT) | b[lb]
-        by = np.lexsort((pair, doc))
-        d, p = doc[by], pair[by]
-        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1])])) if len(p) else np.empty(0, np.int64)
+        at, bt = self.bits
+        key = (doc << (at + bt)) | (a[la].astype(np.int64) << bt) | b[lb]
+        key.sort()
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[new], np.diff(np.append(new, len(key)))
+        d, pair = key >> (at + bt), ((key >> bt & ((1 << at) - 1)) << _SHIFT) | (key & ((1 << bt) - 1))
         return {"n_a": np.diff(a_off), "n_b": np.diff(b_off), "n_groups": n_groups, "n_links": np.diff(order), "groups": groups,
-                "pairs": p[new], "times": np.diff(np.append(new, len(p))), "pair_off": np.searchsorted(d[new], np.arange(len(texts) + 1)),
+                "pairs": pair, "times": times, "pair_off": np.searchsorted(d, np.arange(len(texts) + 1)),
                 "links": (la, lb), "link_off": order, "a": a, "b": b, "a_off": a_off, "b_off": b_off}
 
 
@@ -219,9 +251,9 @@ def aligned(docs: DataFrame, folder: str = TOKENIZERS, text: str = "text") -> Da
         aligner = Aligner(*tokenizers(folder))
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in _parts(texts, BATCH_BYTES):
+            for part in _parts(texts, BATCH_CHARS):
                 x = aligner.align(texts[part])
-                sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in x["groups"]]
+                sha = [hashlib.sha256(g).hexdigest() if len(g) else "" for g in x["groups"]]
                 off = pa.array(x["pair_off"].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[part.start:part.stop], *(pa.array(x[n].astype(np.int64)) for n in ("n_a", "n_b", "n_groups", "n_links")),
@@ -250,7 +282,7 @@ def links(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
         aligner = Aligner(*tokenizers(folder))
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in _parts(texts, BATCH_BYTES):
+            for part in _parts(texts, BATCH_CHARS):
                 x = aligner.align(texts[part])
                 la, lb = x["links"]
                 doc = np.repeat(np.arange(part.stop - part.start), x["n_links"])
