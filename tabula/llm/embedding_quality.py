@@ -45,13 +45,13 @@ BUCKETS, DIMS, NONZERO, WINDOW = 1 << 15, 64, 2, 2
 LAGS = (1, 2, 3, 4)
 FEATURES = 2 * DIMS + len(LAGS) + 1
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.005, 1e-3
-#: Units whose vectors are in memory at once (16 MB).
-PIECE = 1 << 15
+#: Units whose vectors are in memory at once (2 MB: they stay in the processor's cache).
+PIECE = 1 << 12
 #: Units whose contexts are counted at once.
 COUNTED = 1 << 20
 _MAX_KNOWN = 200_000
 _UNIT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_CAPS = "\0caps"
+_CAPS = zlib.crc32(b"\0caps") % BUCKETS  # the mark of a word in capitals
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,28 +66,37 @@ def _index() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Units:
-    """Hash buckets of a text's units, in order."""
+    """Hash buckets of texts' units, in order; a word in capitals is followed by the mark for that."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}
 
-    def _new(self, unit: str) -> tuple[int, ...]:
+    def _new(self, unit: str) -> int:
         if len(self.known) >= _MAX_KNOWN:
             self.known.clear()
-        parts = [unit.lower(), _CAPS] if len(unit) > 1 and unit.isupper() else [unit.lower()]
-        got = self.known[unit] = tuple(zlib.crc32(p.encode("utf-8", "replace")) % BUCKETS for p in parts)
+        bucket = zlib.crc32(unit.lower().encode("utf-8", "replace")) % BUCKETS
+        got = self.known[unit] = bucket + BUCKETS * (len(unit) > 1 and unit.isupper())
         return got
 
-    def of(self, text: str | None) -> list[int]:
-        known, new, out = self.known, self._new, []
-        for u in _UNIT.findall(text or ""):
-            out += known.get(u) or new(u)
-        return out
+    def _codes(self, text: str | None) -> np.ndarray:
+        units = _UNIT.findall(text or "")
+        codes = list(map(self.known.get, units))
+        if None in codes:
+            codes = [self._new(u) if c is None else c for u, c in zip(units, codes)]
+        return np.array(codes, np.int32)
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(buckets of all units, number of each text)."""
-        lists = [np.array(self.of(t), np.int32) for t in texts]
-        return np.concatenate([np.empty(0, np.int32), *lists]), np.array([len(x) for x in lists], np.int64)
+        lists = [self._codes(t) for t in texts]
+        codes = np.concatenate([np.empty(0, np.int32), *lists])
+        caps = codes >= BUCKETS
+        out = np.repeat(codes % BUCKETS, 1 + caps)
+        out[np.flatnonzero(caps) + np.cumsum(caps)[caps]] = _CAPS
+        end = np.cumsum([0, *map(len, lists)])
+        return out, np.diff(end + np.concatenate([[0], np.cumsum(caps)])[end])
+
+    def of(self, text: str | None) -> list[int]:
+        return self.batch([text])[0].tolist()
 
 
 # ── 1. Random indexing ────────────────────────────────────────────────────
