@@ -3,9 +3,11 @@
 Texts are A-Z lower-cased and cut into words (ASCII letters, ASCII digits and
 every non-ASCII character).  A benchmark item gives all its windows of
 ``WIDTH`` consecutive words; an item of fewer words, but not none, is one
-window.  Each window is filed under the hash of its first ``ANCHOR`` words.
-Documents are scanned position by position: the hash of the next words probes
-the broadcast window table, and a hit is verified word by word.  Nothing but
+window.  Each window is filed under a hash of all its words, made of the words'
+own hashes.  Documents are scanned position by position: for each length that
+windows have (``WIDTH`` at most) the hash of the next words probes the broadcast
+window table, and a hit is verified word by word.  So windows that only begin
+alike never meet: a position has one candidate a length, but for equal hashes.  Nothing but
 verified hits and one marker row per document is shuffled, so a passage that a
 third of all documents share costs each task only its own documents' hits.
 
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 from tabula.llm.common import ascii_lower, fresh, hinted, let, stored
 
 WIDTH = 13
-ANCHOR = 4
 #: What stands between words.  ``split`` and dropping empty ends costs a tenth of ``regexp_extract_all``,
 #: which builds a match object for every word.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,13 +37,13 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(ascii_lower(text), GAPS, -1), ""), F.array().cast("array<string>"))
 
 
-def _anchor(size: Column, words: list[Column]) -> Column:
-    """Hash of the first words (a null, for a word that isn't there, adds nothing to the hash)."""
-    return F.xxhash64(size, *words)
+def _key(size: int | Column, hashes: list[Column]) -> Column:
+    """Hash of a window of so many words, given the hashes of its words (a null, past the end, adds nothing)."""
+    return F.xxhash64(F.lit(size).cast("int") if isinstance(size, int) else size, *hashes)
 
 
 def benchmark_windows(bench: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(win, items, n, a, anchor): each distinct window with the ids of its items."""
+    """(win, items, n, key): each distinct window with the ids of its items."""
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
                          words(F.col("text")).alias("w")).where(F.size("w") > 0)
     cut = let(F.col("w"), lambda w: F.when(F.size(w) < width, F.array(w)).otherwise(
@@ -50,9 +51,8 @@ def benchmark_windows(bench: DataFrame, width: int = WIDTH) -> DataFrame:
                     lambda i: F.slice(w, i, width))))
     wins = items.select("item", F.explode(cut).alias("win")).groupBy("win").agg(
         F.sort_array(F.collect_set("item")).alias("items"))
-    a = F.least(F.size("win"), F.lit(ANCHOR))
-    return wins.select("win", "items", F.size("win").alias("n"), a.alias("a"),
-                       _anchor(a, [F.get("win", F.lit(k)) for k in range(ANCHOR)]).alias("anchor"))
+    hashes = [F.when(F.size("win") > k, F.xxhash64(F.get("win", F.lit(k)))) for k in range(width)]
+    return wins.select("win", "items", F.size("win").alias("n"), _key(F.size("win"), hashes).alias("key"))
 
 
 def hits(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -61,21 +61,19 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
     wins = stored(benchmark_windows(bench, width), "bench_windows")
     size = wins.agg(F.sum(F.length(F.array_join("win", " ")) * 4 + F.length(F.array_join("items", " ")) * 4 + 64)).first()[0] or 0
     slices = -(-size // SLICE_BYTES) or 1
-    lens = sorted(r.a for r in wins.select("a").distinct().collect())  # at most ANCHOR values
+    lens = sorted(r.n for r in wins.select("n").distinct().collect())  # at most WIDTH values
     mark = spark.range(1).select(
         F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"),
-        F.lit(0).alias("n"), F.lit(0).alias("a"), F.lit(_MARK).cast("long").alias("anchor"))
+        F.lit(0).alias("n"), F.lit(_MARK).cast("long").alias("key"))
     base = docs.select(F.col("doc_id"), F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
 
     def probes(w: Column, marked: bool) -> Column:
-        def of(a: int) -> Column:
-            return F.transform(w, lambda x, i: F.struct(
-                i.alias("pos"), _anchor(F.lit(a), [x, *[F.get(w, i + k) for k in range(1, a)]]).alias("anchor")))
+        def of(h: Column, n: int) -> Column:
+            return F.transform(h, lambda x, i: F.struct(
+                i.alias("pos"), _key(n, [x, *[F.get(h, i + k) for k in range(1, n)]]).alias("key")))
 
-        kinds = [of(a) for a in lens]
-        if marked:
-            kinds = [F.array(F.struct(F.lit(-1).alias("pos"), F.lit(_MARK).cast("long").alias("anchor"))), *kinds]
-        return F.concat(*kinds)
+        mark_row = [F.array(F.struct(F.lit(-1).alias("pos"), F.lit(_MARK).cast("long").alias("key")))] if marked else []
+        return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(*mark_row, *[of(h, n) for n in lens]))
 
     out = None
     for k in range(slices):
@@ -88,7 +86,7 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
         # The outer form keeps the optimizer from computing them twice more for a filter on empty arrays.
         at = base.select("doc_id", "h", "w", let(F.col("w"), lambda w: probes(w, first)).alias("probes")) \
             .select("doc_id", "h", "w", F.explode_outer("probes").alias("e"))
-        found = at.join(F.broadcast(part), F.col("e.anchor") == F.col("anchor")).where(
+        found = at.join(F.broadcast(part), F.col("e.key") == F.col("key")).where(
             F.when(F.col("n") == 0, F.col("e.pos") < 0).otherwise(
                 (F.col("e.pos") >= 0) & (F.slice(F.col("w"), F.greatest(F.col("e.pos") + 1, F.lit(1)), F.greatest(F.col("n"), F.lit(1))) == F.col("win"))))
         found = found.select("doc_id", "h", F.size("w").alias("n_words"), F.col("e.pos").alias("pos"), "n", "items")
