@@ -9,8 +9,15 @@ Hosts that are only linked to and parent domains are nodes without pages: they
 pass ranks on and are never judged; each different linked url of such a host
 that a rule fits is one seed page of it.  A name of one label (``net``) is a
 parent only if it has pages; IP addresses and names over 253 characters have no
-parent.  A host's expected share of bad pages is (distrust mass minus
-trust mass, in pages) over its pages; from ``BLOCK_SHARE`` on it is blocked.
+parent.  Mass at a host without a way on goes back to the seeds, so each rank keeps
+the mass of its seeds (counted in pages) and trust and distrust are on one scale.
+A host's expected share of bad pages is (distrust mass minus trust mass) over its
+pages; from ``BLOCK_SHARE`` on it is blocked.
+
+The ranks are iterated until a round changes them by no more than ``TOLERANCE`` of
+the seeds' mass, summed over all hosts: about ln(TOLERANCE) / ln(DAMPING) rounds
+at most, whatever the graph.  Mass that goes back to the seeds only scales the
+result, so it is settled once, at the end.
 
 Pages are aggregated to hosts before anything is joined, so a host with a third
 of all pages is one row; ranks are written to the shared folder every few rounds.
@@ -32,7 +39,8 @@ from tabula.llm.common import ascii_lower, hinted, stored
 #: (verdict, host, path): fixed production rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS, PER_WRITE = 12, 4
+#: Summed change of a round, as a share of the seeds' mass, that ends the iteration; rounds between two writes.
+TOLERANCE, PER_WRITE = 1e-6, 12
 BLOCK_SHARE = 0.5
 _HREF = r"""(?i)\shref\s*=\s*["']?((?<=["'])[^"']*(?=["'])|(?<!["'])[^\s>"'][^\s>]*)"""
 
@@ -95,25 +103,38 @@ def nodes(hosts: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
         "host", F.lit(0).cast("long").alias("pages"), *(F.coalesce(n, F.lit(0.0)).alias(n) for n in ("seed_good", "seed_bad"))))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, good, bad): personalised ranks in seed pages.  ``hosts``: host, seed_good, seed_bad; ``edges``: src, dst, w."""
     out_w = edges.groupBy("src").agg(F.sum("w").alias("out_w"))
     in_w = edges.groupBy("dst").agg(F.sum("w").alias("in_w"))
-    e = stored(edges.join(out_w, "src").join(in_w, "dst").select(
-        "src", "dst", (F.col("w") / F.col("out_w")).alias("fwd"), (F.col("w") / F.col("in_w")).alias("back")), "host_edges")
-    rank = hosts.select("host", "seed_good", "seed_bad", F.col("seed_good").alias("good"), F.col("seed_bad").alias("bad"))
-    for k in range(rounds):
-        moved = e.join(rank.select(F.col("host").alias("src"), "good"), "src").select(
-            F.col("dst").alias("host"), (F.col("good") * F.col("fwd")).alias("g"), F.lit(0.0).alias("b")).unionByName(
-            e.join(rank.select(F.col("host").alias("dst"), "bad"), "dst").select(
-                F.col("src").alias("host"), F.lit(0.0).alias("g"), (F.col("bad") * F.col("back")).alias("b")))
-        got = moved.groupBy("host").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
-        share = lambda seed, flow: (F.col(seed) * (1 - damping) + F.coalesce(flow, F.lit(0.0)) * damping)
-        rank = rank.select("host", "seed_good", "seed_bad").join(got, "host", "left").select(
-            "host", "seed_good", "seed_bad", share("seed_good", F.col("g")).alias("good"), share("seed_bad", F.col("b")).alias("bad"))
-        if (k + 1) % PER_WRITE == 0 or k + 1 == rounds:
-            rank = stored(rank, "host_ranks")
-    return rank.select("host", "good", "bad")
+    # trust goes along an edge, distrust back
+    ways = F.explode(F.array(F.struct(F.lit("good").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("w") / F.col("out_w")).alias("part")),
+                             F.struct(F.lit("bad").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("w") / F.col("in_w")).alias("part"))))
+    e = stored(edges.join(out_w, "src").join(in_w, "dst").select(ways.alias("e")).select("e.*"), "host_edges")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"seed_{k}").alias("seed")) for k in ("good", "bad")]))
+    seeds = stored(hosts.select("host", kinds.alias("s")).select("host", "s.kind", "s.seed").where("seed <> 0"), "host_seeds")
+    total = seeds.agg(F.sum("seed")).first()[0] or 0.0
+    source = seeds.select("host", "kind", (F.col("seed") * (1 - damping)).alias("v"))
+    way = hinted(e)
+    rank = source
+    while total:
+        for _ in range(PER_WRITE):
+            before = rank
+            moved = way.join(before.withColumnRenamed("host", "a"), ["a", "kind"]).select(
+                F.col("b").alias("host"), "kind", (F.col("v") * F.col("part") * damping).alias("v"))
+            rank = moved.unionByName(source).groupBy("host", "kind").agg(F.sum("v").alias("v"))
+        both = rank.withColumn("u", F.lit(0.0)).unionByName(before.select("host", "kind", F.lit(0.0).alias("v"), F.col("v").alias("u")))
+        both = stored(both.groupBy("host", "kind").agg(F.sum("v").alias("v"), F.sum("u").alias("u")), "host_ranks")
+        change = both.agg(F.sum(F.abs(F.col("v") - F.col("u")))).first()[0] or 0.0
+        rank = both.select("host", "kind", "v")
+        if change <= tolerance * total:
+            break
+    mass = {r["kind"]: r["m"] for r in rank.groupBy("kind").agg(F.sum("v").alias("m")).collect()}
+    own = {r["kind"]: r["m"] for r in seeds.groupBy("kind").agg(F.sum("seed").alias("m")).collect()}
+    value = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("v"))), F.lit(0.0)) * (own[k] / mass[k] if mass.get(k) else 0.0)
+    got = rank.groupBy("host").agg(value("good").alias("good"), value("bad").alias("bad"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return hosts.select("host").join(got, "host", "left").select("host", zero("good"), zero("bad"))
 
 
 def blocked_hosts(pages: DataFrame) -> DataFrame:
@@ -125,7 +146,7 @@ def blocked_hosts(pages: DataFrame) -> DataFrame:
     links = stored(host_links(pages), "host_links")
     edges = stored(host_edges(pages, hosts.select("host"), links), "host_graph")
     ranks = propagate(stored(nodes(hosts, links, edges), "host_nodes"), edges)
-    share = F.round((F.col("bad") - F.col("good")) / (1 - DAMPING) / F.col("pages"), 9)
+    share = F.round((F.col("bad") - F.col("good")) / F.col("pages"), 9)
     # ``hosts`` has no node without pages, so none is judged.
     return hosts.join(ranks, "host").select("host", share.alias("bad_share")).where(F.col("bad_share") >= BLOCK_SHARE)
 

@@ -27,9 +27,9 @@ _BAD = {
     "dup_lines": f"n_dup_lines * 100 > n_lines * {_Q.DUP_LINE_PCT}",
     "word_len": f"n_words > 0 AND NOT word_chars / greatest(n_words, 1) BETWEEN {_Q.WORD_LEN[0]} AND {_Q.WORD_LEN[1]}",
 }
-_LOW, _HIGH = _Q.PRIOR_STRENGTH
-_STRENGTH = "least(greatest(CASE WHEN v_{r} > 0 THEN m_{r} * (1 - m_{r}) / v_{r} - 1 ELSE " + f"{_HIGH} END, {_LOW}), {_HIGH})"
-_MARK = ", ".join(f"{r} > 0 AND ({r} + m_{r} * {_STRENGTH.format(r=r)}) / (n + {_STRENGTH.format(r=r)}) >= {_Q.HOST_RATE} AS host_{r}"
+_RHO = ("CASE WHEN x_{r} = 0 OR x_{r} = n_all OR b <= a THEN 0.0 ELSE least(greatest(((xx_{r} / n_all - (x_{r} / n_all) * (x_{r} / n_all)) "
+        "/ ((x_{r} / n_all) * (1 - x_{r} / n_all)) - a) / (b - a), 0.0), 1.0) END")
+_MARK = ", ".join(f"{r} > 0 AND ({r} * rho_{r} + x_{r} / n_all * (1 - rho_{r})) / (n * rho_{r} + (1 - rho_{r})) >= {_Q.HOST_RATE} AS host_{r}"
                   for r in _BAD)
 QUALITY = rf"""
 WITH d AS (SELECT doc_id, source, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
@@ -45,7 +45,9 @@ WITH d AS (SELECT doc_id, source, row_number() OVER () AS rid, coalesce(text, ''
     f AS (SELECT *, n_words < {_Q.MIN_WORDS} OR 100 * n_repeat_words > {_Q.REPEAT_PCT} * n_words AS base_failed,
         {", ".join(f"{v} AS {k}" for k, v in _BAD.items())} FROM m),
     h AS (SELECT source, count(*) AS n, {", ".join(f"sum(({k})::INT) AS {k}" for k in _BAD)} FROM f GROUP BY source),
-    s AS (SELECT {", ".join(f"avg({k} / n) AS m_{k}, var_pop({k} / n) AS v_{k}" for k in _BAD)} FROM h),
+    s0 AS (SELECT sum(n) AS n_all, (count(*) - 1) / sum(n) AS a, 1 - sum(n * n) / sum(n) / sum(n) AS b,
+        {", ".join(f"sum({k}) AS x_{k}, sum({k} * {k} / n) AS xx_{k}" for k in _BAD)} FROM h),
+    s AS (SELECT *, {", ".join(f"{_RHO.format(r=k)} AS rho_{k}" for k in _BAD)} FROM s0),
     a AS (SELECT source, {_MARK} FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND NOT ({" OR ".join(f"(f.{k} AND host_{k})" for k in _BAD)}) AS kept
@@ -72,14 +74,16 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS tex
         WHERE CASE rule WHEN 'v' THEN length(v) >= {_S.MIN_VALUE} WHEN 'm' THEN length(m) >= {_S.MIN_ACCESS}
             WHEN 't' THEN regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]') ELSE true END),
     u AS (SELECT * FROM q WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM q b WHERE b.rid = q.rid AND b.kind < 3 AND b.a < q.z AND q.a < b.z)),
-    o AS (SELECT v, count(DISTINCT owner) AS owners FROM u JOIN d USING (rid) GROUP BY v),
-    l AS (SELECT u.*, owners < {_S.EXAMPLE_OWNERS} AND len(list_distinct(string_split(u.v, ''))) >= {_S.MIN_DISTINCT}
+    o AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT owner || chr(1) || lang) AS repos FROM u JOIN d USING (rid) GROUP BY v),
+    l AS (SELECT u.*, owners >= {_S.EXAMPLE_OWNERS} OR repos >= {_S.EXAMPLE_REPOS} AS copied,
+        owners < {_S.EXAMPLE_OWNERS} AND repos < {_S.EXAMPLE_REPOS} AND len(list_distinct(string_split(u.v, ''))) >= {_S.MIN_DISTINCT}
         AND NOT contains(lower(u.v), 'example') AS live FROM u JOIN o USING (v)),
     g AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
         string_agg({_SPAN}, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
-        string_agg({_SPAN}, ',' ORDER BY a, kind) FILTER (kind < 3 OR live) AS spans, count(*) FILTER (live) AS n_live FROM l GROUP BY rid)
+        string_agg({_SPAN}, ',' ORDER BY a, kind) FILTER (kind < 3 OR live) AS spans, count(*) FILTER (live) AS n_live,
+        count(*) FILTER (copied) AS n_copied FROM l GROUP BY rid)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
-    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
 FROM d LEFT JOIN g USING (rid)
 """
 

@@ -4,8 +4,13 @@ Per document: word count, characters in words, symbols, repeated lines and the
 words inside repeated 5-word windows.  The base rules (too short, too much
 repetition) reject a document by themselves.  The soft rules (symbols, repeated
 lines, odd word lengths) are aggregated by host; each host's failure rate is
-shrunk towards an empirical beta prior (method of moments over all hosts), and
-a host whose shrunk rate reaches ``HOST_RATE`` is marked for that rule.  The
+shrunk towards an empirical beta prior, and a host whose shrunk rate reaches
+``HOST_RATE`` is marked for that rule.  The prior has the moments of a
+beta-binomial over hosts of n documents each: mean m, and correlation rho of two
+documents of one host, estimated from the n-weighted variance of the rates less
+the part that sampling alone gives (which is most of it where hosts are small).
+It weighs (1 - rho) / rho documents: all of it at rho = 0, where hosts don't
+differ and every rate shrinks to m, nothing at rho = 1.  The
 host verdicts are joined back: a document is also rejected if it fails a soft
 rule for which its host is marked.  A document that fails no rule is kept,
 whatever its host.
@@ -18,7 +23,7 @@ table gives an empty result; one host only gives a prior at that host's rate.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +36,6 @@ SYMBOL_PCT = 10        # symbols per 100 words
 DUP_LINE_PCT = 30      # repeated lines per 100 lines that have a word
 WORD_LEN = (2.5, 15.0)  # mean characters per word
 HOST_RATE = 0.5
-PRIOR_STRENGTH = (2.0, 1000.0)  # bounds of the prior's pseudo-documents
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _NOT_CHARS = _SPACE + bytes(range(0x80, 0xC0))  # white space and UTF-8 continuation bytes
@@ -76,15 +80,15 @@ def measure_text(b: bytes | None) -> tuple[int, int, int, int, int, int]:
             len(lines), len(lines) - len(set(lines)), repeat_words(ws))
 
 
-def _measure(texts: pd.Series) -> pd.DataFrame:
-    names = [c.split()[0] for c in MEASURES.split(", ")]
-    return pd.DataFrame([measure_text(b) for b in texts], columns=names, dtype="int64")
+def _measure(texts: pa.Array) -> pa.Array:
+    rows = np.array([measure_text(b) for b in texts.to_pylist()], np.int64).reshape(-1, 6)
+    return pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], [c.split()[0] for c in MEASURES.split(", ")])
 
 
 def measured(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
     """``docs`` plus a struct column ``out``: the measures and one flag per rule."""
     # declared nondeterministic only so that the optimizer neither repeats it nor pushes it below a join
-    m = F.pandas_udf(_measure, MEASURES).asNondeterministic()(F.col(text).cast("binary"))
+    m = F.arrow_udf(_measure, MEASURES).asNondeterministic()(F.col(text).cast("binary"))
     tmp, = fresh(docs, f"{out}_m")
     d = docs.withColumn(tmp, m)
     c = {n.split()[0]: F.col(f"{tmp}.{n.split()[0]}") for n in MEASURES.split(", ")}
@@ -97,18 +101,30 @@ def measured(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
         ((c["n_words"] > 0) & ~mean.between(*WORD_LEN)).alias("word_len"))).drop(tmp)
 
 
+def beta_binomial(hosts: int, n: int, nn: float, x: int, xx: float) -> tuple[float, float]:
+    """(m, rho) from the number of hosts and the sums of n, n², failures x and x²/n over the hosts.
+
+    With weights n / N the variance of the rates is m (1 - m) ((1 - rho) a + rho b) in expectation,
+    a = (hosts - 1) / N and b = 1 - sum of n² / N²."""
+    m = x / n if n else 0.0
+    if not 0 < m < 1:
+        return m, 0.0
+    a, b = (hosts - 1) / n, 1 - nn / n / n
+    if b <= a:
+        return m, 0.0
+    return m, min(1.0, max(0.0, ((xx / n - m * m) / (m * (1 - m)) - a) / (b - a)))
+
+
 def marked_hosts(scored: DataFrame, host: str, rules: str) -> DataFrame:
     """(host, one flag per soft rule) of the hosts that are marked for at least one rule."""
     per = stored(scored.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"{rules}.{r}").cast("long")).alias(r) for r in SOFT]), "host_rules")
-    stats = per.agg(*[f(F.col(r) / F.col("n")).alias(f"{k}_{r}") for r in SOFT
-                      for k, f in (("m", F.avg), ("v", F.var_pop))]).first()
+    stats = per.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n")).cast("double")).alias("nn"),
+                    *[F.sum(r).alias(f"x_{r}") for r in SOFT], *[F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"xx_{r}") for r in SOFT]).first()
     out = per
     for r in SOFT:
-        m, v = stats[f"m_{r}"] or 0.0, stats[f"v_{r}"] or 0.0
-        strength = m * (1 - m) / v - 1 if v > 0 else PRIOR_STRENGTH[1]
-        strength = min(max(strength, PRIOR_STRENGTH[0]), PRIOR_STRENGTH[1])
-        rate = (F.col(r) + m * strength) / (F.col("n") + strength)
+        m, rho = beta_binomial(stats["hosts"], stats["n"] or 0, stats["nn"] or 0.0, stats[f"x_{r}"] or 0, stats[f"xx_{r}"] or 0.0)
+        rate = (F.col(r) * rho + m * (1 - rho)) / (F.col("n") * rho + (1 - rho))
         out = out.withColumn(r, (F.col(r) > 0) & (rate >= HOST_RATE))
     return out.where(" or ".join(SOFT)).select("host", *SOFT)
 

@@ -4,10 +4,17 @@ Base kinds (assignments, access keys, hex runs) are found by pattern; a further
 kind, ``token`` (long runs that mix lower case, upper case and digits outside
 any base span), is only a candidate.  Every candidate's value is hashed and the
 distinct repositories and owners that hold it are counted over the whole corpus:
-a value that ``EXAMPLE_OWNERS`` or more owners hold is a copied example; one that
+a value that ``EXAMPLE_OWNERS`` or more owners hold, or ``EXAMPLE_REPOS`` or more
+repositories (one owner's template among them), is a copied example; one that
 fewer hold and that looks random is live.  Live tokens become spans; redaction
 replaces live spans only.
 
+The texts are read once: a match leaves the lengths of itself and of the gap
+before it, in characters and in bytes, and the hash of its value.  Positions are
+running sums over a text's matches, overlaps and merged cuts are running extremes
+over its spans, and redaction cuts the text's bytes at the spans' byte offsets, so
+the work follows the number of matches, also in a text full of them.
+
 Copies of one secret in one repository collapse before the shuffle (partial
 aggregation), so a value in a third of all documents costs a row per task.
 
@@ -20,10 +27,11 @@ spans are in code points, end exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabula.llm.common import fresh, let, stored
+from tabula.llm.common import fresh, hinted, let, stored
+from tabula.operators.ranking import null_safe_join
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "token")
@@ -32,80 +40,74 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # a run shorter than 16 holds no other run, so none is hidden
 TOKEN = r"[A-Za-z0-9_-]{20,}"
 MIN_VALUE, MIN_ACCESS = 12, 18
-EXAMPLE_OWNERS = 4
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 4, 8
+MARK = "[REDACTED]"
 MIN_DISTINCT = 6  # different characters of a value that looks live
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_MATCH = "array<struct<kind:int,place:int,gap:int,gap_bytes:int,size:int,bytes:int,value:string,fits:boolean,random:boolean>>"
+_TEXT = ["doc_id", "h"]
 
 
 def _matches(text: Column, kind: int, pattern: str, group: int, fits) -> Column:
-    """Spans of the leftmost non-overlapping matches whose value fits.
-
-    ``split`` gives the gaps and ``regexp_extract_all`` the matches; positions are running lengths."""
+    """The leftmost non-overlapping matches in order; ``split`` gives the gaps and ``regexp_extract_all`` the matches."""
     rx = F.lit(pattern)
+    looks = lambda v: (F.size(F.array_distinct(F.split(v, ""))) >= MIN_DISTINCT) & ~F.lower(v).contains("example")
 
-    def walk(gaps: Column, found: Column, values: Column) -> Column:
-        start = lambda acc, i: acc["at"] + F.length(gaps[i])
-        zero = F.struct(F.array().cast(_SPAN).alias("out"), F.lit(0).alias("at"))
-        return F.aggregate(F.transform(found, lambda _, i: i), zero, lambda acc, i: F.struct(
-            F.when(fits(found[i], values[i]), F.concat(acc["out"], F.array(F.struct(
-                start(acc, i).alias("start"), F.lit(kind).alias("kind"),
-                (start(acc, i) + F.length(found[i])).alias("end"), values[i].alias("value")))))
-            .otherwise(acc["out"]).alias("out"),
-            (start(acc, i) + F.length(found[i])).alias("at")), lambda acc: acc["out"])
+    def facts(x: Column) -> Column:
+        return F.transform(x["m"], lambda m, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("place"), F.length(x["g"][i]).alias("gap"), F.octet_length(x["g"][i]).alias("gap_bytes"),
+            F.length(m).alias("size"), F.octet_length(m).alias("bytes"), F.when(fits(m, x["v"][i]), F.sha2(x["v"][i], 256)).alias("value"),
+            fits(m, x["v"][i]).alias("fits"), F.when(fits(m, x["v"][i]), looks(x["v"][i])).alias("random")))
 
     return let(F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, rx, F.lit(0)).alias("m"),
-                        F.regexp_extract_all(text, rx, F.lit(group)).alias("v")), lambda x: walk(x["g"], x["m"], x["v"]))
+                        F.regexp_extract_all(text, rx, F.lit(group)).alias("v")), facts)
 
 
-def _spans(text: Column) -> dict[str, Column]:
-    none = F.array().cast(_SPAN)
-    low = F.lower(text)
-    named = F.lit(False)
+def matches(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """Stored narrow rows: doc_id, h, owner, repo and ``found``, the matches of all kinds."""
+    text, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast(_MATCH)
+    low, named = F.lower(text), F.lit(False)
     for word in ("password", "passwd", "secret", "token", "api"):
         named = named | low.contains(word)
-    return {
-        "assign": F.when(named, _matches(text, 0, ASSIGN, 2, lambda m, v: F.length(v) >= MIN_VALUE)).otherwise(none),
-        "access": F.when(text.contains("AKIA"), _matches(text, 1, ACCESS, 0, lambda m, v: F.length(m) >= MIN_ACCESS)).otherwise(none),
-        "hex": F.when(text.rlike(HEX), _matches(text, 2, HEX, 0, lambda m, v: F.lit(True))).otherwise(none),
-        "token": F.when(text.rlike(TOKEN), _matches(text, 3, TOKEN, 0, lambda m, v: m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]")))
-        .otherwise(none),
-    }
-
-
-def candidates(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """Stored narrow rows: doc_id, h, owner, repo, base spans, token candidates."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    s = _spans(text)
+    found = F.concat(
+        F.when(named, _matches(text, 0, ASSIGN, 2, lambda m, v: F.length(v) >= MIN_VALUE)).otherwise(none),
+        F.when(text.contains("AKIA"), _matches(text, 1, ACCESS, 0, lambda m, v: F.length(m) >= MIN_ACCESS)).otherwise(none),
+        F.when(text.rlike(HEX), _matches(text, 2, HEX, 0, lambda m, v: F.lit(True))).otherwise(none),
+        F.when(text.rlike(TOKEN), _matches(text, 3, TOKEN, 0, lambda m, v: m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]"))).otherwise(none))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), name(owner).alias("owner"),
-                       F.concat_ws("\u0001", *[name(c) for c in repo]).alias("repo"), *[c.alias(k) for k, c in s.items()])
-    base = F.sort_array(F.concat("assign", "access", "hex"))
-    rows = rows.select("doc_id", "h", "owner", "repo", base.alias("base"), F.col("token"))
-    free = let(F.col("base"), lambda b: F.filter("token", lambda t: ~F.exists(
-        b, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"]))))
-    looks = lambda v: (F.size(F.array_distinct(F.split(v, ""))) >= MIN_DISTINCT) & ~F.lower(v).contains("example")
-    hashed = lambda spans: F.transform(spans, lambda x: F.struct(
-        x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"),
-        F.sha2(x["value"], 256).alias("value"), looks(x["value"]).alias("random")))
-    return stored(rows.select("doc_id", "h", "owner", "repo", hashed(F.col("base")).alias("base"), hashed(free).alias("extra")),
-                  "secret_candidates")
-
-
-def ownership(cands: DataFrame) -> DataFrame:
+    return stored(docs.select("doc_id", F.xxhash64("text").alias("h"), name(owner).alias("owner"),
+                              F.concat_ws("\u0001", *[name(c) for c in repo]).alias("repo"), found.alias("found")), "secret_matches")
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """Stored rows doc_id, h, kind, start, end, start_byte, end_byte, value, random: the base spans of each different
+    text and the tokens that no base span overlaps."""
+    texts = found.where(F.size("found") > 0).groupBy(*_TEXT).agg(F.first("found").alias("found"))
+    each = texts.select(*_TEXT, F.explode("found").alias("m")).select(*_TEXT, "m.*")
+    until = Window.partitionBy(*_TEXT, "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    at = each.select("*", F.sum(F.col("gap") + F.col("size")).over(until).alias("end"), F.sum(F.col("gap_bytes") + F.col("bytes")).over(until).alias("end_byte"))
+    at = at.where("fits").select(*_TEXT, "kind", (F.col("end") - F.col("size")).cast("int").alias("start"), F.col("end").cast("int").alias("end"),
+                                 (F.col("end_byte") - F.col("bytes")).alias("start_byte"), "end_byte", "value", "random")
+    own = Window.partitionBy(*_TEXT)
+    before = F.max(F.when(F.col("kind") < 3, F.col("end"))).over(own.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(F.col("kind") < 3, F.col("start"))).over(own.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    free = (F.coalesce(before, F.lit(-1)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
+    return stored(at.select("*", (free | (F.col("kind") < 3)).alias("taken")).where("taken").drop("taken"), "secret_spans")
+
+
+def ownership(found: DataFrame, at: DataFrame) -> DataFrame:
     """(value, owners, repos): distinct owners and repositories of each candidate value."""
-    each = cands.select("owner", "repo", F.explode(F.concat("base", "extra")).alias("s")).select("s.value", "owner", "repo")
-    per_repo = each.distinct()
+    holders = found.where(F.size("found") > 0).select(*_TEXT, "owner", "repo").distinct()
+    per_repo = null_safe_join(at.select(*_TEXT, "value").distinct(), holders, _TEXT).select("value", "owner", "repo").distinct()
     per_owner = per_repo.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"))
     return per_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
 
 
-def verdicts(cands: DataFrame) -> DataFrame:
-    """Per (doc_id, h) with candidates: ``found``, sorted structs of start, kind, end and live."""
-    freq = stored(ownership(cands), "secret_owners")
-    each = cands.select("doc_id", "h", F.explode(F.concat("base", "extra")).alias("s")).select("doc_id", "h", "s.*")
-    live = F.col("random") & (F.col("owners") < EXAMPLE_OWNERS)
-    return each.join(freq, "value").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(
-        F.struct("start", "kind", "end", live.alias("live")))).alias("found"))
+def verdicts(found: DataFrame) -> DataFrame:
+    """The spans with ``owners``, ``repos`` and ``live``."""
+    at = spans(found)
+    freq = stored(ownership(found, at), "secret_owners")
+    live = F.col("random") & (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repos") < EXAMPLE_REPOS)
+    return at.join(hinted(freq), "value").withColumn("live", live)
 
 
 def _joined(spans: Column) -> Column:
@@ -114,35 +116,40 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, **columns) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live for every document row."""
-    cands = candidates(docs, **columns)
-    v = verdicts(cands).select(F.col("doc_id").alias("v_id"), F.col("h").alias("v_h"), "found")
-    rows = cands.select("doc_id", "h", "base").join(v, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("h") == F.col("v_h")), "left")
-    found = F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>"))
-    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
-    return rows.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])],
-                       F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-                       _joined(F.filter(found, lambda x: (x["kind"] < 3) | x["live"])).alias("spans"),
-                       F.size(F.filter(found, lambda x: x["live"])).cast("long").alias("n_live"))
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied (spans whose value is a copied example)
+    for every document row."""
+    found = matches(docs, **columns)
+    v = verdicts(found)
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)
+    per = v.groupBy(*_TEXT).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("found"),
+                                F.count_if(copied).alias("n_copied"))
+    rows = null_safe_join(found.select(*_TEXT), per, _TEXT, "left")
+    every = F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>"))
+    base = F.filter(every, lambda x: x["kind"] < 3)
+    count = lambda kind: F.size(F.filter(every, lambda x: x["kind"] == kind)).cast("long")
+    return rows.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])], F.sha2(_joined(base), 256).alias("base_sha256"),
+                       _joined(F.filter(every, lambda x: (x["kind"] < 3) | x["live"])).alias("spans"),
+                       F.size(F.filter(every, lambda x: x["live"])).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
 
 
 def redact(docs: DataFrame, **columns) -> DataFrame:
     """``docs`` with every live span replaced by ``[REDACTED]``; overlapping spans give one mark."""
     did, h, cuts = fresh(docs, "secret_id", "text_hash", "secret_cuts")
-    merged = F.aggregate(F.filter("found", lambda x: x["live"]), F.array().cast("array<struct<start:int,end:int>>"),
-                         lambda acc, x: F.when((F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(-1)) > x["start"]), F.concat(
-                             F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                             F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"),
-                                              F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["end"]).alias("end")))))
-                         .otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))))
-    v = verdicts(candidates(docs, **columns)).where(F.exists("found", lambda x: x["live"])).select(
-        F.col("doc_id").alias(did), F.col("h").alias(h), merged.alias(cuts))
-    v = stored(v, "secret_spans")
+    live = verdicts(matches(docs, **columns)).where("live").select(*_TEXT, "start", "start_byte", "end", "end_byte")
+    order = Window.partitionBy(*_TEXT).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = live.select("*", F.when(F.col("start") < reach, 0).otherwise(1).alias("new"))
+    cut = parted.select("*", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cut"))
+    merged = cut.groupBy(*_TEXT, "cut").agg(F.min("start_byte").alias("start"), F.max("end_byte").alias("end"))
+    v = merged.groupBy(F.col("doc_id").alias(did), F.col("h").alias(h)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    v = stored(v, "secret_cuts")
     j = docs.join(v, docs["doc_id"].eqNullSafe(F.col(did)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
-    pieces = let(F.col(cuts), lambda c: F.transform(c, lambda x, i: F.concat(
-        F.substring(F.col("text"), F.coalesce(F.get(c, i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get(c, i - 1)["end"], F.lit(0))),
-        F.lit("[REDACTED]"))))
-    end = F.element_at(cuts, -1)["end"]
-    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(
-        F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), end + 1, F.length("text"))))
+
+    def cut_out(x: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(x["c"], i)["end"], F.lit(0)).cast("int")
+        part = lambda lo, hi: F.substring(x["b"], lo + 1, hi - lo).cast("string")
+        kept = F.transform(x["c"], lambda c, i: part(end(i - 1), c["start"].cast("int")))
+        return F.concat(F.array_join(kept, MARK), F.lit(MARK), part(end(F.size(x["c"]) - 1), F.octet_length(x["b"])))
+
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(let(F.struct(F.col("text").cast("binary").alias("b"), F.col(cuts).alias("c")), cut_out))
     return j.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -62,13 +62,14 @@ def quality_rows(docs):
         hosts.setdefault(d[3], []).append(soft)
     marked = {h: [False] * 3 for h in hosts}
     for r in range(3):
-        rates = [sum(s[r] for s in v) / len(v) for v in hosts.values()]
-        m = sum(rates) / len(rates) if rates else 0
-        var = sum((x - m) ** 2 for x in rates) / len(rates) if rates else 0
-        s = min(max(m * (1 - m) / var - 1 if var > 0 else 1000.0, 2.0), 1000.0)
+        total = sum(len(v) for v in hosts.values())
+        m = sum(s[r] for v in hosts.values() for s in v) / total if total else 0
+        spread = sum(len(v) / total * (sum(s[r] for s in v) / len(v) - m) ** 2 for v in hosts.values()) if total else 0
+        low, high = (len(hosts) - 1) / max(total, 1), 1 - sum((len(v) / max(total, 1)) ** 2 for v in hosts.values())
+        rho = min(1, max(0, (spread / (m * (1 - m)) - low) / (high - low))) if 0 < m < 1 and high > low else 0
         for h, v in hosts.items():
             bad = sum(x[r] for x in v)
-            marked[h][r] = bad > 0 and (bad + m * s) / (len(v) + s) >= quality.HOST_RATE
+            marked[h][r] = bad > 0 and (bad * rho + m * (1 - rho)) / (len(v) * rho + 1 - rho) >= quality.HOST_RATE
     return [(*p, not p[6] and not any(a and b for a, b in zip(f, marked[d[3]]))) for p, f, d in zip(per, flags, docs)]
 
 
@@ -121,9 +122,10 @@ def secret_spans(docs):
                 if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]")) and not any(b[0] < m.end() and m.start() < b[2] for b in base)]
         found.append((base, more))
         for x in base + more:
-            owners.setdefault(x[3], set()).add(d[3] or "")
-    live = lambda v: len(owners[v]) < secrets.EXAMPLE_OWNERS and len(set(v)) >= secrets.MIN_DISTINCT and "example" not in v.lower()
-    return [(base, sorted({(a, k, z, live(v)) for a, k, z, v in base + more})) for base, more in found]
+            owners.setdefault(x[3], set()).add((d[3] or "", d[2] or ""))
+    copied = lambda v: len({o for o, _ in owners[v]}) >= secrets.EXAMPLE_OWNERS or len(owners[v]) >= secrets.EXAMPLE_REPOS
+    live = lambda v: not copied(v) and len(set(v)) >= secrets.MIN_DISTINCT and "example" not in v.lower()
+    return [(base, sorted({(a, k, z, live(v), copied(v)) for a, k, z, v in base + more})) for base, more in found]
 
 
 def _names(spans):
@@ -132,14 +134,14 @@ def _names(spans):
 
 def secret_rows(docs):
     return [(d[0], *[sum(x[1] == k for x in base) for k in range(3)], sha(_names(base)),
-             _names([x for x in every if x[1] < 3 or x[3]]), sum(x[3] for x in every)) for d, (base, every) in zip(docs, secret_spans(docs))]
+             _names([x for x in every if x[1] < 3 or x[3]]), sum(x[3] for x in every), sum(x[4] for x in every)) for d, (base, every) in zip(docs, secret_spans(docs))]
 
 
 def redacted(docs):
     out = []
     for d, (_, every) in zip(docs, secret_spans(docs)):
         cuts = []
-        for a, _, z, live in every:
+        for a, _, z, live, _ in every:
             if live and cuts and cuts[-1][1] > a:
                 cuts[-1][1] = max(cuts[-1][1], z)
             elif live:
