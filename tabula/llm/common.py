@@ -7,12 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabula.operators.ranking import small_side
 from tabula.session import scratch_path
 
-#: A small side is broadcast only when it has at most this many rows of fixed, narrow width
-#: (ids, hashes, flags: under 64 bytes each, so under 32 MB on every executor).
-BROADCAST_ROWS = 500_000
-
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,12 +45,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` (stored, so cheap to count) has at most ``bound`` rows."""
-    return df.limit(bound + 1).count() <= bound
-
-
-def hinted(small: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint if its counted size allows one; else the planner shuffles,
-    and AQE splits a skewed large side."""
-    return F.broadcast(small) if few(small, bound) else small
+def hinted(small: DataFrame) -> DataFrame:
+    """``small`` (stored, so cheap to measure) with a broadcast hint if its rows times their greatest width
+    stay under 32 MB; else the planner shuffles, and AQE splits a skewed large side."""
+    return small_side(small)

@@ -311,6 +311,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (whether the text lost bytes) for every document row."""
     facts = F.pandas_udf(_facts, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")("text", "starts", "ends")
-    return with_cuts(docs).select("doc_id", facts.alias("x")).select("doc_id", "x.*")
+    x = with_cuts(docs).select("doc_id", facts.alias("x")).select("doc_id", "x.*")
+    return x.withColumn("removed", F.col("n_removed") > 0)
