@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,11 +84,17 @@ def binarize_label(df: DataFrame, source, out: str, threshold: int = 7) -> DataF
 
 
 # ── X7 ──────────────────────────────────────────────────────────────────────
-def drop_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Drop rows with NULL in any of ``cols``; ``null_profile`` counts what is missing."""
+def drop_incomplete(df: DataFrame, cols: list[str], observation: Observation | None = None) -> DataFrame:
+    """Drop rows with NULL in any of ``cols``.
+
+    With an ``observation`` the pass that uses the result also counts, at no second scan: ``rows_in``,
+    ``rows_dropped`` and, per column, ``null_<column>``; read them with ``observation.get`` after an action."""
     complete = F.lit(True)
     for c in cols:
         complete = complete & F.col(c).isNotNull()
+    if observation is not None:
+        df = df.observe(observation, F.count(F.lit(1)).alias("rows_in"), F.count_if(~complete).alias("rows_dropped"),
+                        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cols])
     return df.filter(complete)
 
 

@@ -7,6 +7,8 @@ is arithmetic on a tiny table.  Metrics for all runs come out of one job.
 Semantics follow the usual definitions with zero division → 0:
 precision_c = tp/pred_c, recall_c = tp/support_c, f1_c = 2tp/(support_c + pred_c);
 weighted means use support as weight; classes are those seen as label or prediction.
+A NULL run is a run of its own; a missing label or prediction is a class of its own
+(NULL) and never a hit.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabula.operators.ranking import join_small, running_totals
+from tabula.operators.ranking import null_safe_join, running_totals
 from tabula.session import cut_lineage
 
 
@@ -39,12 +41,12 @@ def confusion_counts(df: DataFrame, label: str, pred: str, run_cols: Sequence[st
 def per_class(cm: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
     """``(run..., cls, tp, support, n_pred, precision, recall, f1)`` from confusion counts."""
     r = list(run_cols)
-    truth = cm.groupBy(*r, F.col("y_true").alias("cls")).agg(F.sum("n").alias("support"))
-    preds = cm.groupBy(*r, F.col("y_pred").alias("cls")).agg(F.sum("n").alias("n_pred"))
-    tp = cm.where(F.col("y_true") == F.col("y_pred")).select(*r, F.col("y_true").alias("cls"), F.col("n").alias("tp"))
-    out = (truth.join(preds, on=[*r, "cls"], how="full").join(tp, on=[*r, "cls"], how="left")
-           .select(*r, "cls", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("support", F.lit(0)).alias("support"),
-                   F.coalesce("n_pred", F.lit(0)).alias("n_pred")))
+    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    ends = F.array(F.struct(F.col("y_true").alias("cls"), hit.alias("tp"), F.col("n").alias("support"), zero.alias("n_pred")),
+                   F.struct(F.col("y_pred").alias("cls"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("n_pred")))
+    out = cm.select(*r, F.explode(ends).alias("e")).groupBy(*r, F.col("e.cls").alias("cls")).agg(
+        *[F.sum(f"e.{c}").alias(c) for c in ("tp", "support", "n_pred")])
     return out.select("*", _div0(F.col("tp"), F.col("n_pred")).alias("precision"),
                       _div0(F.col("tp"), F.col("support")).alias("recall"),
                       _div0(2 * F.col("tp"), F.col("support") + F.col("n_pred")).alias("f1"))
@@ -99,17 +101,18 @@ def confusion_matrix(cm: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
         return confusion_matrix(cm.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     classes = (cm.select(*r, F.col("y_true").alias("c")).unionByName(cm.select(*r, F.col("y_pred").alias("c")))
                .distinct())
-    grid = classes.withColumnRenamed("c", "actual").join(classes.withColumnRenamed("c", "predicted"), on=r)
+    grid = null_safe_join(classes.withColumnRenamed("c", "actual"), classes.withColumnRenamed("c", "predicted"), r)
     cells = cm.select(*r, F.col("y_true").alias("actual"), F.col("y_pred").alias("predicted"), "n")
-    return grid.join(cells, on=[*r, "actual", "predicted"], how="left").select(
+    return null_safe_join(grid, cells, [*r, "actual", "predicted"], "left").select(
         *r, "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # ── M4 / M5 ─────────────────────────────────────────────────────────────────
 def score_counts(df: DataFrame, label: str, score: str, positive, group_cols: Sequence[str] = ()) -> DataFrame:
-    """``(group..., score, pos, neg)`` — positives and negatives per distinct score (ties merged)."""
+    """``(group..., score, pos, neg)`` — positives and negatives per distinct score (ties merged);
+    rows without a score or a label take no part."""
     is_pos = (F.col(label) == F.lit(positive)).cast("long")
-    return (df.where(F.col(score).isNotNull())
+    return (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
             .groupBy(*group_cols, F.col(score).cast("double").alias("score"))
             .agg(F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg")))
 
@@ -133,7 +136,7 @@ def roc_points(df: DataFrame, label: str, score: str, positive, group_cols: Sequ
     cum = running_totals(sc, "score", ["pos", "neg", "one"], descending=True, partition_cols=g,
                          with_next=["pos", "neg"])
     totals = sc.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("m"))
-    cum = join_small(cum, totals, on=g)
+    cum = null_safe_join(cum, totals, g, small=True)
     first = F.col("cum_one") == 1
     last = F.col("next_pos").isNull()
     bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))

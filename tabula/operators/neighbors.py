@@ -55,9 +55,9 @@ def _pivot_distances(vecs: pd.Series, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-def _finite(v: Column) -> Column:
+def finite_vector(v: Column) -> Column:
     """True if every element of the vector is a finite number (the sum of ``x - x`` is zero only then)."""
-    return F.forall(v, lambda x: F.coalesce((x - x) == F.lit(0.0), F.lit(False)))
+    return F.coalesce(F.forall(v, lambda x: F.coalesce((x - x) == F.lit(0.0), F.lit(False))), F.lit(False))
 
 
 def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, vec: str = "vec",
@@ -78,7 +78,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
         L, R = L.withColumnRenamed(group, "g"), R.withColumnRenamed(group, "g")
     else:
         L, R = L.withColumn("g", F.lit(0)), R.withColumn("g", F.lit(0))
-    L, R = L.where(_finite(F.col("v"))), R.where(_finite(F.col("v")))
+    L, R = L.where(finite_vector(F.col("v"))), R.where(finite_vector(F.col("v")))
     need = k + (1 if exclude_self else 0)
 
     n_r = R.count()
@@ -134,6 +134,14 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
     # Only (query, cell) pairs are materialised; vectors are joined back by id when
     # the blocks are built, so weak pruning does not write a vector per cell.
     Lx = cut_lineage(L.select("qid", "g", F.explode(candidate_cells("g", "v")).alias("cell")))
+    return search_cells(L.select("qid", "v"), Lx, Rc.select("rid", "g", "cell", "v"), k, exclude_self, block, seed)
+
+
+def search_cells(L: DataFrame, Lx: DataFrame, Rc: DataFrame, k: int, exclude_self: bool = False, block: int = 16384,
+                 seed: int = 42) -> DataFrame:
+    """``(qid, rank, nid, dist)``: the ``k`` nearest rows of ``Rc`` (rid, g, cell, v) in the cells that ``Lx``
+    (qid, g, cell) names for each query of ``L`` (qid, v)."""
+    need = k + (1 if exclude_self else 0)
     q_counts = Lx.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("nq"))
     r_counts = Rc.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("nr"))
     plan = (q_counts.join(r_counts, on=["g", "cell"])
@@ -145,13 +153,13 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
           .withColumn("sub", F.pmod(hash32(seed, "rid", "sub"), F.col("n_sub")).cast("int"))
           .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunk") - 1)))
           .select("g", "cell", "sub", "chunk", "rid", "v"))
-    Lb = (join_small(Lx, plan, on=["g", "cell"]).join(L.select("qid", "v"), on="qid")
+    Lb = (join_small(Lx, plan, on=["g", "cell"]).join(L, on="qid")
           .withColumn("chunk", F.pmod(hash32(seed, "qid", "chunk"), F.col("n_chunk")).cast("int"))
           .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
           .select("g", "cell", "sub", "chunk", "qid", "v"))
 
     qtype = L.schema["qid"].dataType.simpleString()
-    rtype = R.schema["rid"].dataType.simpleString()
+    rtype = Rc.schema["rid"].dataType.simpleString()
     out_schema = f"qid {qtype}, nid {rtype}, d2 double"
 
     def block_topk(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabula.operators.quantiles import exact_quantiles
-from tabula.operators.ranking import join_small
+from tabula.operators.ranking import join_small, null_safe_join
 
 
 def sig(c: Column, digits: int = 10) -> Column:
@@ -85,10 +85,18 @@ def histogram(df: DataFrame, cols: Sequence[str], n_bins: int = 30) -> DataFrame
                     F.coalesce("n_rows", F.lit(0)).alias("n_rows")))
 
 
+def histogram_markers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(feature, mean, median)``: the two lines drawn over each histogram; NULLs for a column without values."""
+    med = exact_quantiles(df, cols, [0.5]).select("column", F.col("value").alias("median"))
+    wide = df.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(f"m{i}") for i, c in enumerate(cols)])
+    means = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean")) for i, c in enumerate(cols)])).alias("r"))
+    return means.select("r.*").join(med, "column", "left").select(F.col("column").alias("feature"), "mean", "median")
+
+
 # ── E5 ──────────────────────────────────────────────────────────────────────
 def box_stats(df: DataFrame, cols: Sequence[str], by: str, whisker: float = 1.5) -> DataFrame:
     """Per (class, column): quartiles, whiskers at the most extreme values inside
-    ``whisker``·IQR of the quartiles, and the count of values beyond them."""
+    ``whisker``·IQR of the quartiles, and the count of values beyond them.  A NULL class is a class."""
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], group_cols=[by])
     qw = (q.groupBy(by, "column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
           .toDF(by, "column", "q1", "median", "q3"))
@@ -96,7 +104,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str, whisker: float = 1.5)
         "lo_fence", F.col("q1") - F.lit(whisker) * F.col("iqr")).withColumn(
         "hi_fence", F.col("q3") + F.lit(whisker) * F.col("iqr"))
     from tabula.operators.quantiles import to_long
-    long = join_small(to_long(df, cols, [by]), qw, on=[by, "column"])
+    long = null_safe_join(to_long(df, cols, [by]), qw, [by, "column"], small=True)
     inside = (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
     return long.groupBy(by, "column", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),

@@ -4,23 +4,20 @@ Spark's ``percentile`` keeps a value→count map per group in one task, which
 does not survive a high-cardinality column at scale; ``percentile_approx`` is
 bounded but inexact.  This operator is exact and bounded:
 
-1. one aggregate gives ``n``, ``min``, ``max`` per (group, column) — a small
-   table collected to the driver;
-2. the target ranks ``floor/ceil((n-1)·p)`` are located by a histogram of
-   ``n_bins`` equal-width bins over each open search range, on a logarithmic
-   scale where the range spans many powers of two: one aggregate over
-   the data (ranges broadcast, partial aggregation), whose result — at most
-   ``ranges × n_bins`` rows — is collected and scanned on the driver;
-3. a bin whose values are all equal resolves its ranks; a bin with at most
-   ``exact_rows`` rows is resolved by one job that ranks just those rows
-   (a window per range) and returns only the requested ranks; a larger bin
-   becomes the next search range (values spread over a narrower interval).
-
-Usually three jobs in total: stats, one histogram, one exact pick.  A round on the
-logarithmic scale leaves a few powers of two, and every linear round a 1024th
-of the range, so the search ends after a handful of rounds for any doubles.
-Interpolation is ``lo + (hi - lo) * frac`` — linear, like pandas ``quantile``
-and DuckDB ``quantile_cont``.
+1. **Bracket.** One wide aggregate (a column per statistic, no row per column) gives ``n``,
+   ``min``, ``max`` and, by the mergeable sketch, two values around each quantile: those at
+   ``p ∓ 2 / ACCURACY``, twice the sketch's rank error away on either side.
+2. **Count.** A second wide aggregate counts the values below and inside each bracket: the
+   exact rank at which the bracket starts.  A bracket that missed its rank (the sketch
+   promises it does not) falls back to [min, max].
+3. **Pick.** Only rows with a value inside a bracket (a few of ``ACCURACY``) become one row
+   per column.  A bracket of one value is resolved at once; one of at most ``exact_rows`` rows by a
+   job that ranks just those rows (a window per bracket) and returns the requested ranks;
+   a larger one is narrowed by a histogram of ``n_bins`` bins over it (on a logarithmic scale
+   where it spans many powers of two) until it is small, a 1024th a round.
+
+So the table is read three times, whatever its size.  Interpolation is ``lo + (hi - lo) * frac``:
+linear, like pandas ``quantile`` and DuckDB ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -33,7 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabula.operators.ranking import small_side
+from tabula.operators.ranking import null_safe_join, small_side
+
+#: Accuracy of the sketch: its ranks are off by at most a row in so many.
+ACCURACY = 10_000
 
 
 def to_long(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -71,6 +71,48 @@ def _inside(long: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     return long.join(r, match)
 
 
+def _value(c: str):
+    return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+
+
+def _sketched(df: DataFrame, cols: Sequence[str], probs: Sequence[float], g: list[str]) -> DataFrame:
+    """A row per group: per column i its n, lo, hi and q, the two ends of each quantile's bracket in turn."""
+    ends = [min(1.0, max(0.0, float(p) + d)) for p in probs for d in (-2 / ACCURACY, 2 / ACCURACY)]
+    aggs = []
+    for i, c in enumerate(cols):
+        v = _value(c)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.percentile_approx(v, ends, ACCURACY).alias(f"q{i}")]
+    return df.groupBy(*g).agg(*aggs)
+
+
+def _counted(df: DataFrame, cols: Sequence[str], probs: Sequence[float], g: list[str], wide: list, long: DataFrame) -> tuple[list, DataFrame]:
+    """(per row of ``wide`` the values below (b) and inside (i) each bracket, ``long`` with only what a bracket may need)."""
+    spots = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
+    ends = [[(r[f"q{i}"][2 * j], r[f"q{i}"][2 * j + 1]) if r[f"n{i}"] else (None, None) for i, j in spots] for r in wide]
+    if not wide:
+        return [], long
+    if g:
+        fields = [df.schema[c] for c in g] + [T.StructField(f"_{e}{i}_{j}", T.DoubleType()) for i, j in spots for e in "az"]
+        table = df.sparkSession.createDataFrame([(*r[:len(g)], *[v for e in row for v in e]) for r, row in zip(wide, ends)], T.StructType(fields))
+        rows = null_safe_join(df, table, g, small=True)
+        at = {(i, j): (F.col(f"_a{i}_{j}"), F.col(f"_z{i}_{j}")) for i, j in spots}
+    else:
+        rows, at = df, {s: tuple(F.lit(v).cast("double") for v in e) for s, e in zip(spots, ends[0])}
+    aggs = []
+    for i, j in spots:
+        v, (lo, hi) = _value(cols[i]), at[(i, j)]
+        aggs += [F.count_if(v < lo).alias(f"b{i}_{j}"), F.count_if((v >= lo) & (v <= hi)).alias(f"i{i}_{j}")]
+    got = rows.groupBy(*g).agg(*aggs).collect()
+    by_group = {tuple(r[:len(g)]): r for r in got}
+    counted = [by_group[tuple(r[:len(g)])] for r in wide]
+    missed = any(not (c[f"b{i}_{j}"] <= math.floor((r[f"n{i}"] - 1) * probs[j]) and math.ceil((r[f"n{i}"] - 1) * probs[j]) < c[f"b{i}_{j}"] + c[f"i{i}_{j}"])
+                 for r, c in zip(wide, counted) for i, j in spots if r[f"n{i}"])
+    if missed:
+        return counted, long  # its ranks are searched from [min, max]
+    inside = [F.coalesce(_value(cols[i]).between(*at[(i, j)]), F.lit(False)) for i, j in spots]
+    return counted, to_long(rows.where(reduce(lambda a, b: a | b, inside)), cols, g)
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     group_cols: Sequence[str] = (), n_bins: int = 1024, exact_rows: int = 100_000,
                     max_keys: int = 100_000) -> DataFrame:
@@ -82,28 +124,35 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     spark = df.sparkSession
     g = list(group_cols)
     keys = [*g, "column"]
+    df = df.select(*g, *[F.col(c).cast("double").alias(c) for c in cols if c not in g]) if not set(g) & set(cols) else df
     long = to_long(df, cols, g)
     key_types = [long.schema[k].dataType for k in keys]
-    stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                                    F.max("x").alias("hi")).limit(max_keys + 1).collect()
-    if len(stats) > max_keys:
+    wide = _sketched(df, cols, probs, g).limit(max_keys // max(1, len(cols)) + 1).collect()
+    if len(wide) * len(cols) > max_keys:
         groups = df.select(*g).distinct().count()
         parts = max(2, -(-groups * len(cols) * 2 // max_keys))
         part = F.pmod(F.xxhash64(*g), F.lit(parts))
         done = [exact_quantiles(df.where(part == i), cols, probs, g, n_bins, exact_rows, max_keys) for i in range(parts)]
         return reduce(DataFrame.unionByName, done)
+    counted, long = _counted(df, cols, probs, g, wide, long)
 
     # Requests: rank k of key kv, searched in [lo, hi] with `start` values below lo.
     targets = []          # (kv, prob, pos, k_lo, k_hi)
     pending = {}          # (kv, k) -> [lo, hi, start, n_in]
-    for r in stats:
-        kv = tuple(r[k] for k in keys)
-        for p in probs:
-            pos = (r["n"] - 1) * float(p)
-            k_lo, k_hi = math.floor(pos), math.ceil(pos)
-            targets.append((kv, float(p), pos, k_lo, k_hi))
-            for k in (k_lo, k_hi):
-                pending[(kv, k)] = [r["lo"], r["hi"], 0, r["n"]]
+    present = set()
+    for r, c in zip(wide, counted):
+        for i, name in enumerate(cols):
+            kv, n = (*r[:len(g)], name), r[f"n{i}"]
+            if not n:
+                continue
+            present.add(name)
+            for j, p in enumerate(probs):
+                pos = (n - 1) * float(p)
+                k_lo, k_hi = math.floor(pos), math.ceil(pos)
+                targets.append((kv, float(p), pos, k_lo, k_hi))
+                lo, hi, start, n_in = r[f"q{i}"][2 * j], r[f"q{i}"][2 * j + 1], c[f"b{i}_{j}"], c[f"i{i}_{j}"]
+                for k in (k_lo, k_hi):
+                    pending[(kv, k)] = [lo, hi, start, n_in] if start <= k < start + n_in else [r[f"lo{i}"], r[f"hi{i}"], 0, n]
     values: dict = {}
 
     while pending:
@@ -168,7 +217,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     fields += [T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())]
     out = spark.createDataFrame(rows, T.StructType(fields))
     if not g:
-        present = {r["column"] for r in stats}
         missing = [(c, float(p), None) for c in cols if c not in present for p in probs]
         if missing:
             out = out.unionByName(spark.createDataFrame(missing, out.schema))

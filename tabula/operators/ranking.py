@@ -48,6 +48,19 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> Data
     return big.join(small_side(small), on=on, how=how)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join by columns of the same name where NULL equals NULL; the key columns are those of ``left``.
+
+    ``small``: the right side is measured and broadcast if it fits, as in :func:`join_small`."""
+    names = {c: f"_ns_{i}" for i, c in enumerate(on)}
+    side = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    side = small_side(side) if small else side
+    match = F.lit(True)
+    for c, n in names.items():
+        match = match & left[c].eqNullSafe(F.col(n))
+    return left.join(side, match, how).drop(*names.values())
+
+
 def bucket_count(n_rows: int, rows_per_bucket: int = 256, max_buckets: int = 1 << 20) -> int:
     """Power of two near ``n_rows / rows_per_bucket``, between 16 and ``max_buckets``."""
     target = max(16, min(max_buckets, n_rows // rows_per_bucket))
@@ -143,10 +156,10 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], des
         firsts = inner.where(F.col("_rn") == 1).select(*partition_cols, F.col("_rng").alias("_nr"),
                                                         *[F.col(v).alias(f"_f_{v}") for v in with_next])
         nw = Window.partitionBy(*partition_cols).orderBy("_rng")
-        nxt = (offsets.select(*partition_cols, "_rng", F.lead("_rng").over(nw).alias("_nr"))
-               .join(firsts, on=[*partition_cols, "_nr"], how="left").drop("_nr"))
-        offsets = offsets.join(nxt, on=[*partition_cols, "_rng"], how="left")
-    joined = join_small(inner, offsets, on=[*partition_cols, "_rng"])
+        nxt = offsets.select(*partition_cols, "_rng", F.lead("_rng").over(nw).alias("_nr"))
+        nxt = null_safe_join(nxt, firsts, [*partition_cols, "_nr"], "left").drop("_nr")
+        offsets = null_safe_join(offsets, nxt, [*partition_cols, "_rng"], "left")
+    joined = null_safe_join(inner, offsets, [*partition_cols, "_rng"], small=True)
     return joined.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_c_{v}")).alias(f"cum_{v}")
                                          for v in value_cols],
                          *[F.coalesce(F.col(f"_l_{v}"), F.col(f"_f_{v}")).alias(f"next_{v}") for v in with_next])

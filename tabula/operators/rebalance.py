@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabula.functions.hashing import TWO_32, hash32
-from tabula.operators.neighbors import knn, mutual_pairs
-from tabula.operators.ranking import hashed_segments, join_small
+from tabula.operators.neighbors import finite_vector, knn, mutual_pairs
+from tabula.operators.ranking import hashed_segments, join_small, null_safe_join
 from tabula.session import cut_lineage
 
 # Synthetic rows that one row is multiplied into at a time.
@@ -36,30 +36,32 @@ def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: in
 
     For class ``c`` with ``n`` rows and ``m`` rows to add, base row ``i`` gets
     ``m // n`` slots, plus one more if its keyed-hash rank is below ``m % n``
-    (exact total, no window over the class).  Slot ``j`` of base ``i`` takes
+    (exact total, no window over the class; ``n`` counts rows with a finite vector, as only those
+    have neighbours and can be a base).  Slot ``j`` of base ``i`` takes
     neighbour number ``1 + hash(i:j,'nn') mod min(k, n-1)`` among its k nearest
-    same-class rows (rows whose vector is not finite have none and are no base) and the gap ``u = hash(i:j,'gap') / 2³²``; the new vector
+    same-class rows and the gap ``u = hash(i:j,'gap') / 2³²``; the new vector
     is ``x + u·(neighbour − x)``.
 
     Output: ``(label, id, vec, base_id, slot, nn_id, gap)``; the originals
     (when kept) have NULL ``base_id``/``slot``/``nn_id``/``gap`` and their own id;
     synthetic ids are ``'<base>:<slot>'`` strings, originals their id as text.
     ``neighbours`` may pass a precomputed same-class ``knn`` result ``(qid, rank, nid)``.
+    Rows without a label are no class: they are kept and nothing is added for them.
     """
-    sizes = class_sizes(df, label)
-    adds = smote_plan(sizes)
-    small = [c for c in adds if sizes[c] < 2]
-    if small:
-        raise ValueError(f"SMOTE needs at least 2 rows in classes {small}")
     base = df.select(F.col(id_col).alias("base_id"), F.col(label).alias("_y"), F.col(vec).cast("array<double>").alias("_x"))
-    minority = base.where(F.col("_y").isin(list(adds)))
-    m_map = F.create_map(*[x for c, m in adds.items() for x in (F.lit(c), F.lit(m))])
-    n_map = F.create_map(*[x for c, m in adds.items() for x in (F.lit(c), F.lit(sizes[c]))])
-    # Rank by keyed hash inside each class: segment 0 = the first m % n rows.
-    seg = hashed_segments(minority, ["_y"], "base_id", seed,
-                          lambda n: [F.pmod(F.element_at(m_map, F.col("_y")), n)], out="_extra", tag="base")
-    quota = (F.floor(F.element_at(m_map, F.col("_y")) / F.element_at(n_map, F.col("_y")))
-             + F.when(F.col("_extra") == 0, 1).otherwise(0))
+    # m: rows to add up to the largest class; n: rows that can be a base, those with a finite vector.
+    sizes = cut_lineage(base.where(F.col("_y").isNotNull()).groupBy("_y").agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if(finite_vector(F.col("_x"))).alias("_n")))
+    largest = sizes.agg(F.max("_all")).first()[0] or 0
+    plan = sizes.select("_y", (F.lit(largest) - F.col("_all")).alias("_m"), "_n").where("_m > 0")
+    short = [r["_y"] for r in plan.where("_n < 2").orderBy("_y").limit(20).collect()]
+    if short:
+        raise ValueError(f"SMOTE needs at least 2 rows with finite vectors in classes {short}")
+    minority = join_small(base.where(finite_vector(F.col("_x"))), plan, on="_y")
+    # Rank by keyed hash inside each class (_m and _n are the class's own): segment 0 = the first m % n rows.
+    seg = hashed_segments(minority, ["_y", "_m", "_n"], "base_id", seed, lambda n: [F.pmod(F.col("_m"), n)], out="_extra", tag="base")
+    quota = F.floor(F.col("_m") / F.col("_n")) + F.when(F.col("_extra") == 0, 1).otherwise(0)
+    minority = minority.drop("_m", "_n")
     if neighbours is None:
         neighbours = minority_neighbours(minority, "_y", "base_id", "_x", k, seed)
     # The k neighbours with their vectors go to the base row before it is multiplied, so no
@@ -107,10 +109,11 @@ def smote_nc(df: DataFrame, label: str, id_col: str, num_vec: str, cat_cols: lis
     continuous standard deviations, so a mismatch adds ``med² / 2`` to the
     squared distance.
     """
-    num = df.select(F.posexplode(F.col(num_vec).cast("array<double>")).alias("d", "x"), F.col(label).alias("_y"))
+    num = df.where(finite_vector(F.col(num_vec))).select(
+        F.posexplode(F.col(num_vec).cast("array<double>")).alias("d", "x"), F.col(label).alias("_y"))
     sds = num.groupBy("_y", "d").agg(F.stddev_pop("x").alias("sd"))
     med = sds.groupBy("_y").agg(F.median("sd").alias("_med"))
-    enc = join_small(df.withColumnRenamed(label, "_y"), med, on="_y")
+    enc = null_safe_join(df.withColumnRenamed(label, "_y"), med, ["_y"], "left", small=True)
     flags = []
     for c in cat_cols:
         levels = [r[0] for r in df.select(c).distinct().orderBy(c).collect()]
@@ -118,8 +121,9 @@ def smote_nc(df: DataFrame, label: str, id_col: str, num_vec: str, cat_cols: lis
                   for v in levels]
     enc = enc.withColumn("_mixed", F.concat(F.col(num_vec).cast("array<double>"), F.array(*flags)))
     enc = enc.withColumnRenamed("_y", label)
-    adds = smote_plan(class_sizes(df, label))
-    minority = enc.where(F.col(label).isin(list(adds)))
+    sizes = cut_lineage(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_all")))
+    largest = sizes.agg(F.max("_all")).first()[0] or 0
+    minority = join_small(enc, sizes.where(F.col("_all") < largest).select(label), on=label, how="left_semi")
     # One neighbour search serves both the interpolation and the categorical vote.
     nn = minority_neighbours(minority, label, id_col, "_mixed", k, seed)
     out = smote(enc, label, id_col, "_mixed", k=k, seed=seed, neighbours=nn)

@@ -60,6 +60,8 @@ from tabula.plans import training  # noqa: E402,F401
 from tabula.plans import learners  # noqa: E402,F401
 from tabula.plans import scoring  # noqa: E402,F401
 from tabula.plans import tables  # noqa: E402,F401
+from tabula.plans import gaps  # noqa: E402,F401
+from tabula.plans import boosting  # noqa: E402,F401
 
 
 @register("split_class_shares", f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabula.operators.neighbors import knn
 from tabula.operators.profile import sig
 from tabula.plans.registry import register
-from tabula.session import cut_lineage
+from tabula.session import cut_lineage, scratch_path
 from tabula.sources.readers import read_table
 
 K = 5
@@ -174,3 +174,41 @@ def q_knn_classifier(spark, sf_dir):
     pred = knn_vote(nn, tr, "vec_id", "label")
     return (qs.select("vec_id", "split", F.col("label").alias("y_true"))
             .join(pred.withColumnRenamed("qid", "vec_id"), on="vec_id"))
+
+
+# ── J1, T3: the stored index ────────────────────────────────────────────────
+def _index(spark: SparkSession, sf_dir: str):
+    from tabula.operators.neighbor_index import NeighborIndex, build_index
+    path = build_index(embeddings(spark, sf_dir), scratch_path(spark, "embedding-index"), "vec_id", "vec")
+    return NeighborIndex(spark, path)
+
+
+@register("knn_index_exact", f"""
+    WITH e AS ({EMB_SQL}),
+    p AS (SELECT a.vec_id AS qid, b.vec_id AS nid, {D2_SQL} AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, nid) AS rank FROM p)
+    SELECT qid, CAST(rank AS INTEGER) AS rank, nid, {_sig_sql('sqrt(d2)')} AS dist FROM r WHERE rank <= {K}
+""")
+def q_knn_index_exact(spark, sf_dir):
+    """The exact answer from the stored index."""
+    nn = _index(spark, sf_dir).search(embeddings(spark, sf_dir), "vec_id", "vec", K, exclude_self=True)
+    return nn.select("qid", "rank", "nid", sig(F.col("dist")).alias("dist"))
+
+
+RECALL = 0.95
+
+
+@register("knn_index_recall", f"""
+    SELECT count(*) AS n_queries, count(*) * least({K}, count(*) - 1) AS n_found, true AS recall_reached FROM embeddings
+""")
+def q_knn_index_recall(spark, sf_dir):
+    """The approximate mode against the exact one over all rows: every query gets its k rows, 9 of 10 of them the nearest."""
+    from tabula.operators.neighbor_index import probes_for
+    e, index = embeddings(spark, sf_dir), _index(spark, sf_dir)
+    near = cut_lineage(index.search(e, "vec_id", "vec", K, probes=probes_for(index, K, RECALL), exclude_self=True))
+    true = knn(e, e, K, "vec_id", "vec_id", "vec", exclude_self=True)
+    hit = near.select("qid", "nid", F.lit(1).alias("hit"))
+    both = true.select("qid", "nid").join(hit, ["qid", "nid"], "full")
+    n, found = e.count(), near.count()
+    missed = both.agg(F.count_if(F.col("hit").isNull()).alias("missed"))
+    return missed.select(F.lit(n).alias("n_queries"), F.lit(found).alias("n_found"), (F.col("missed") <= 0.1 * found).alias("recall_reached"))

@@ -13,7 +13,7 @@ from tabula.plans.fixtures import ORDERS_LABELLED_SQL, SEED, orders_labelled, or
 from tabula.plans.registry import register
 from tabula.session import scratch_path
 from tabula.sources.readers import read_csv_auto, read_range, read_table
-from tabula.sources.sinks import append_table, write_csv, write_parquet
+from tabula.sources.sinks import BUCKET, append_keyed, write_csv, write_parquet
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -63,9 +63,9 @@ def q_idempotent_append(spark, sf_dir):
     """K3 + J5: append the finished orders, then all orders; every key lands once."""
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"])
     path = scratch_path(spark, "orders_table")
-    append_table(spark, o.where(F.col("o_orderstatus") == "F"), path, key=["o_orderkey"])
-    append_table(spark, o, path, key=["o_orderkey"])
-    return spark.read.parquet(path)
+    append_keyed(spark, o.where(F.col("o_orderstatus") == "F"), path, key=["o_orderkey"])
+    append_keyed(spark, o, path, key=["o_orderkey"])
+    return spark.read.parquet(path).drop(BUCKET)
 
 
 @register("normalized_columns", """

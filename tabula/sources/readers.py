@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabula.operators.ranking import running_totals
+
 
 # ── R4 ──────────────────────────────────────────────────────────────────────
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -84,8 +86,10 @@ def read_range(df: DataFrame, key: str, after=None, n: int = 1000) -> DataFrame:
 
 
 def read_pages(df: DataFrame, key: str, n: int = 1000) -> Iterator[DataFrame]:
-    """All pages of a keyset scan, in key order, until a short one (keys must be unique)."""
-    after = None
+    """All pages of a keyset scan, in key order, until a short one.
+
+    Keys must be unique; rows without a key have no place in the order and are on no page."""
+    df, after = df.filter(F.col(key).isNotNull()), None
     while True:
         page = read_range(df, key, after, n)
         size, last = page.agg(F.count(F.lit(1)), F.max(key)).first()
@@ -96,6 +100,16 @@ def read_pages(df: DataFrame, key: str, n: int = 1000) -> Iterator[DataFrame]:
         after = last
 
 
+def with_pages(df: DataFrame, key: str, n: int = 1000, out: str = "page") -> DataFrame:
+    """Every row with a key plus the number (from 0) of the page that :func:`read_pages` has it on.
+
+    One range sort for all pages: the place of a row is its place in its key range plus the rows of the
+    ranges before, so nothing is sorted in one task and no page is a job of its own."""
+    rows = df.filter(F.col(key).isNotNull())
+    placed = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), key, ["_one"])
+    return placed.select(*df.columns, F.expr(f"(cum__one - 1) div {int(n)}").alias(out))
+
+
 # ── R7 ──────────────────────────────────────────────────────────────────────
 def count_and_head(df: DataFrame) -> tuple[int, list]:
     """Exact row count and the first row (empty table → (0, []))."""
@@ -104,13 +118,10 @@ def count_and_head(df: DataFrame) -> tuple[int, list]:
 
 # ── R9 ──────────────────────────────────────────────────────────────────────
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON report ``{run: {metric: value}}`` as the long table ``(run, metric, value)``."""
-    raw = spark.read.option("multiLine", True).option("wholetext", False).json(path)
-    runs = [F.struct(F.lit(r).alias("run"),
-                     F.to_json(F.col(f"`{r}`")).alias("m")) for r in raw.columns]
-    schema = T.MapType(T.StringType(), T.DoubleType())
-    return (raw.select(F.explode(F.array(*runs)).alias("x"))
-            .select(F.col("x.run").alias("run"), F.explode(F.from_json("x.m", schema)).alias("metric", "value")))
+    """A JSON report ``{run: {metric: value}}`` as the long table ``(run, metric, value)``; runs are rows throughout."""
+    raw = spark.read.text(path, wholetext=True)
+    runs = F.from_json("value", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType())))
+    return raw.select(F.explode(runs).alias("run", "m")).select("run", F.explode("m").alias("metric", "value"))
 
 
 # ── R10 ─────────────────────────────────────────────────────────────────────

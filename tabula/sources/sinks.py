@@ -1,7 +1,7 @@
 """Sinks (K1-K3, K7-K9) and the idempotent append.
 
-Writers never collect; appends that must not duplicate rows anti-join the
-new batch against the target's keys (a shuffle on the key only).
+Writers never collect.  ``append_keyed`` adds only rows with new keys, at a cost that follows the
+batch; ``append_table`` does so for tables of any layout, with a shuffle of the target's keys.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabula.session import cut_lineage
+
 
 # ── K1 / K2 ─────────────────────────────────────────────────────────────────
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> str:
@@ -62,6 +64,70 @@ def append_table(spark: SparkSession, batch: DataFrame, path: str, key: list[str
     return n
 
 
+# Folders that the keys of a keyed table are dealt over, and bytes of batch keys that are broadcast at once.
+KEY_BUCKETS = 32
+KEY_SLICE_BYTES = 32 << 20
+BUCKET = "key_bucket"
+
+
+def append_keyed(spark: SparkSession, batch: DataFrame, path: str, key: list[str], buckets: int = KEY_BUCKETS) -> int:
+    """Append the rows of ``batch`` whose key the table at ``path`` does not have; returns the rows written.
+
+    The table is laid out in ``buckets`` folders by the hash of the key.  The keys of the batch, measured and cut
+    into slices of at most ``KEY_SLICE_BYTES`` along those folders, are broadcast into a scan of the slice's folders
+    (key columns only) that keeps the keys that are there already.  So the log is never shuffled: what moves
+    depends on the batch, each touched folder is scanned once, and untouched ones are not read.
+
+    Of different batch rows with one key, always the same one is taken; NULL is a key like any other.
+    """
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    whole = F.struct(*batch.columns)
+    rows = batch.groupBy(*key).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    rows = cut_lineage(rows.withColumn(BUCKET, bucket))
+    try:
+        target = spark.read.parquet(path).select(*key, BUCKET)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        target = None  # created by this write
+    if target is not None:
+        rows = rows.join(cut_lineage(_present(rows, target, key)), _same(key, rows), "left_anti")
+        rows = cut_lineage(rows)
+    rows.repartition(buckets, BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
+    return rows.count()
+
+
+def _same(key: list[str], left: DataFrame):
+    match = F.lit(True)
+    for c in key:
+        match = match & left[c].eqNullSafe(F.col(f"_k_{c}"))
+    return match
+
+
+def _present(rows: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
+    """Keys (``_k_...``) of ``rows`` that ``target`` has: a broadcast semi join into each slice's folders."""
+    keys = rows.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col(BUCKET).alias("_b"))
+    width = sum((F.coalesce(F.octet_length(F.col(f"_k_{c}").cast("string")), F.lit(0)) + 32 for c in key), F.lit(0))
+    sizes = sorted((r["_b"], r["bytes"]) for r in keys.groupBy("_b").agg(F.sum(width).alias("bytes")).collect())  # one row per folder
+    slices, held = [], KEY_SLICE_BYTES + 1
+    for b, size in sizes:
+        if held + size > KEY_SLICE_BYTES:
+            slices.append([])
+            held = 0
+        slices[-1].append((b, size))
+        held += size
+    out = keys.drop("_b").limit(0)
+    for part in slices:
+        names, size = [b for b, _ in part], sum(s for _, s in part)
+        parts = max(1, -(-size // KEY_SLICE_BYTES))  # a folder of more keys than a slice is scanned in parts
+        for i in range(parts):
+            some = keys.where(F.col("_b").isin(names)).drop("_b").where(F.pmod(F.xxhash64(*[f"_k_{c}" for c in key], F.lit(1)), F.lit(parts)) == i)
+            found = target.where(F.col(BUCKET).isin(names)).select(*key)
+            found = found.join(F.broadcast(some), _same(key, found), "left_semi")
+            out = out.unionByName(found.select(*[F.col(c).alias(f"_k_{c}") for c in key]))
+    return out
+
+
 def jdbc_write_options(url: str, table: str, batch_size: int = 500, user: str | None = None,
                        password: str | None = None) -> dict[str, str]:
     """Options for ``df.write.format('jdbc')`` with 500-row batches (no driver or network here)."""

@@ -25,3 +25,16 @@ def rolling_counts(scored: DataFrame, window: str = "1 hour", ts: str = "created
     return g.select(F.col("w.start").cast(ts_type).alias("window_start"),
                     F.col("w.end").cast(ts_type).alias("window_end"),
                     "predicted_quality", "n_predictions", "mean_confidence")
+
+
+def run_monitor_stream(scored: DataFrame, out_path: str, checkpoint: str, window: str = "1 hour", ts: str = "created_at",
+                       delay: str = "10 minutes") -> str:
+    """:func:`rolling_counts` of a stream, every closed window written once (append mode); returns ``out_path``.
+
+    A window is closed when the watermark, the latest event time of the batches before less ``delay``, has passed
+    its end; rows of closed windows are dropped as too late.  State and watermark live in ``checkpoint``: run again,
+    the stream goes on with the open windows of the run before.  The file sink commits each epoch once."""
+    q = (rolling_counts(scored, window, ts, watermark=delay).writeStream.outputMode("append").format("parquet")
+         .option("path", out_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out_path
