@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabula.functions.scalars import binarize, bucketize, nan_to_null
+from tabula.functions.scalars import binarize, nan_to_null
 
 
 # ── X1 ──────────────────────────────────────────────────────────────────────
@@ -202,8 +202,3 @@ def derive_features(df: DataFrame, spec: dict[str, tuple]) -> DataFrame:
             raise ValueError(f"unknown derived feature kind {kind!r}")
         out.append(e.alias(name))
     return df.select("*", *out)
-
-
-# ── X26 ─────────────────────────────────────────────────────────────────────
-def bucketize_label(df: DataFrame, source: str, out: str, cuts: list[float]) -> DataFrame:
-    return df.withColumn(out, bucketize(source, cuts))

@@ -1,9 +1,7 @@
-"""Ordering, top-k and history views."""
+"""Ordering, top-k and history views."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +16,3 @@ def tail(df: DataFrame, ts: str, key: str, n: int = 20) -> DataFrame:
     """The last ``n`` rows of the history, returned oldest first."""
     last = df.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(n)
     return last.orderBy(F.col(ts).asc(), F.col(key).asc())
-
-
-def by_magnitude(df: DataFrame, col: str) -> DataFrame:
-    """Sort by absolute value, largest first."""
-    return df.orderBy(F.abs(F.col(col)).desc_nulls_last())
-
-
-def append_rows(*frames: DataFrame) -> DataFrame:
-    """Rows of several frames with the same columns (by name)."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

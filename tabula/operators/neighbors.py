@@ -44,14 +44,30 @@ MAX_PIVOTS = 512
 TILE = 1 << 22
 
 
-def _pivot_distances(vecs: pd.Series, pivots: np.ndarray) -> np.ndarray:
+def _numbers(m: np.ndarray, n_cat: int) -> np.ndarray:
+    return m[:, :m.shape[1] - n_cat - 1] if n_cat else m
+
+
+def _mismatches(a: np.ndarray, b: np.ndarray, n_cat: int) -> np.ndarray:
+    """Number of differing category codes, rows of ``a`` × rows of ``b``."""
+    out = np.zeros((len(a), len(b)))
+    for c in range(-n_cat - 1, -1):
+        out += a[:, c, None] != b[None, :, c]
+    return out
+
+
+def _pivot_distances(vecs: pd.Series, pivots: np.ndarray, n_cat: int = 0) -> np.ndarray:
     """Distances rows × pivots, computed by slices of rows so that no slice exceeds ``TILE`` numbers."""
     out = np.empty((len(vecs), len(pivots)))
     m = np.stack(vecs.to_numpy()) if len(vecs) else out
-    step = max(1, TILE // pivots.size)
-    for s in range(0, len(vecs), step):
-        diff = m[s:s + step, None, :] - pivots[None, :, :]
-        out[s:s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    step, p = max(1, TILE // pivots.size), _numbers(pivots, n_cat)
+    for s in range(0, len(m) if len(vecs) else 0, step):
+        part = m[s:s + step]
+        diff = _numbers(part, n_cat)[:, None, :] - p[None, :, :]
+        d2 = np.einsum("ijk,ijk->ij", diff, diff)
+        if n_cat:
+            d2 += part[:, -1, None] * _mismatches(part, pivots, n_cat)
+        out[s:s + step] = np.sqrt(d2)
     return out
 
 
@@ -62,13 +78,16 @@ def finite_vector(v: Column) -> Column:
 
 def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, vec: str = "vec",
         group: str | None = None, exclude_self: bool = False, n_pivots: int | None = None,
-        block: int = 16384, seed: int = 42) -> DataFrame:
+        block: int = 16384, seed: int = 42, n_cat: int = 0) -> DataFrame:
     """``(qid, rank, nid, dist)`` — the ``k`` nearest reference rows of every query row.
 
     ``group`` restricts neighbours to rows with the same group value (e.g. the
     same class).  ``dist`` is the Euclidean distance.  Ids must be unique on
     each side.  A vector with a NULL, NaN or infinite element has no distance:
     such a row has no neighbours and is nobody's.
+
+    Mixed data: with ``n_cat`` the vectors end in that many category codes and a weight (one per group); each code that
+    differs adds the weight to the squared distance.  Codes are compared, not expanded, whatever their number.
     """
     spark = left.sparkSession
     gcol = [group] if group else []
@@ -93,7 +112,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
 
     @F.pandas_udf(cell_schema)
     def nearest_pivot(v: pd.Series) -> pd.DataFrame:
-        d = _pivot_distances(v, pivots)
+        d = _pivot_distances(v, pivots, n_cat)
         idx = d.argmin(axis=1) if len(v) else np.zeros(0, dtype=int)
         return pd.DataFrame({"cell": idx.astype("int32"), "d": d[np.arange(len(v)), idx] if len(v) else []})
 
@@ -119,7 +138,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def candidate_cells(g: pd.Series, v: pd.Series) -> pd.Series:
-        d_all = _pivot_distances(v, pivots)
+        d_all = _pivot_distances(v, pivots, n_cat)
         out = [[] for _ in range(len(v))]
         gv = g.to_numpy()
         for key in pd.unique(gv):
@@ -134,11 +153,11 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
     # Only (query, cell) pairs are materialised; vectors are joined back by id when
     # the blocks are built, so weak pruning does not write a vector per cell.
     Lx = cut_lineage(L.select("qid", "g", F.explode(candidate_cells("g", "v")).alias("cell")))
-    return search_cells(L.select("qid", "v"), Lx, Rc.select("rid", "g", "cell", "v"), k, exclude_self, block, seed)
+    return search_cells(L.select("qid", "v"), Lx, Rc.select("rid", "g", "cell", "v"), k, exclude_self, block, seed, n_cat)
 
 
 def search_cells(L: DataFrame, Lx: DataFrame, Rc: DataFrame, k: int, exclude_self: bool = False, block: int = 16384,
-                 seed: int = 42) -> DataFrame:
+                 seed: int = 42, n_cat: int = 0) -> DataFrame:
     """``(qid, rank, nid, dist)``: the ``k`` nearest rows of ``Rc`` (rid, g, cell, v) in the cells that ``Lx``
     (qid, g, cell) names for each query of ``L`` (qid, v)."""
     need = k + (1 if exclude_self else 0)
@@ -166,10 +185,12 @@ def search_cells(L: DataFrame, Lx: DataFrame, Rc: DataFrame, k: int, exclude_sel
         if q.empty or r.empty:
             return pd.DataFrame({"qid": q["qid"].iloc[:0], "nid": r["rid"].iloc[:0],
                                  "d2": pd.Series([], dtype="float64")})
-        X = np.stack(r["v"].to_numpy())
+        whole_x = np.stack(r["v"].to_numpy())
+        X = _numbers(whole_x, n_cat)
         rid = r["rid"].to_numpy()
         rank_of_id, _ = pd.factorize(rid, sort=True)
-        Q = np.stack(q["v"].to_numpy())
+        whole_q = np.stack(q["v"].to_numpy())
+        Q = _numbers(whole_q, n_cat)
         qid = q["qid"].to_numpy()
         kk = min(need, len(rid))
         res_q, res_n, res_d = [], [], []
@@ -183,6 +204,9 @@ def search_cells(L: DataFrame, Lx: DataFrame, Rc: DataFrame, k: int, exclude_sel
             qs = qid[s:s + step]
             with np.errstate(over="ignore", invalid="ignore"):
                 near = q2[s:s + step, None] + x2[None, :] - 2.0 * (Q[s:s + step] @ X.T)
+            if n_cat:
+                apart = whole_q[s:s + step, -1, None] * _mismatches(whole_q[s:s + step], whole_x, n_cat)
+                near += apart
             own = (rid[None, :] == qs[:, None]) if exclude_self else np.zeros(near.shape, bool)
             near[own] = np.inf
             kth = np.partition(near, kk - 1, axis=1)[:, kk - 1]
@@ -194,6 +218,8 @@ def search_cells(L: DataFrame, Lx: DataFrame, Rc: DataFrame, k: int, exclude_sel
             for t in range(0, len(row), part):
                 diff = Q[s + row[t:t + part]] - X[col[t:t + part]]
                 d2[t:t + part] = (diff * diff).sum(axis=1)
+            if n_cat:
+                d2 += apart[row, col]
             order = np.lexsort((rank_of_id[col], d2, row))
             row, col, d2 = row[order], col[order], d2[order]
             keep = (np.arange(len(row)) - np.searchsorted(row, row) < kk) & np.isfinite(d2)

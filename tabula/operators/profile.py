@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabula.operators.quantiles import exact_quantiles
-from tabula.operators.ranking import join_small, null_safe_join
+from tabula.operators.ranking import null_safe_join
 
 
 def sig(c: Column, digits: int = 10) -> Column:
@@ -68,21 +68,26 @@ def histogram(df: DataFrame, cols: Sequence[str], n_bins: int = 30) -> DataFrame
     """Equal-width bins over [min, max] per column, last bin closed; empty bins included.
 
     Output ``(column, bin, lo_edge, hi_edge, n_rows)``.  A constant column puts
-    every value in bin 0 with zero width.
+    every value in bin 0 with zero width; one without values has no rows.  Two passes: the ranges, which
+    then stand in the expressions as literals, and the counts.
     """
-    from tabula.operators.quantiles import to_long
-    long = to_long(df, cols)
-    rng = long.groupBy("column").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    rng = rng.withColumn("w", (F.col("hi") - F.col("lo")) / F.lit(float(n_bins)))
-    binned = join_small(long, rng, on="column").withColumn(
-        "bin", F.when(F.col("w") > 0, F.least(F.floor((F.col("x") - F.col("lo")) / F.col("w")),
-                                                 F.lit(n_bins - 1))).otherwise(F.lit(0)).cast("int"))
-    counts = binned.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n_rows"))
-    grid = rng.select("column", "lo", "w", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    return (grid.join(counts, on=["column", "bin"], how="left")
-            .select(F.col("column").alias("feature"), "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("lo_edge"),
-                    (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("hi_edge"),
-                    F.coalesce("n_rows", F.lit(0)).alias("n_rows")))
+    value = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols]
+    ends = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(value) for n, f in (("lo", F.min), ("hi", F.max))]).first()  # one row
+    lo = {i: ends[f"lo{i}"] for i in range(len(cols)) if ends[f"lo{i}"] is not None}
+    width = {i: (ends[f"hi{i}"] - x) / float(n_bins) for i, x in lo.items()}
+
+    def place(i: int) -> Column:
+        if not width[i] > 0:
+            return F.when(value[i].isNotNull(), 0).cast("int")
+        return F.least(F.floor((value[i] - F.lit(lo[i])) / F.lit(width[i])), F.lit(n_bins - 1)).cast("int")
+
+    grid = [(cols[i], k, x + k * width[i], x + (k + 1) * width[i]) for i, x in lo.items() for k in range(n_bins)]
+    grid = df.sparkSession.createDataFrame(grid, "feature string, bin int, lo_edge double, hi_edge double")
+    if not lo:
+        return grid.withColumn("n_rows", F.lit(0).cast("long"))
+    placed = df.select(F.explode(F.array(*[F.struct(F.lit(cols[i]).alias("feature"), place(i).alias("bin")) for i in lo])).alias("p")).select("p.*")
+    counts = placed.where("bin is not null").groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n_rows"))
+    return grid.join(counts, on=["feature", "bin"], how="left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 def histogram_markers(df: DataFrame, cols: Sequence[str]) -> DataFrame:

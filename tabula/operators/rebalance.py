@@ -6,7 +6,7 @@ partitioning and are reproducible by an independent engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabula.functions.hashing import TWO_32, hash32
@@ -24,12 +24,6 @@ def class_sizes(df: DataFrame, label: str) -> dict:
     return {r[label]: r["count"] for r in rows}
 
 
-def smote_plan(sizes: dict) -> dict:
-    """Synthetic rows to add per class: every class up to the largest one ('not majority')."""
-    n_max = max(sizes.values())
-    return {c: n_max - n for c, n in sizes.items() if n < n_max}
-
-
 def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: int = 42,
           keep_originals: bool = True, neighbours: DataFrame | None = None) -> DataFrame:
     """Over-sample every non-majority class to the majority size with synthetic rows.
@@ -95,52 +89,56 @@ def smote(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: in
     return originals.unionByName(synth)
 
 
-def minority_neighbours(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: int = 42) -> DataFrame:
+def minority_neighbours(df: DataFrame, label: str, id_col: str, vec: str, k: int = 5, seed: int = 42, n_cat: int = 0) -> DataFrame:
     """Same-class k nearest neighbours of every row (materialised: read twice downstream)."""
-    return cut_lineage(knn(df, df, k, id_col, id_col, vec, group=label, exclude_self=True, seed=seed))
+    return cut_lineage(knn(df, df, k, id_col, id_col, vec, group=label, exclude_self=True, seed=seed, n_cat=n_cat))
+
+
+def with_codes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` plus ``_code<i>``, a number for each level of ``cols[i]`` (NULL is a level): a dictionary table of the levels is
+    joined, so their number meets no limit of columns or expressions."""
+    for i, c in enumerate(cols):
+        levels = cut_lineage(df.select(c).distinct().withColumn(f"_code{i}", F.monotonically_increasing_id().cast("double")))
+        df = null_safe_join(df, levels, [c], "left", small=True)
+    return df
+
+
+def _most_frequent(values: Column) -> Column:
+    """The most frequent element, ties to the smallest (an array of at most k values)."""
+    counted = F.transform(F.array_sort(F.array_distinct(values)), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), v.alias("v")))
+    return F.aggregate(counted, F.get(counted, F.lit(0)), lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a))["v"]
 
 
 def smote_nc(df: DataFrame, label: str, id_col: str, num_vec: str, cat_cols: list[str], k: int = 5,
              seed: int = 42) -> DataFrame:
     """SMOTE for mixed data (B2): continuous part interpolated as in :func:`smote`;
     each categorical takes the most frequent value among the base row's k
-    neighbours (ties to the smallest value).  Categoricals enter the distance as
-    one-hot flags of height ``med / 2``, ``med`` being the median of the class's
-    continuous standard deviations, so a mismatch adds ``med² / 2`` to the
-    squared distance.
+    neighbours (ties to the smallest value, NULLs don't vote).  ``med`` being the median of the class's
+    continuous standard deviations, a category that differs adds ``med² / 2`` to the
+    squared distance: what one-hot flags of height ``med / 2`` would add.  Levels are codes of a joined
+    dictionary, so 100,000 of them cost no more than two.
     """
     num = df.where(finite_vector(F.col(num_vec))).select(
         F.posexplode(F.col(num_vec).cast("array<double>")).alias("d", "x"), F.col(label).alias("_y"))
     sds = num.groupBy("_y", "d").agg(F.stddev_pop("x").alias("sd"))
     med = sds.groupBy("_y").agg(F.median("sd").alias("_med"))
-    enc = null_safe_join(df.withColumnRenamed(label, "_y"), med, ["_y"], "left", small=True)
-    flags = []
-    for c in cat_cols:
-        levels = [r[0] for r in df.select(c).distinct().orderBy(c).collect()]
-        flags += [F.when(F.col(c) == F.lit(v), F.col("_med") / F.lit(2.0)).otherwise(F.lit(0.0))
-                  for v in levels]
-    enc = enc.withColumn("_mixed", F.concat(F.col(num_vec).cast("array<double>"), F.array(*flags)))
-    enc = enc.withColumnRenamed("_y", label)
-    sizes = cut_lineage(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_all")))
+    sizes = cut_lineage(df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("_all")))
     largest = sizes.agg(F.max("_all")).first()[0] or 0
-    minority = join_small(enc, sizes.where(F.col("_all") < largest).select(label), on=label, how="left_semi")
+    classes = cut_lineage(sizes.where(F.col("_all") < largest).join(med, "_y").select("_y", "_med"))
+    rows = df.select(F.col(id_col).alias("_id"), F.col(label).alias("_y"), F.col(num_vec).cast("array<double>").alias("_num"), *cat_cols)
+    minority = cut_lineage(join_small(rows, classes, on="_y"))
+    coded = with_codes(minority, cat_cols)
+    codes = F.array(*[F.col(f"_code{i}") for i in range(len(cat_cols))], F.col("_med") * F.col("_med") / 2)
+    coded = coded.withColumn("_mixed", F.concat("_num", codes))
     # One neighbour search serves both the interpolation and the categorical vote.
-    nn = minority_neighbours(minority, label, id_col, "_mixed", k, seed)
-    out = smote(enc, label, id_col, "_mixed", k=k, seed=seed, neighbours=nn)
-    d = len(df.select(num_vec).first()[0]) if not df.isEmpty() else 0
-    out = out.withColumn(num_vec, F.slice("_mixed", 1, d)).drop("_mixed")
-    cats = df.select(F.col(id_col).alias("nid"), *cat_cols)
-    votes = nn.join(cats, on="nid")
-    for c in cat_cols:
-        top = (votes.groupBy("qid", c).count()
-               .groupBy("qid").agg(F.min_by(F.col(c), F.struct((-F.col("count")).alias("a"),
-                                                               F.col(c).alias("b"))).alias(c)))
-        out = out.join(top.withColumnRenamed("qid", "base_id").withColumnRenamed(c, f"_nc_{c}"), on="base_id", how="left")
-    orig = df.select(F.col(id_col).cast("string").alias("id"), *[F.col(c).alias(f"_o_{c}") for c in cat_cols])
-    out = out.join(orig, on="id", how="left")
-    for c in cat_cols:
-        out = out.withColumn(c, F.coalesce(F.col(f"_o_{c}"), F.col(f"_nc_{c}"))).drop(f"_o_{c}", f"_nc_{c}")
-    return out
+    nn = minority_neighbours(coded.select("_id", "_y", "_mixed"), "_y", "_id", "_mixed", k, seed, n_cat=len(cat_cols))
+    made = smote(df.select(id_col, label, num_vec), label, id_col, num_vec, k=k, seed=seed, neighbours=nn, keep_originals=False)
+    votes = nn.join(minority.select(F.col("_id").alias("nid"), *cat_cols), on="nid").groupBy(F.col("qid").alias("base_id")).agg(
+        *[F.collect_list(c).alias(c) for c in cat_cols])
+    votes = votes.select("base_id", *[_most_frequent(F.col(c)).alias(c) for c in cat_cols])
+    made = made.join(votes, "base_id", "left")
+    kept = df.select(F.col(label), F.col(id_col).cast("string").alias("id"), F.col(num_vec).cast("array<double>").alias(num_vec), *cat_cols)
+    return kept.unionByName(made, allowMissingColumns=True)
 
 
 def tomek_links(df: DataFrame, label: str, id_col: str, vec: str, seed: int = 42) -> DataFrame:

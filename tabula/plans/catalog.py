@@ -62,6 +62,7 @@ from tabula.plans import scoring  # noqa: E402,F401
 from tabula.plans import tables  # noqa: E402,F401
 from tabula.plans import gaps  # noqa: E402,F401
 from tabula.plans import boosting  # noqa: E402,F401
+from tabula.plans import certificates  # noqa: E402,F401
 
 
 @register("split_class_shares", f"""

@@ -110,12 +110,6 @@ def with_pages(df: DataFrame, key: str, n: int = 1000, out: str = "page") -> Dat
     return placed.select(*df.columns, F.expr(f"(cum__one - 1) div {int(n)}").alias(out))
 
 
-# ── R7 ──────────────────────────────────────────────────────────────────────
-def count_and_head(df: DataFrame) -> tuple[int, list]:
-    """Exact row count and the first row (empty table → (0, []))."""
-    return df.count(), df.limit(1).collect()
-
-
 # ── R9 ──────────────────────────────────────────────────────────────────────
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """A JSON report ``{run: {metric: value}}`` as the long table ``(run, metric, value)``; runs are rows throughout."""

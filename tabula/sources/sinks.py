@@ -188,9 +188,3 @@ def write_report(long: DataFrame, path: str) -> str:
     text = json.dumps(doc, indent=2)
     long.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
-
-
-def write_metrics_table(long: DataFrame, path: str) -> str:
-    """The same report as a Parquet table (the form other jobs read)."""
-    long.write.mode("overwrite").parquet(path)
-    return path
