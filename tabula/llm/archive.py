@@ -65,12 +65,13 @@ def write_archive(pages: DataFrame, path: str) -> str:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(header, payload, record): each original record put together from the two tables."""
+    """(header, payload, stored, record): each original record put together from the two tables; ``stored`` is the
+    payload's digest, computed once for each payload, however many records share it."""
     h = spark.read.parquet(f"{path}/headers")
     p = spark.read.parquet(f"{path}/payloads")
-    payload = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("stored payload does not match its digest "), "digest")).cast("binary"))
-    j = h.join(p, "digest").select("header", payload.alias("payload"))
+    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest")).otherwise(
+        F.raise_error(F.concat(F.lit("stored payload does not match its digest "), "digest")))
+    j = h.join(p.select("digest", "payload", sound.alias("stored")), "digest").select("header", "payload", "stored")
     end = F.lit(CRLF * 2).cast("binary")
     own = F.col("header").cast("string").contains(f"{CRLF}WARC-Type: revisit{CRLF}")
     return j.withColumn("record", F.when(own, F.concat("header", end)).otherwise(F.concat("header", "payload", end)))
@@ -88,7 +89,8 @@ def parse_records(records: DataFrame) -> DataFrame:
     size = F.octet_length("head") + 2
     own = F.expr("substring(record, octet_length(head) + 3, cast(regexp_extract(head, '\\nContent-Length: ([0-9]+)', 1) as int))")
     r = r.withColumn("body", F.when(F.col("kind") == "revisit", F.col("payload")).otherwise(own))
-    r = r.withColumn("digest", F.sha2("body", 256))
+    # a revisit has no bytes of its own: its payload was hashed where it is stored
+    r = r.withColumn("digest", F.when(F.col("kind") == "revisit", F.col("stored")).otherwise(F.sha2("body", 256)))
     declared = _field(F.col("head"), "WARC-Payload-Digest", "sha256:[0-9a-f]{64}")
     page = lambda name: F.nullif(_field(F.col("head"), name, "<urn:page:-?[0-9]*>"), F.lit("<urn:page:>"))
     number = lambda name: F.regexp_extract(F.nullif(page(name), F.lit("")), "-?[0-9]+", 0).cast("long")

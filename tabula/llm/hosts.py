@@ -40,7 +40,7 @@ from tabula.llm.common import ascii_lower, hinted, stored
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
 #: Summed change of a round, as a share of the seeds' mass, that ends the iteration; rounds between two writes.
-TOLERANCE, PER_WRITE = 1e-6, 12
+TOLERANCE, PER_WRITE = 1e-5, 3
 BLOCK_SHARE = 0.5
 _HREF = r"""(?i)\shref\s*=\s*["']?((?<=["'])[^"']*(?=["'])|(?<!["'])[^\s>"'][^\s>]*)"""
 
@@ -116,7 +116,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE,
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0
     source = seeds.select("host", "kind", (F.col("seed") * (1 - damping)).alias("v"))
     way = hinted(e)
-    rank = source
+    rank = seeds.select("host", "kind", F.col("seed").alias("v"))
     while total:
         for _ in range(PER_WRITE):
             before = rank
