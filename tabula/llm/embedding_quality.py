@@ -1,6 +1,6 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated probabilities.
 
-1. **Random indexing.**  Every unit (word, number or run of signs; a word in capitals also gives
+1. **Random indexing.**  Every unit (word or run of signs; a word in capitals also gives
    a mark) has a sparse random index vector, a function of its hash alone.  Its context vector
    is the sum of the index vectors of its neighbours over all texts of the corpus.  A task adds
    up its own texts and emits one row per unit bucket; the sums over tasks are one aggregate.
@@ -50,7 +50,7 @@ PIECE = 1 << 12
 #: Units whose contexts are counted at once.
 COUNTED = 1 << 20
 _MAX_KNOWN = 200_000
-_UNIT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+_UNIT = re.compile(r"\w+|[^\w\s]+")
 _CAPS = zlib.crc32(b"\0caps") % BUCKETS  # the mark of a word in capitals
 
 
@@ -65,25 +65,25 @@ def _index() -> tuple[np.ndarray, np.ndarray]:
     return places.astype(np.int64), rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
 
 
+class _Codes(dict):
+    """Bucket of a unit, plus BUCKETS if it is a word in capitals; made when first asked for, up to a bound."""
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) >= _MAX_KNOWN:
+            self.clear()
+        low = unit.lower()
+        got = self[unit] = zlib.crc32(low.encode("utf-8", "replace")) % BUCKETS + (BUCKETS if low != unit and len(unit) > 1 and unit.isupper() else 0)
+        return got
+
+
 class Units:
     """Hash buckets of texts' units, in order; a word in capitals is followed by the mark for that."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def _new(self, unit: str) -> int:
-        if len(self.known) >= _MAX_KNOWN:
-            self.known.clear()
-        bucket = zlib.crc32(unit.lower().encode("utf-8", "replace")) % BUCKETS
-        got = self.known[unit] = bucket + BUCKETS * (len(unit) > 1 and unit.isupper())
-        return got
+        self.code = _Codes().__getitem__
 
     def _codes(self, text: str | None) -> np.ndarray:
-        units = _UNIT.findall(text or "")
-        codes = list(map(self.known.get, units))
-        if None in codes:
-            codes = [self._new(u) if c is None else c for u, c in zip(units, codes)]
-        return np.array(codes, np.int32)
+        return np.array(list(map(self.code, _UNIT.findall(text or ""))), np.int32)
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(buckets of all units, number of each text)."""
@@ -183,18 +183,17 @@ def fit_vectors(docs: DataFrame) -> np.ndarray:
 
 # ── 3. Pooling ────────────────────────────────────────────────────────────
 def pooled(units: Units, vectors: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    """Features of each text (float64, len(texts) x FEATURES)."""
+    """Features of each text (float64, len(texts) x FEATURES) from float64 vectors."""
     ids, size = units.batch(texts)
     n = len(texts)
     doc = np.repeat(np.arange(n), size)
     total, square = np.zeros((n, DIMS)), np.zeros((n, DIMS))
-    for s in range(0, len(ids), PIECE):
-        d = doc[s:s + PIECE]
-        first = np.flatnonzero(np.diff(d, prepend=-1))
-        v = vectors[ids[s:s + PIECE]].astype(np.float64)
-        total[d[first]] += np.add.reduceat(v, first, axis=0)
-        np.square(v, out=v)
-        square[d[first]] += np.add.reduceat(v, first, axis=0)
+    end = np.cumsum(size)
+    for i in np.flatnonzero(size):
+        for s in range(end[i] - size[i], end[i], PIECE):
+            v = vectors[ids[s:min(s + PIECE, end[i])]]
+            total[i] += v.sum(0)
+            square[i] += np.einsum("ij,ij->j", v, v)
     count = np.maximum(size, 1)[:, None]
     mean = total / count
     spread = np.sqrt(np.maximum(square / count - mean * mean, 0))
@@ -298,11 +297,11 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> tuple[np
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS x DIMS floats: 8 MB
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units()
+        units, v = Units(), shared.value.astype(np.float64)
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
-                x = pooled(units, shared.value, part.column(0).to_pylist())
+                x = pooled(units, v, part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.ListArray.from_arrays(
                     pa.array(np.arange(0, x.size + 1, FEATURES, dtype=np.int32)), pa.array(x.astype(np.float32).reshape(-1)))], ["y", "out", "x"])
 
@@ -321,6 +320,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, (v, model) = Units(), shared.value
+        v = v.astype(np.float64)
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)

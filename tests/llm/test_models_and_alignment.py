@@ -152,6 +152,17 @@ def test_lanes_change_nothing(docs):
             np.testing.assert_array_equal(got, want)
 
 
+def test_ranks_cut_as_the_library_of_the_file_does():
+    from tokenizers import Tokenizer
+    path = f"{alignment.TOKENIZERS}/{alignment.BYTE_BPE}"
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    chars = [chr(c) for c in range(0, 0x30000, 11) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c}{c} 1{c}2  {c}" for c in chars] + ODD
+    want = [e.ids for e in model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+    assert alignment.ByteTokens(path).ids(texts) == want
+
+
 def test_link_rows(spark, cut):
     got = alignment.links(spark.createDataFrame([(1, "unbelievable words"), (2, None)], "doc_id long, text string")).collect()
     x, xb, y, yb = cut("unbelievable words")
@@ -182,7 +193,7 @@ def test_contexts_by_hand(spark, docs, monkeypatch):
 
 
 def test_pooled_by_hand(docs, monkeypatch):
-    vectors = np.random.default_rng(1).normal(size=(eq.BUCKETS, eq.DIMS)).astype(np.float32)
+    vectors = np.random.default_rng(1).normal(size=(eq.BUCKETS, eq.DIMS))
     monkeypatch.setattr(eq, "PIECE", 100)
     texts = [d[1] for d in docs]
     got = eq.pooled(eq.Units(), vectors, texts)

@@ -345,6 +345,50 @@ def test_toxicity_context():
     assert s.score(None) == s.score("") < 0.1
 
 
+def _toxicity(model, text):
+    """The score with edit distances to every term in place of the automaton."""
+    def match(w):
+        near = [(_distance(w, t), t) for t in model.words]
+        near += [(min(_distance(w[:i], t) for i in range(1, len(w) + 1)), t) for t in model.stems]
+        return min(((d, t) for d, t in near if d <= (0 if t in model.exact else lexicon.edits_allowed(t))), default=None)
+
+    def kind(w):
+        m, plain = match(w), w.translate(lexicon.LOOKALIKES)
+        if plain != w and (m is None or m[0]):
+            alike = match(plain)
+            m = (max(1, alike[0]), alike[1]) if alike else m
+        return 0 if m is None else 1 if m[0] == 0 else 0 if w in model.clean_forms else 2
+
+    low = (text or "").lower()
+    found = list(re.finditer(r"[@$]?\w+(?:[@$]+\w+)*", low))
+    words, count = [m[0] for m in found], [0] * 4
+    kinds = {w: kind(w) for w in set(words)}
+    for i, m in enumerate(found):
+        if kinds[m[0]]:
+            line = low[:m.start()].split("\n")[-1]
+            told = any(w in toxicity.REPORTING for w in words[max(0, i - 6):i] + words[i + 1:i + 7])
+            count[2 * (kinds[m[0]] - 1) + (sum(c in '"“”„«»' for c in line) % 2 == 1 or told)] += 1
+    x = [1.0, *(np.log1p(min(c, 20)) for c in count), np.log1p(100 * (count[0] + count[2]) / max(len(words), 20))]
+    return 1 / (1 + np.exp(-np.clip(np.dot(model.weights, x), -30, 30)))
+
+
+def test_toxicity_score_by_hand(docs):
+    rng = random.Random(8)
+    model = toxicity.Model(words=["worthless", "idiot", "scum", "vermin", "clown"], stems=["disgus", "patheti"], clean_forms=frozenset(["idiom"]),
+                           exact=frozenset(["clown"]), weights=(-3.0, 2.0, 0.3, 1.2, 0.1, 0.8))
+    scorer, hits = toxicity.Scorer(model), 0
+    forms = ["idiot", "1d10t", "idiom", "wortless", "w0rthle$$", "vermins", "clowm", "clown", "disgusting", "disguting", "scum", "scun", "pathetically"]
+    for d in docs:
+        w = (d[1] or "")[:600].split(" ")
+        for _ in range(rng.randint(0, 4)):
+            w.insert(rng.randint(0, len(w)), rng.choice(forms) if rng.random() < 0.7 else rng.choice(['"', "he said", "„quote", "\n"]))
+        text = " ".join(w)
+        want = _toxicity(model, text)
+        assert abs(scorer.score(text) - want) < 1e-12
+        hits += want > 0.5
+    assert 20 < hits < len(docs) - 20 and abs(scorer.score(None) - _toxicity(model, None)) < 1e-12
+
+
 def test_toxicity_held_out(spark):
     """Held-out accuracy; labels of held-out rows and other columns make no difference to the scores."""
     sf = "/root/testdata/sf0.1"
