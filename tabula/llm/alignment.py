@@ -42,8 +42,8 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: How byte-level BPE cuts words (a fixed value of that kind of file).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of text that a task merges at once, texts that it tokenizes at once, and A tokens of a lane.
-BATCH_CHARS, BATCH_TEXTS, LANE = 1 << 20, 64, 1024
+#: Rows that a task has as Python strings at once, characters that it merges at once, texts that it tokenizes at once, A tokens of a lane.
+BATCH_ROWS, BATCH_CHARS, BATCH_TEXTS, LANE = 512, 1 << 19, 64, 1024
 _SHIFT = 32  # a pair is one long: A id above, B id below
 
 
@@ -231,6 +231,24 @@ class Aligner:
                 "links": (la, lb), "link_off": order, "a": a, "b": b, "a_off": a_off, "b_off": b_off}
 
 
+@lru_cache(maxsize=1)
+def aligner_of(folder: str) -> Aligner:
+    """One for all tasks of a worker."""
+    return Aligner(*tokenizers(folder))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """(ids, texts) of a few hundred rows at a time, cut where their texts reach BATCH_CHARS; memory that a slice
+    needed goes back before the next."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, BATCH_ROWS):
+            rows = batch.slice(s, BATCH_ROWS)
+            texts = rows.column(1).to_pylist()
+            for part in _parts(texts, BATCH_CHARS):
+                yield rows.column(0)[part.start:part.stop], texts[part]
+            pa.default_memory_pool().release_unused()
+
+
 def _parts(texts: list[str | None], most: int) -> Iterator[slice]:
     start = size = 0
     for i, t in enumerate(texts):
@@ -248,18 +266,15 @@ def aligned(docs: DataFrame, folder: str = TOKENIZERS, text: str = "text") -> Da
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*tokenizers(folder))
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in _parts(texts, BATCH_CHARS):
-                x = aligner.align(texts[part])
-                sha = [hashlib.sha256(g).hexdigest() if len(g) else "" for g in x["groups"]]
-                off = pa.array(x["pair_off"].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start:part.stop], *(pa.array(x[n].astype(np.int64)) for n in ("n_a", "n_b", "n_groups", "n_links")),
-                     pa.array(sha, pa.string()), pa.ListArray.from_arrays(off, pa.array(x["pairs"])),
-                     pa.ListArray.from_arrays(off, pa.array(x["times"].astype(np.int32)))],
-                    ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+        aligner = aligner_of(folder)
+        for ids, texts in _slices(batches):
+            x = aligner.align(texts)
+            sha = [hashlib.sha256(g).hexdigest() if len(g) else "" for g in x["groups"]]
+            off = pa.array(x["pair_off"].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [ids, *(pa.array(x[n].astype(np.int64)) for n in ("n_a", "n_b", "n_groups", "n_links")), pa.array(sha, pa.string()),
+                 pa.ListArray.from_arrays(off, pa.array(x["pairs"])), pa.ListArray.from_arrays(off, pa.array(x["times"].astype(np.int32)))],
+                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
     out = docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, "
                                                       "groups_sha256 string, pairs array<long>, times array<int>")
@@ -279,17 +294,15 @@ def links(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*tokenizers(folder))
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in _parts(texts, BATCH_CHARS):
-                x = aligner.align(texts[part])
-                la, lb = x["links"]
-                doc = np.repeat(np.arange(part.stop - part.start), x["n_links"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start:part.stop].take(pa.array(doc)), pa.array((la - x["a_off"][doc]).astype(np.int64)),
-                     pa.array((lb - x["b_off"][doc]).astype(np.int64)), pa.array(x["a"][la].astype(np.int64)), pa.array(x["b"][lb].astype(np.int64))],
-                    ["doc_id", "a_place", "b_place", "a_id", "b_id"])
+        aligner = aligner_of(folder)
+        for ids, texts in _slices(batches):
+            x = aligner.align(texts)
+            la, lb = x["links"]
+            doc = np.repeat(np.arange(len(texts)), x["n_links"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(doc)), pa.array((la - x["a_off"][doc]).astype(np.int64)),
+                 pa.array((lb - x["b_off"][doc]).astype(np.int64)), pa.array(x["a"][la].astype(np.int64)), pa.array(x["b"][lb].astype(np.int64))],
+                ["doc_id", "a_place", "b_place", "a_id", "b_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, a_place long, b_place long, a_id long, b_id long")
 
