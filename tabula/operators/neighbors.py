@@ -3,7 +3,7 @@
 Plan, for query rows ``L`` and reference rows ``R`` (vectors as ``array<double>``):
 
 1. **Pivots.** ``P`` reference rows with the smallest keyed hash (a bounded
-   ``limit``) are collected; every reference row goes to its nearest pivot's
+   ``limit`` of about the square root of the rows) are collected; every reference row goes to its nearest pivot's
    cell.  Per cell we keep count and radius (max distance to the pivot) — a
    table of at most ``groups × P`` rows.
 2. **Pruning.** For a query ``q`` with pivot distances ``D``, cells sorted by
@@ -39,7 +39,8 @@ from tabula.functions.hashing import hash32
 from tabula.operators.ranking import join_small
 from tabula.session import cut_lineage
 
-MAX_PIVOTS = 512
+# Rows of the table of cells by group that are shipped with a task (four numbers each).
+STATS_ROWS = 200_000
 # Numbers in one temporary array of a task (32 MB of doubles).
 TILE = 1 << 22
 
@@ -56,19 +57,36 @@ def _mismatches(a: np.ndarray, b: np.ndarray, n_cat: int) -> np.ndarray:
     return out
 
 
-def _pivot_distances(vecs: pd.Series, pivots: np.ndarray, n_cat: int = 0) -> np.ndarray:
-    """Distances rows × pivots, computed by slices of rows so that no slice exceeds ``TILE`` numbers."""
-    out = np.empty((len(vecs), len(pivots)))
-    m = np.stack(vecs.to_numpy()) if len(vecs) else out
-    step, p = max(1, TILE // pivots.size), _numbers(pivots, n_cat)
-    for s in range(0, len(m) if len(vecs) else 0, step):
-        part = m[s:s + step]
-        diff = _numbers(part, n_cat)[:, None, :] - p[None, :, :]
-        d2 = np.einsum("ijk,ijk->ij", diff, diff)
+def _slices(n: int, pivots: np.ndarray):
+    """Slices of ``n`` rows so that rows × pivots of one stay below ``TILE`` numbers."""
+    step = max(1, TILE // max(1, len(pivots)))
+    return (slice(s, s + step) for s in range(0, n, step))
+
+
+def _squares(m: np.ndarray, pivots: np.ndarray, n_cat: int) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances rows × pivots by one matrix product, a bound on the rounding error of each row's)."""
+    x, p = _numbers(m, n_cat), _numbers(pivots, n_cat)
+    with np.errstate(over="ignore", invalid="ignore"):
+        x2, p2 = (x * x).sum(1), (p * p).sum(1)
+        d2 = x2[:, None] + p2[None, :] - 2.0 * (x @ p.T)
         if n_cat:
-            d2 += part[:, -1, None] * _mismatches(part, pivots, n_cat)
-        out[s:s + step] = np.sqrt(d2)
-    return out
+            d2 += m[:, -1, None] * _mismatches(m, pivots, n_cat)
+    return d2, 8 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (x2 + p2.max(initial=0.0))
+
+
+def _nearest(m: np.ndarray, pivots: np.ndarray, n_cat: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of a nearest pivot, exact distance to it) of each row; near ties may go either way, radii are measured."""
+    at, d = np.zeros(len(m), np.int64), np.empty(len(m))
+    for part in _slices(len(m), pivots):
+        at[part] = np.nan_to_num(_squares(m[part], pivots, n_cat)[0], nan=np.inf).argmin(1)
+        own = pivots[at[part]]
+        with np.errstate(over="ignore"):
+            diff = _numbers(m[part], n_cat) - _numbers(own, n_cat)
+            d2 = (diff * diff).sum(1)
+            for c in range(-n_cat - 1, -1):
+                d2 = d2 + m[part][:, -1] * (m[part][:, c] != own[:, c])
+        d[part] = np.sqrt(d2)
+    return at, d
 
 
 def finite_vector(v: Column) -> Column:
@@ -104,7 +122,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
     if n_r == 0:
         return spark.createDataFrame([], f"qid {L.schema['qid'].dataType.simpleString()}, rank int, "
                                          f"nid {R.schema['rid'].dataType.simpleString()}, dist double")
-    p = n_pivots or max(1, min(MAX_PIVOTS, round(math.sqrt(n_r / 8.0))))
+    p = n_pivots or max(1, round(math.sqrt(n_r / 8.0)))
     piv_rows = R.orderBy(hash32(seed, "rid", "pivot"), "rid").limit(p).select("v").collect()
     pivots = np.array([r["v"] for r in piv_rows], dtype=np.float64)
 
@@ -112,48 +130,60 @@ def knn(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str,
 
     @F.pandas_udf(cell_schema)
     def nearest_pivot(v: pd.Series) -> pd.DataFrame:
-        d = _pivot_distances(v, pivots, n_cat)
-        idx = d.argmin(axis=1) if len(v) else np.zeros(0, dtype=int)
-        return pd.DataFrame({"cell": idx.astype("int32"), "d": d[np.arange(len(v)), idx] if len(v) else []})
+        at, d = _nearest(np.stack(v.to_numpy()), pivots, n_cat) if len(v) else (np.zeros(0, int), np.zeros(0))
+        return pd.DataFrame({"cell": at.astype("int32"), "d": d})
 
     Rc = R.withColumn("_c", nearest_pivot("v")).select("rid", "g", "v", "_c.cell", "_c.d")
     Rc = cut_lineage(Rc)
-    stats = Rc.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("cnt"), F.max("d").alias("radius")).collect()
+    stats = cut_lineage(Rc.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("cnt"), F.max("d").alias("radius")))
+    if stats.limit(STATS_ROWS + 1).count() > STATS_ROWS:
+        # Very many groups: each has few cells, and all of its own are searched.
+        own = stats.select(F.col("g").alias("_g"), F.col("cell").alias("_cell"))
+        Lx = cut_lineage(L.select("qid", "g").join(own, F.col("g") == F.col("_g")).select("qid", F.col("g").alias("g"), F.col("_cell").alias("cell")))
+    else:
+        Lx = cut_lineage(L.select("qid", "g", F.explode(_candidates(stats, pivots, need, n_cat)("g", "v")).alias("cell")))
+    # Only (query, cell) pairs are materialised; vectors are joined back by id when
+    # the blocks are built, so weak pruning does not write a vector per cell.
+    return search_cells(L.select("qid", "v"), Lx, Rc.select("rid", "g", "cell", "v"), k, exclude_self, block, seed, n_cat)
+
+
+def _candidates(stats: DataFrame, pivots: np.ndarray, need: int, n_cat: int):
+    """The function from (group, vector) to the cells of the group that may hold one of the ``need`` nearest rows."""
     by_group: dict = {}
-    for r in stats:
+    for r in stats.collect():  # at most STATS_ROWS rows of four numbers
         by_group.setdefault(r["g"], []).append((r["cell"], r["cnt"], r["radius"]))
     tables = {g: (np.array([c for c, _, _ in rows]), np.array([n for _, n, _ in rows], dtype=np.int64),
                   np.array([rad for _, _, rad in rows])) for g, rows in by_group.items()}
 
-    def prune(d: np.ndarray, cells: np.ndarray, cnt: np.ndarray, rad: np.ndarray) -> list:
-        """Candidate cells for a block of queries of one group (vectorised)."""
-        d = d[:, cells]
-        upper = d + rad
+    def prune(m: np.ndarray, cells: np.ndarray, cnt: np.ndarray, rad: np.ndarray) -> list:
+        """Candidate cells for queries of one group (vectorised)."""
+        d2, slack = _squares(m, pivots[cells], n_cat)
+        with np.errstate(invalid="ignore"):
+            low, high = np.sqrt(np.maximum(d2 - slack[:, None], 0)), np.sqrt(np.maximum(d2, 0) + slack[:, None])
+        low, high = np.nan_to_num(low, nan=0.0), np.nan_to_num(high, nan=np.inf)  # numbers beyond doubles prune nothing
+        upper = high + rad
         order = np.argsort(upper, axis=1, kind="stable")
         reach = np.cumsum(cnt[order], axis=1)
         j = np.minimum((reach < need).sum(axis=1), len(cells) - 1)
-        ub = np.take_along_axis(upper, order, axis=1)[np.arange(len(d)), j]
-        ok = (d - rad) <= (ub * (1 + 1e-9) + 1e-12)[:, None]
+        ub = np.take_along_axis(upper, order, axis=1)[np.arange(len(m)), j]
+        ok = (low - rad) <= (ub * (1 + 1e-9) + 1e-12)[:, None]
         return [cells[row].astype("int32").tolist() for row in ok]
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def candidate_cells(g: pd.Series, v: pd.Series) -> pd.Series:
-        d_all = _pivot_distances(v, pivots, n_cat)
         out = [[] for _ in range(len(v))]
-        gv = g.to_numpy()
+        gv, vectors = g.to_numpy(), v.to_numpy()
         for key in pd.unique(gv):
             tab = tables.get(key)
             if tab is None:
                 continue
             rows = np.flatnonzero(gv == key)
-            for i, cand in zip(rows, prune(d_all[rows], *tab)):
-                out[i] = cand
+            for part in _slices(len(rows), pivots):
+                for i, cand in zip(rows[part], prune(np.stack(vectors[rows[part]]), *tab)):
+                    out[i] = cand
         return pd.Series(out)
 
-    # Only (query, cell) pairs are materialised; vectors are joined back by id when
-    # the blocks are built, so weak pruning does not write a vector per cell.
-    Lx = cut_lineage(L.select("qid", "g", F.explode(candidate_cells("g", "v")).alias("cell")))
-    return search_cells(L.select("qid", "v"), Lx, Rc.select("rid", "g", "cell", "v"), k, exclude_self, block, seed, n_cat)
+    return candidate_cells
 
 
 def search_cells(L: DataFrame, Lx: DataFrame, Rc: DataFrame, k: int, exclude_self: bool = False, block: int = 16384,

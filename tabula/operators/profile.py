@@ -79,7 +79,8 @@ def histogram(df: DataFrame, cols: Sequence[str], n_bins: int = 30) -> DataFrame
     def place(i: int) -> Column:
         if not width[i] > 0:
             return F.when(value[i].isNotNull(), 0).cast("int")
-        return F.least(F.floor((value[i] - F.lit(lo[i])) / F.lit(width[i])), F.lit(n_bins - 1)).cast("int")
+        at = F.least(F.floor((value[i] - F.lit(lo[i])) / F.lit(width[i])), F.lit(n_bins - 1))
+        return F.when(value[i].isNotNull(), at).cast("int")  # least() alone skips NULLs
 
     grid = [(cols[i], k, x + k * width[i], x + (k + 1) * width[i]) for i, x in lo.items() for k in range(n_bins)]
     grid = df.sparkSession.createDataFrame(grid, "feature string, bin int, lo_edge double, hi_edge double")

@@ -5,11 +5,10 @@ Two shapes recur in the library:
 * **Hashed rank cut** (S1 split, B1 quota): rows of each group are ordered by
   a keyed hash and cut at ranks that depend on the group size.  A window over
   the whole group would put a hot group (a third of all rows) in one task.
-  Instead: count rows per (group, hash bucket) — a small table (about 256
-  rows per bucket, at most 2^20 buckets) — take running
-  offsets over that table, and decide whole buckets at once.  Only the rows of
-  the (at most one per cut) buckets that straddle a cut are ranked exactly, by
-  a window over (group, bucket).
+  Instead: count rows per (group, hash bucket) — a small table — take running
+  offsets over it, and rank only the rows of the (one per cut) buckets that hold a
+  cut, by a window over (group, bucket).  That gives the row at each cut; every
+  row is then compared with its group's cut rows.
 
 * **Running totals over a global order** (M4 ROC): the rows are range-partitioned
   by group and value, per-range totals give offsets, and the running sum inside
@@ -27,6 +26,8 @@ from pyspark.sql import types as T
 from tabula.functions.hashing import hash32
 from tabula.session import cut_lineage
 
+# Hash ranges that the rows of a group are counted in (a power of two).
+BUCKETS = 1 << 16
 # Bytes of a table that may be broadcast once its rows and widest values are known.
 BROADCAST_BYTES = 32 << 20
 
@@ -61,12 +62,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(side, match, how).drop(*names.values())
 
 
-def bucket_count(n_rows: int, rows_per_bucket: int = 256, max_buckets: int = 1 << 20) -> int:
-    """Power of two near ``n_rows / rows_per_bucket``, between 16 and ``max_buckets``."""
-    target = max(16, min(max_buckets, n_rows // rows_per_bucket))
-    return 1 << (target.bit_length() - 1)
-
-
 def hashed_segments(df: DataFrame, group_cols: Sequence[str], key: str, seed: int,
                     cuts: Callable[[Column], list[Column]], out: str = "segment",
                     n_buckets: int | None = None, tag: str | None = None) -> DataFrame:
@@ -74,54 +69,36 @@ def hashed_segments(df: DataFrame, group_cols: Sequence[str], key: str, seed: in
 
     Rows of a group are ordered by ``(hash32(seed, key, tag), key)``; rank ``r``
     is 0-based.  ``cuts(n)`` returns increasing cut ranks as columns of the
-    group size ``n``; the segment is the number of cuts ``<= r``.  Exact, and
-    the only windowed rows are those of buckets that straddle a cut.
+    group size ``n``; the segment is the number of cuts ``<= r``.  Exact where keys are
+    unique in their group (rows of one key stay in one segment).  Three passes: bucket counts, the rows of the buckets that
+    hold a cut (the only ones that are windowed), and the labels.  A NULL group is a group.
     """
     group_cols = list(group_cols)
-    if n_buckets is None:
-        # ~256 rows per bucket: boundary windows stay small, the bucket table stays
-        # a small fraction of the input (at most 2^20 buckets per group).
-        n_buckets = bucket_count(df.count())
+    n_buckets = n_buckets or BUCKETS
     shift = 32 - (n_buckets.bit_length() - 1)
     if 1 << (32 - shift) != n_buckets:
         raise ValueError("n_buckets must be a power of two")
-    h = hash32(seed, key, tag)
-    keyed = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), shift))
+    keyed = df.withColumn("_h", hash32(seed, key, tag)).withColumn("_b", F.shiftright(F.col("_h"), shift))
 
+    # 1. Rows per (group, bucket), and the bucket that each cut's rank falls into.
     gw = Window.partitionBy(*group_cols)
     ow = gw.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (keyed.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
                .withColumn("_n", F.sum("_cnt").over(gw))
                .withColumn("_start", F.coalesce(F.sum("_cnt").over(ow), F.lit(0))))
-    cut_cols = cuts(F.col("_n"))
-
-    def seg_of(rank: Column) -> Column:
-        return sum(((rank >= c).cast("int") for c in cut_cols), F.lit(0))
-
-    first_seg = seg_of(F.col("_start"))
-    last_seg = seg_of(F.col("_start") + F.col("_cnt") - 1)
-    buckets = buckets.select(*group_cols, "_b", "_start",
-                             F.when(first_seg == last_seg, first_seg).alias("_seg"),
-                             *[c.alias(f"_cut{i}") for i, c in enumerate(cut_cols)])
-    # The bucket table is small (groups x n_buckets); materialise it once so the
-    # size check and the join reuse it instead of re-reading the input.
-    buckets = cut_lineage(buckets)
-    # Null-safe on the group keys: a NULL class is a class of its own, not dropped.
-    small = buckets.select(*[F.col(c).alias(f"_k_{c}") for c in group_cols],
-                           *[c for c in buckets.columns if c not in group_cols])
-    cond = [keyed[c].eqNullSafe(small[f"_k_{c}"]) for c in group_cols] + [keyed["_b"] == small["_b"]]
-    side = small_side(small)
-    tagged = keyed.join(side, on=cond).drop(small["_b"]).drop(*[f"_k_{c}" for c in group_cols])
-
-    decided = tagged.filter(F.col("_seg").isNotNull()).withColumn(out, F.col("_seg"))
-    boundary = tagged.filter(F.col("_seg").isNull())
-    rw = Window.partitionBy(*group_cols, "_b").orderBy("_h", key)
-    rank = F.col("_start") + F.row_number().over(rw) - 1
-    boundary = boundary.withColumn("_r", rank).withColumn(
-        out, sum(((F.col("_r") >= F.col(f"_cut{i}")).cast("int") for i in range(len(cut_cols))),
-                 F.lit(0))).drop("_r")
-    helper = ["_h", "_b", "_start", "_seg", *[f"_cut{i}" for i in range(len(cut_cols))]]
-    return decided.unionByName(boundary).drop(*helper)
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), c.cast("long").alias("rank")) for i, c in enumerate(cuts(F.col("_n")))])
+    cut = buckets.select(*group_cols, "_b", "_start", "_cnt", F.explode(ranks).alias("_c")).where(
+        (F.col("_c.rank") >= F.col("_start")) & (F.col("_c.rank") < F.col("_start") + F.col("_cnt")))
+    cut = cut_lineage(cut.select(*group_cols, "_b", "_start", F.col("_c.i").alias("_i"), F.col("_c.rank").alias("_rank")))
+    # 2. The row at each cut: only rows of those buckets are put in order.
+    near = null_safe_join(keyed.select(*group_cols, "_b", "_h", F.col(key).alias("_key")), cut, [*group_cols, "_b"], small=True)
+    place = F.col("_start") + F.row_number().over(Window.partitionBy(*group_cols, "_b", "_i").orderBy("_h", "_key")) - 1
+    at = near.withColumn("_r", place).where(F.col("_r") == F.col("_rank"))
+    marks = cut_lineage(at.groupBy(*group_cols).agg(F.collect_list(F.struct("_h", "_key")).alias("_marks")))  # a row per group, an element per cut
+    # 3. One narrow pass: the segment is the number of cut rows that the row does not come before.
+    own = F.struct(F.col("_h"), F.col(key).alias("_key"))
+    reached = F.size(F.filter(F.coalesce("_marks", F.array().cast(marks.schema["_marks"].dataType)), lambda m: own >= m))
+    return null_safe_join(keyed, marks, group_cols, "left", small=True).withColumn(out, reached).drop("_h", "_b", "_marks")
 
 
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,

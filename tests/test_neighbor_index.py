@@ -64,3 +64,23 @@ def test_small_and_empty_references(spark, tmp_path):
     none = N.NeighborIndex(spark, N.build_index(df.where("id < 0"), f"{tmp_path}/b", "id", "vec"))
     assert none.search(df, "id", "vec", 5).collect() == []
     assert few.search(df.where("id < 0"), "id", "vec", 5).collect() == []
+
+
+def test_very_many_groups_are_searched_without_a_shipped_table(spark, monkeypatch):
+    from tabula.operators import neighbors
+    df = points(spark).withColumn("g", F.when(F.col("id") % 7 > 0, F.col("id") % 7))
+    want = answers(knn(df, df, 3, "id", "id", "vec", group="g", exclude_self=True))
+    monkeypatch.setattr(neighbors, "STATS_ROWS", 3)
+    got = knn(df.where("g is not null"), df, 3, "id", "id", "vec", group="g", exclude_self=True)
+    assert answers(got) == [w for w in want if w[0] % 7]
+
+
+def test_large_numbers_prune_safely(spark):
+    rows = [(i, [1e200 * (i % 5), 1e-3 * i]) for i in range(60)] + [(100 + i, [float(i), 0.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = {(r.qid, r["rank"]): r.nid for r in knn(df.where("id >= 100"), df, 2, "id", "id", "vec", exclude_self=True, n_pivots=9).collect()}
+    small = [(i, v) for i, v in rows if v[0] < 1e100]
+    for i, v in small:
+        if i >= 100:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, w in small if j != i)
+            assert [got[(i, 1)], got[(i, 2)]] == [j for _, j in near[:2]]

@@ -89,3 +89,16 @@ def test_report_of_many_runs(spark, tmp_path):
     back = read_report(spark, write_report(long, f"{tmp_path}/r.json"))
     assert back.columns == ["run", "metric", "value"] and back.count() == 3000
     assert back.join(long, ["run", "metric", "value"]).count() == 3000
+
+
+def test_rank_cuts_of_null_groups_and_repeated_keys(spark):
+    from tabula.operators.ranking import hashed_segments
+    rows = [(i, None if i < 40 else "b") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    for buckets in (1, 16, None):
+        seg = hashed_segments(df, ["g"], "id", 7, lambda n: [n * 0, F.ceil(n / 4), n + 5], n_buckets=buckets).collect()
+        sizes = {(r.g, s): sum(x.g == r.g and x.segment == s for x in seg) for r in seg for s in (0, 1, 2, 3)}
+        assert sizes == {(None, 0): 0, (None, 1): 10, (None, 2): 30, (None, 3): 0, ("b", 0): 0, ("b", 1): 15, ("b", 2): 45, ("b", 3): 0}
+    twice = hashed_segments(df.union(df), ["g"], "id", 7, lambda n: [F.ceil(n / 4)]).collect()
+    assert len(twice) == 200 and len({(r.id, r.segment) for r in twice}) == 100  # rows of one key stay together
+    assert hashed_segments(df.limit(0), ["g"], "id", 7, lambda n: [n]).collect() == []
