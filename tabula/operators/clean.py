@@ -88,7 +88,9 @@ def drop_incomplete(df: DataFrame, cols: list[str], observation: Observation | N
     """Drop rows with NULL in any of ``cols``.
 
     With an ``observation`` the pass that uses the result also counts, at no second scan: ``rows_in``,
-    ``rows_dropped`` and, per column, ``null_<column>``; read them with ``observation.get`` after an action."""
+    ``rows_dropped`` and, per column, ``null_<column>``; read them with ``observation.get`` after an action.
+    (Spark 4.1: models of Spark ML that keep a training summary can't be shipped to tasks in a session that has used
+    an observation; observe in a ``spark.newSession()``, or drop the summaries, as ``models.run_grid`` does.)"""
     complete = F.lit(True)
     for c in cols:
         complete = complete & F.col(c).isNotNull()

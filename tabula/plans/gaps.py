@@ -165,7 +165,8 @@ def q_all_pages(spark, sf_dir):
 def q_observed_drops(spark, sf_dir):
     """What the filter dropped, counted by the pass that writes the kept rows."""
     seen, path = Observation("drops"), scratch_path(spark, "complete_rows")
-    drop_incomplete(lineitem_gaps(spark, sf_dir), NUM, seen).write.parquet(path)
+    apart = spark.newSession()  # see drop_incomplete
+    drop_incomplete(lineitem_gaps(apart, sf_dir), NUM, seen).write.parquet(path)
     got = seen.get
     one = spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in got.items()])
     written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_written"))

@@ -78,7 +78,8 @@ def test_pages_without_keys(spark):
 
 
 def test_observed_drops(spark):
-    df = spark.createDataFrame([(1, None), (None, None), (2, 3)], "a int, b int")
+    apart = spark.newSession()
+    df = apart.createDataFrame([(1, None), (None, None), (2, 3)], "a int, b int")
     seen = Observation("d")
     assert drop_incomplete(df, ["a", "b"], seen).collect() == [(2, 3)]
     assert seen.get == {"rows_in": 3, "rows_dropped": 2, "null_a": 1, "null_b": 2}
