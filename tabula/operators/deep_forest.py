@@ -58,6 +58,18 @@ def poisson_weight(u: Column, most: int = 12) -> Column:
     return out
 
 
+def _bin_names(cuts: list):
+    """The function from a row's values to its bins: for each feature the next cut above the value, which names the bin."""
+    edges = [np.append(np.asarray(c, dtype=float), np.inf) for c in cuts]
+
+    @F.pandas_udf("array<double>")
+    def names(x: pd.Series) -> pd.Series:
+        m = np.stack(x.to_numpy()) if len(x) else np.empty((0, len(edges)))
+        return pd.Series(list(np.stack([e[np.searchsorted(e[:-1], m[:, i], side="right")] for i, e in enumerate(edges)], axis=1)))
+
+    return names
+
+
 class DeepForestModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     path = Param(Params._dummy(), "path", "table of nodes", typeConverter=TypeConverters.toString)
     classes = Param(Params._dummy(), "classes", "class values in order", typeConverter=TypeConverters.toListFloat)
@@ -169,10 +181,13 @@ class DeepForest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Defau
         k, d = len(classes), len((rows.first() or {"x": [0.0]})["x"])
         drawn = {0: d, -1: max(1, math.isqrt(d))}.get(get("drawn"), get("drawn"))
         cuts = cut_points(rows, d, MAX_BINS) if rows.count() > EXACT_ROWS else None
+        # the bins of a row are found once, not at every level
+        bins = F.array().cast("array<double>") if cuts is None else _bin_names(cuts)(F.col("x"))
         weight = poisson_weight(hash32(seed, F.concat_ws(":", "tree", "id"), "weight") / F.lit(2.0 ** 32)) if get("bootstrap") else F.lit(1)
+        rows = rows.withColumn("b", bins) if cuts is None else cut_lineage(rows.withColumn("b", bins))
         state = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(get("numTrees") - 1)))).select(
             "tree", F.lit(1).cast("long").alias("node"), F.lit(0).alias("tried"), F.lit(2 ** 62).cast("long").alias("size"),
-            (F.array_position(F.lit(classes), F.col("y")) - 1).cast("int").alias("c"), weight.cast("double").alias("w"), "x")
+            (F.array_position(F.lit(classes), F.col("y")) - 1).cast("int").alias("c"), weight.cast("double").alias("w"), "x", "b")
         path = scratch_path(spark, "forest")
         if cuts is None:
             state = state.withColumn("size", F.lit(0).cast("long"))
@@ -195,7 +210,7 @@ class DeepForest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Defau
             state = self._stored(moved.select(
                 "tree", F.when(again, F.col("node")).when(left, F.col("kids")).otherwise(F.col("kids") + 1).alias("node"),
                 F.when(again, F.col("tried")).otherwise(0).alias("tried"),
-                F.when(again, F.col("n")).when(left, F.col("n_left")).otherwise(F.col("n") - F.col("n_left")).alias("size"), "c", "w", "x"))
+                F.when(again, F.col("n")).when(left, F.col("n_left")).otherwise(F.col("n") - F.col("n_left")).alias("size"), "c", "w", "x", "b"))
             level += 1
         return DeepForestModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(), path=path, classes=classes)
 
@@ -212,12 +227,8 @@ class DeepForest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Defau
         mine = F.slice(order, F.col("tried") * drawn + 1, drawn) if drawn < d else order
         own_value = value = F.get("x", F.col("f"))
         if cuts is not None:
-            flat = F.lit([float(v) for c in cuts for v in c]) if sum(map(len, cuts)) else F.array().cast("array<double>")
-            start = F.lit([0, *np.cumsum([len(c) for c in cuts]).tolist()])
-            own = F.slice(flat, F.get(start, F.col("f")) + 1, F.get(start, F.col("f") + 1) - F.get(start, F.col("f")))
-            above = F.element_at(F.concat(F.filter(own, lambda c: c > own_value), F.array(F.lit(float("inf")))), 1)  # names the bin
-            value = F.when(F.col("size") > EXACT_ROWS, above).otherwise(own_value)
-        each = state.select("tree", "node", "size", "tried", "c", "w", "x", F.explode(mine).alias("e")).withColumn("f", F.col("e.f"))
+            value = F.when(F.col("size") > EXACT_ROWS, F.get("b", F.col("f"))).otherwise(own_value)
+        each = state.select("tree", "node", "size", "tried", "c", "w", "x", "b", F.explode(mine).alias("e")).withColumn("f", F.col("e.f"))
         sums = [F.sum(F.when(F.col("c") == i, F.col("w")).otherwise(0.0)).alias(f"c{i}") for i in range(k)]
         keys = ["tree", "node", "f"]
         cells = each.withColumn("u", value).groupBy(*keys, "u", "size", "tried").agg(*sums, F.count(F.lit(1)).alias("m"), F.max(own_value).alias("top"))
