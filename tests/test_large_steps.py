@@ -1,7 +1,6 @@
 """Steps whose cost must not grow with the number of cells, cuts or levels."""
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tabula.operators import deep_forest, neighbors
@@ -17,3 +16,39 @@ def test_forest_bins_are_found_once_per_row(spark):
                       F.col("id").alias("c"), F.lit(1.0).alias("w"), "x", F.array(F.lit(1.0), F.lit(inf)).alias("b"))
     plan = deep_forest.DeepForest()._splits(state, cuts, 2, 2, 2, 1)._jdf.queryExecution().analyzed().toString()
     assert "filter(" not in plan  # no level walks through the cuts of every row
+
+
+def test_a_query_goes_once_to_neighbouring_cells(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(0, 1, 8)]) for i in range(600)], "id long, vec array<double>")
+    sent = []
+    real = neighbors.search_cells
+    monkeypatch.setattr(neighbors, "search_cells", lambda L, Lx, *a, **k: sent.append(Lx.count()) or real(L, Lx, *a, **k))
+    nn = neighbors.knn(df, df, 3, "id", "id", "vec", exclude_self=True, n_pivots=25)
+    assert nn.count() == 1800 and sent == [600]  # 25 cells that nothing prunes fit one block: a copy of each query, not 25
+
+
+def test_block_search_against_brute_force():
+    rng = np.random.default_rng(4)
+    for dims, n_cat, scale in ((2, 0, 1.0), (2, 2, 1.0), (20, 0, 1.0), (3, 0, 1e160)):
+        q, x = rng.integers(0, 9, (700, dims)) * scale / 8, rng.integers(0, 9, (1500, dims)) * scale / 8
+        if n_cat:
+            code = lambda n: np.hstack([rng.integers(0, 3, (n, n_cat)), np.full((n, 1), 0.25)])
+            q, x = np.hstack([q, code(len(q))]), np.hstack([x, code(len(x))])
+        ids = rng.permutation(1500)
+        got = neighbors._block_topk(np.arange(700), q, ids, x, 4, True, n_cat)
+        by = {a: list(zip(g["nid"], g["d2"])) for a, g in got.groupby("qid")}
+        nq, nx = neighbors._numbers(q, n_cat), neighbors._numbers(x, n_cat)
+        for i in range(0, 700, 7):
+            with np.errstate(over="ignore"):
+                d2 = ((nq[i] - nx) ** 2).sum(1)
+            if n_cat:
+                d2 = d2 + 0.25 * sum(q[i, c] != x[:, c] for c in range(dims, dims + n_cat))
+            want = sorted((d, j) for d, j in zip(d2, ids) if j != i and np.isfinite(d))[:4]
+            assert [(d, j) for j, d in by.get(i, [])] == want
+
+
+def test_regions_hold_a_block_of_rows():
+    points = np.array([[0.0], [10.0], [1.0], [11.0], [2.0]])
+    region = neighbors.merged_cells(points, np.arange(5), np.array([5, 5, 5, 5, 50]), 10)
+    assert len(set(region)) >= 3 and all(sum(np.array([5, 5, 5, 5, 50])[region == r]) <= 10 for r in set(region) if (region == r).sum() > 1)
