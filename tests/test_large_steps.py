@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabula.operators import deep_forest, neighbors
+from tabula.operators import deep_forest, models, neighbors
 
 
 def test_forest_bins_are_found_once_per_row(spark):
@@ -52,3 +52,15 @@ def test_regions_hold_a_block_of_rows():
     points = np.array([[0.0], [10.0], [1.0], [11.0], [2.0]])
     region = neighbors.merged_cells(points, np.arange(5), np.array([5, 5, 5, 5, 50]), 10)
     assert len(set(region)) >= 3 and all(sum(np.array([5, 5, 5, 5, 50])[region == r]) <= 10 for r in set(region) if (region == r).sum() > 1)
+
+
+def test_grid_reads_a_strategy_table_once(spark, monkeypatch):
+    rows = [(i, int(i % 3 == 0), float(i % 7), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label int, a double, b double")
+    seen = []
+    real = type(df).first
+    monkeypatch.setattr(type(df), "first", lambda self: seen.append(self.columns) or real(self))
+    runs, scored, fitted = models.run_grid(df.where("id < 45"), df.where("id >= 45"), ["a", "b"], "label", "id", strategies=["SMOTE"],
+                                           algorithms=["logistic_regression", "logistic_regression"], parallel=1)
+    assert [r.error for r in runs.collect()] == [None, None] and scored.count() == 30
+    assert seen.count(["id", "label", "features"]) == 1
