@@ -64,3 +64,33 @@ def test_grid_reads_a_strategy_table_once(spark, monkeypatch):
                                            algorithms=["logistic_regression", "logistic_regression"], parallel=1)
     assert [r.error for r in runs.collect()] == [None, None] and scored.count() == 30
     assert seen.count(["id", "label", "features"]) == 1
+
+
+def test_single_precision_screens_and_equal_rows_keep_the_answer(monkeypatch):
+    rng = np.random.default_rng(6)
+    for q, x in ((rng.normal(0, 1, (300, 40)), rng.normal(0, 1, (900, 40))), (1e6 + rng.normal(0, 1e-3, (300, 40)), 1e6 + rng.normal(0, 1e-3, (900, 40))),
+                 (rng.integers(0, 3, (300, 2)) * 1.0, rng.integers(0, 3, (900, 2)) * 1.0)):
+        ids = rng.permutation(900)
+        got = neighbors._block_topk(np.arange(300), q, ids, x, 5, True, 0)
+        by = {a: list(zip(g["d2"], g["nid"])) for a, g in got.groupby("qid")}
+        for i in range(300):
+            d2 = ((q[i] - x) ** 2).sum(1)
+            assert by[i] == sorted((d, j) for d, j in zip(d2, ids) if j != i)[:5]
+    # 9 different rows on each side: no block searches 300 queries
+    seen, real = [], neighbors._nearest_rows
+    monkeypatch.setattr(neighbors, "_nearest_rows", lambda a, b, *r: seen.append((len(a), len(b))) or real(a, b, *r))
+    neighbors._block_topk(np.arange(300), q, ids, x, 5, True, 0)
+    assert seen == [(9, 54)]
+
+
+def test_vectors_are_packed_without_loss():
+    m = np.array([[0.5, -3.0, 1e20], [0.1, 2.0, -0.0], [1e300, 0.0, 1.0]])
+    rows = np.array(neighbors.packed(m), dtype=object)
+    assert [len(r) for r in rows] == [24, 24, 24] or [len(r) for r in rows] == [12, 24, 24]
+    assert neighbors.unpacked(rows, 3).tobytes() == m.tobytes()
+    assert [len(r) for r in neighbors.packed(np.float64(np.float32(m[:1] / 3)))] == [12]
+
+
+def test_large_tables_have_few_copies():
+    sizes = [neighbors.block_rows(n, 64, 12) for n in (1_000, 100_000, 1_000_000)]
+    assert sizes == [2048, 16_667, 131_072]
