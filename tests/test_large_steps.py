@@ -94,3 +94,16 @@ def test_vectors_are_packed_without_loss():
 def test_large_tables_have_few_copies():
     sizes = [neighbors.block_rows(n, 64, 12) for n in (1_000, 100_000, 1_000_000)]
     assert sizes == [2048, 16_667, 131_072]
+
+
+def test_categories_bound_the_leaves_that_are_searched(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.uniform(0, 7, 6000), rng.integers(1, 367, 6000), rng.integers(0, 3, 6000), rng.integers(0, 5, 6000), np.full(6000, 1400.0)])
+    cost, real = [], neighbors._mismatches
+    monkeypatch.setattr(neighbors, "_mismatches", lambda a, b, n: cost.append(len(a) * len(b)) or real(a, b, n))
+    got = neighbors._block_topk(np.arange(6000), x, np.arange(6000), x, 6, True, 2).sort_values(["qid", "d2", "nid"])
+    assert sum(cost) < 0.08 * 6000 * 6000  # 0.067 of all pairs; 0.100 with leaves of all categories
+    for i in range(0, 6000, 500):
+        d2 = ((x[i, :2] - x[:, :2]) ** 2).sum(1) + 1400.0 * ((x[i, 2:4] != x[:, 2:4]).sum(1))
+        near = sorted((d, j) for j, d in enumerate(d2) if j != i)[:6]
+        assert got[got["qid"] == i]["nid"].tolist() == [j for _, j in near]
