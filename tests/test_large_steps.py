@@ -107,3 +107,9 @@ def test_categories_bound_the_leaves_that_are_searched(monkeypatch):
         d2 = ((x[i, :2] - x[:, :2]) ** 2).sum(1) + 1400.0 * ((x[i, 2:4] != x[:, 2:4]).sum(1))
         near = sorted((d, j) for j, d in enumerate(d2) if j != i)[:6]
         assert got[got["qid"] == i]["nid"].tolist() == [j for _, j in near]
+
+
+def test_rows_of_a_repeated_id_share_their_neighbours(spark):
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in (0, 0, 1, 3, 7)] + [(None, [2.0, 0.0])], "id long, vec array<double>")
+    got = [(r.qid, r["rank"], r.nid) for r in neighbors.knn(df.where("id = 0 or id is null"), df.where("id > 0"), 5, "id", "id", "vec").collect()]
+    assert sorted(got) == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 4, 1), (0, 5, 3)]
