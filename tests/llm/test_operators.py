@@ -440,7 +440,7 @@ def test_empty_benchmark_pages_and_conversations(spark, frame, docs):
 
 def test_registered():
     names = [n for n in E.queries() if re.match(r"op\d+_|pipeline", n)]
-    assert len(names) == 11 and {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert len(names) == 14 and {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
     assert set(queries.ORACLE) <= set(queries.REGISTRY)
 
 
