@@ -113,3 +113,53 @@ def test_rows_of_a_repeated_id_share_their_neighbours(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0]) for i in (0, 0, 1, 3, 7)] + [(None, [2.0, 0.0])], "id long, vec array<double>")
     got = [(r.qid, r["rank"], r.nid) for r in neighbors.knn(df.where("id = 0 or id is null"), df.where("id > 0"), 5, "id", "id", "vec").collect()]
     assert sorted(got) == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 4, 1), (0, 5, 3)]
+
+
+def test_a_bound_spares_most_of_a_block():
+    rng = np.random.default_rng(11)
+    x = np.hstack([rng.normal(0, 1, (3000, 4)), rng.integers(0, 4, (3000, 3))])
+    x[::7] = x[1]  # equal rows
+    ids = np.arange(3000)
+    key = lambda f: f.sort_values(["qid", "d2", "nid"]).to_numpy().tolist()
+    for exclude in (True, False):
+        want = neighbors._block_topk(ids, x, ids, x, 3 + exclude, exclude, 0)
+        kth = np.full(len(x), np.inf)
+        far = want.groupby("qid")["d2"].apply(lambda d: d.iloc[2])
+        kth[far.index] = far.to_numpy() * (1 + 1e-9)
+        kth[5:2000:50] = np.inf  # no bound known
+        got = neighbors._block_topk(ids, x, ids, x, 3 + exclude, exclude, 0, kth)
+        within = lambda f: f[f["d2"] <= kth[f["qid"]]]
+        top = lambda f: within(f).sort_values(["qid", "d2", "nid"]).groupby("qid").head(3)
+        assert key(top(got)) == key(top(want))
+
+
+def test_screened_pairs_fall_with_a_bound(monkeypatch):
+    rng = np.random.default_rng(12)
+    x, ids = rng.random((6000, 3)), np.arange(6000)
+    seen, real = [], neighbors._marked
+    monkeypatch.setattr(neighbors, "_marked", lambda m: seen.append(m.size) or real(m))
+    neighbors._block_topk(ids, x, ids, x, 2, True, 0)
+    whole, _ = sum(seen), seen.clear()
+    neighbors._block_topk(ids, x, ids, x, 2, True, 0, np.full(6000, 0.06 ** 2))
+    assert sum(seen) * 2 < whole
+
+
+def test_few_dimensions_are_searched_with_a_bound(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    points = np.round(rng.normal(0, 1, (900, 3)), 1)  # ties and equal rows
+    bounded, real = [], neighbors.search_cells
+    monkeypatch.setattr(neighbors, "search_cells", lambda L, Lx, *a, **k: bounded.append("b" in Lx.columns) or real(L, Lx, *a, **k))
+    rows = [(i, int(i % 3 == 0), [float(v) for v in p]) for i, p in enumerate(points)] + [(None, 0, [0.0] * 3), (901, None, [0.0] * 3), (902, 0, [float("nan")] * 3)]
+    df = spark.createDataFrame(rows, "id long, y int, vec array<double>")
+    got = neighbors.knn(df.where("id < 900"), df.where("id < 900"), 4, "id", "id", "vec", group="y", exclude_self=True, n_pivots=20, block=100).collect()
+    assert bounded == [False, True]  # the nearest cell first, then only what its k-th distance leaves
+    d2 = ((points[:, None] - points[None]) ** 2).sum(2)
+    d2[np.eye(900, dtype=bool)] = np.inf
+    d2[(np.arange(900)[:, None] % 3 == 0) != (np.arange(900)[None] % 3 == 0)] = np.inf
+    want = {(i, r + 1): int(j) for i in range(900) for r, j in enumerate(np.lexsort((np.arange(900), d2[i]))[:4])}
+    assert {(r.qid, r["rank"]): r.nid for r in got} == want
+    odd = neighbors.knn(df, df, 2, "id", "id", "vec", group="y", n_pivots=20, block=100)
+    assert {r.qid for r in odd.select("qid").distinct().collect()} == set(range(900))  # no id, no group, not finite: not searched
+    bounded.clear()
+    twice = neighbors.knn(df.unionByName(df.limit(5)), df.where("id < 900"), 2, "id", "id", "vec", n_pivots=20, block=100)
+    assert bounded == [False] and twice.count() == 1800 + 2  # a repeated id: as before, in one round
