@@ -163,3 +163,17 @@ def test_few_dimensions_are_searched_with_a_bound(spark, monkeypatch):
     bounded.clear()
     twice = neighbors.knn(df.unionByName(df.limit(5)), df.where("id < 900"), 2, "id", "id", "vec", n_pivots=20, block=100)
     assert bounded == [False] and twice.count() == 1800 + 2  # a repeated id: as before, in one round
+
+
+def test_saved_models_are_scored_side_by_side(spark, monkeypatch):
+    import threading
+    both = threading.Barrier(2, timeout=30)
+
+    def load(path):
+        both.wait()  # one by one, the first would wait in vain
+        raise ValueError(path)
+
+    monkeypatch.setattr(models, "load_model", load)
+    out, errors = models.score_saved({"B_svm": "b", "A_mlp": "a", "C_knn": "c", "D_knn": "d"}, spark.range(1), "id")
+    assert out is None and [tuple(r) for r in errors.collect()] == [(r, f"ValueError: {r[0].lower()}") for r in ("A_mlp", "B_svm", "C_knn", "D_knn")]
+    assert models.longest_first(["B_svm", "C_knn", "A_knn"]) == ["A_knn", "C_knn", "B_svm"]
